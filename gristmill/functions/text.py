@@ -59,16 +59,24 @@ def round_half_even(value: Column, digits: int) -> Column:
     into two parts whose products carry no rounding error.
     """
     scale = 10**digits
-    half_steps = F.rint(value * (2 * scale))
-    high = value.cast("float").cast("double")
-    distance = (high * (2 * scale) - half_steps) + (value - high) * (2 * scale)
-    near_tie = (F.abs(half_steps) % 2 == 1) & (F.abs(distance) < 1e-6)
-    rounded = (
-        F.when(near_tie & (distance > 0), (half_steps + 1) / 2)
-        .when(near_tie & (distance < 0), (half_steps - 1) / 2)
-        .otherwise(F.bround(value * scale, 0))
-    )
-    return rounded / scale
+
+    def steps(x: Column) -> Column:
+        """How many half steps of the last digit, and how far off exactly."""
+        high = x.cast("float").cast("double")
+        half = F.rint(x * (2 * scale))
+        off = (high * (2 * scale) - half) + (x - high) * (2 * scale)
+        return F.struct(x.alias("x"), half.alias("half"), off.alias("off"))
+
+    def pick(s: Column) -> Column:
+        tie = (F.abs(s["half"]) % 2 == 1) & (F.abs(s["off"]) < 1e-6)
+        return (
+            F.when(tie & (s["off"] > 0), (s["half"] + 1) / 2)
+            .when(tie & (s["off"] < 0), (s["half"] - 1) / 2)
+            .otherwise(F.rint(s["x"] * scale))
+        )
+
+    # Bound to variables: nested roundings would otherwise repeat each other.
+    return let(let(value, steps), pick) / scale
 
 
 def two_decimals(value: Column) -> Column:

@@ -32,12 +32,12 @@ def redact_fields(
     """
     fields = list(fields if fields is not None else text_fields(df))
     unless = unless or {}
-    scanned = df.withColumns(
-        {f"__{f}": scan(f"if({unless[f]}, NULL, `{f}`)" if f in unless else f"`{f}`") for f in fields}
-    )
-    clean = {f: F.coalesce(F.col(f"__{f}.redacted"), F.col(f)) for f in fields}
-    found = F.concat(F.array().cast(FINDING), *[F.col(f"__{f}.findings") for f in fields])
-    return scanned.withColumns({**clean, "findings": found}).drop(*[f"__{f}" for f in fields])
+    texts = [f"if({unless[f]}, NULL, `{f}`)" if f in unless else f"`{f}`" for f in fields]
+    # One fold serves all fields: it runs over the array of their texts.
+    scans = F.expr(f"transform(array({', '.join(texts)}), t -> {scan_sql('t')})")
+    clean = {f: F.coalesce(F.col("__scans")[i]["redacted"], F.col(f)) for i, f in enumerate(fields)}
+    found = F.flatten(F.col("__scans")["findings"]) if fields else F.array().cast(FINDING)
+    return df.withColumn("__scans", scans).withColumns({**clean, "findings": found}).drop("__scans")
 
 
 def raw_findings(text: str) -> Column:
@@ -62,10 +62,9 @@ def type_list() -> Column:
 
 def redact_structs(records: str, fields: Sequence[str], texts: Sequence[str]) -> Column:
     """The same for an array of structs: redacted fields, then ``findings``."""
-    scans = ", ".join(f"{scan_sql(f'r.{f}')} AS {f}" for f in texts)
-    kept = ", ".join(f"{f'p.s.{f}.redacted' if f in texts else f'p.r.{f}'} AS {f}" for f in fields)
-    found = ", ".join(f"p.s.{f}.findings" for f in texts)
+    listed = ", ".join(f"r.{f}" for f in texts)
+    kept = ", ".join(f"p.s[{texts.index(f)}].redacted AS {f}" if f in texts else f"p.r.{f} AS {f}" for f in fields)
     return F.expr(
-        f"transform(transform({records}, r -> struct(r AS r, struct({scans}) AS s)),"
-        f" p -> struct({kept}, concat({found}) AS findings))"
+        f"transform(transform({records}, r -> struct(r AS r, transform(array({listed}), t -> {scan_sql('t')}) AS s)),"
+        f" p -> struct({kept}, flatten(p.s.findings) AS findings))"
     )

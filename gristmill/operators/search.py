@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import DEFAULT_TOP_K
-from ..functions.text import round_half_even
 from ..functions.vectors import dot_literal, hash_embed
 
 SCORE_DIGITS = 4
@@ -31,7 +30,7 @@ def search(chunks: DataFrame, question: str, k: int = DEFAULT_TOP_K, embedder=ha
     """The ``k`` best chunks: ``source_file, kind, text, score`` with ties in
     (file, chunk) order.  Every chunk is scored and there is no score floor."""
     weights = embed_question(chunks.sparkSession, question, embedder)
-    score = round_half_even(dot_literal(F.col("embedding"), weights), SCORE_DIGITS)
+    score = F.bround(dot_literal(F.col("embedding"), weights), SCORE_DIGITS)
     return (
         chunks.select("source_file", "kind", "chunk_ord", "text", score.alias("score"))
         .orderBy(F.desc("score"), "source_file", "chunk_ord")
@@ -60,7 +59,7 @@ def search_batch(
     for ids, matrix in _blocks(vectors, block):
         best = best.unionByName(
             chunks.select("source_file", "chunk_ord", "embedding").mapInPandas(
-                _block_scorer(spark.sparkContext.broadcast((ids, matrix)), k), schema
+                _block_scorer(spark.sparkContext.broadcast(matrix.tobytes()), ids, k), schema
             )
         )
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "source_file", "chunk_ord")
@@ -83,11 +82,11 @@ def _blocks(vectors: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.asarray(ids), np.vstack(rows)
 
 
-def _block_scorer(shared, k: int):
+def _block_scorer(shared, ids: np.ndarray, k: int):
     """Best ``k`` chunks per question within each Arrow batch."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, questions = shared.value
+        questions = np.frombuffer(shared.value).reshape(len(ids), -1)
         for batch in batches:
             if batch.empty:
                 continue
