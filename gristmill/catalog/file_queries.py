@@ -12,11 +12,11 @@ from ..contracts import TRANSACTIONS
 from ..operators import quality
 from ..operators.invoice import invoice_facts, invoice_records
 from ..operators.mail import mail_facts
-from ..operators.repair import header_issues, row_issues
+from ..operators.repair import deduplicate, feed_facts, header_issues, plan_table, row_issues
 from ..plans.refine import explode_findings, refine
-from ..session import scratch_root
+from ..session import scratch_root, stage
 from ..sinks.warehouse import Warehouse, current_rows, lineage_rows, load_counts, lineage_report
-from .feeds import invoice_files, mail_files, order_files, table, unknown_files
+from .feeds import invoice_files, mail_files, order_files, order_headers, table, unknown_files
 from .oracle_parts import ALL_DECISIONS, AUDIT, INVOICES, LOADED, MAILS, ORDER_ROWS
 from .repair_queries import order_facts, repaired_records, repaired_rows
 from .text_queries import extracted_invoices, mail_messages
@@ -54,7 +54,8 @@ def load_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decisions(spark, sf_dir)
+    # Read more than once below, so it is staged as the batch job does.
+    decided = stage(_decisions(spark, sf_dir), "decisions")
     rows = lineage_rows(decided, _issues(spark, sf_dir, decided))
     return rows.withColumns(
         {"records_loaded": F.col("records_loaded").cast("bigint"), "n_unfixed": F.col("n_unfixed").cast("bigint")}
@@ -62,30 +63,32 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lineage(spark, sf_dir).withColumn("processed_at", F.to_timestamp(F.lit("2026-01-01 00:00:00")))
+    decided = _decisions(spark, sf_dir)
+    rows = lineage_rows(decided, _issues(spark, sf_dir, decided)).withColumn("records_loaded", F.col("records_loaded").cast("bigint"))
+    rows = rows.withColumn("processed_at", F.to_timestamp(F.lit("2026-01-01 00:00:00")))
     return lineage_report(rows)
 
 
 def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _decisions(spark, sf_dir).select("source_file", F.posexplode("audit").alias("pos", "line"))
+    lines = _decisions(spark, sf_dir).select("source_file", F.posexplode_outer("audit").alias("pos", "line"))
     return lines.select("source_file", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decisions(spark, sf_dir)
+    decided = stage(_decisions(spark, sf_dir), "decisions")
     queue = quality.review_queue(decided, _issues(spark, sf_dir, decided))
     return queue.select("source_file", "file_type", "quality_score", "reason")
 
 
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decisions(spark, sf_dir)
+    decided = stage(_decisions(spark, sf_dir), "decisions")
     return quality.reasons(decided, _issues(spark, sf_dir, decided)).select("source_file", "reason")
 
 
 def quarantine_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every flagged file, in scan order."""
-    mails = mail_messages(spark, sf_dir)
-    extracted = extracted_invoices(spark, sf_dir).withColumn("pos", F.lit(0).cast("bigint"))
+    mails = stage(mail_messages(spark, sf_dir), "messages")
+    extracted = stage(extracted_invoices(spark, sf_dir), "invoices").withColumn("pos", F.lit(0).cast("bigint"))
     found = [
         explode_findings(repaired_records(spark, sf_dir), "findings", 1),
         explode_findings(mails, "raw_findings", 0),
@@ -100,8 +103,10 @@ def quarantine_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loaded_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only records of files that pass the gate reach the table."""
-    passed = _decisions(spark, sf_dir).where("action = 'LOAD'").select("source_file")
-    records = repaired_records(spark, sf_dir).join(passed, "source_file", "left_semi")
+    records = deduplicate(stage(repaired_rows(spark, sf_dir), "feed-rows"), TRANSACTIONS)
+    facts = feed_facts(records, plan_table(spark, order_headers(), TRANSACTIONS), TRANSACTIONS)
+    passed = quality.decide(order_files(spark, sf_dir), facts).where("action = 'LOAD'").select("source_file")
+    records = records.join(passed, "source_file", "left_semi")
     return records.select(*TRANSACTIONS.columns, "source_file")
 
 

@@ -17,6 +17,7 @@ from ..operators.repair import (
     repair_and_redact,
     row_issues,
 )
+from ..session import spread
 from .feeds import order_feeds, order_headers, order_rows, table
 from .oracle_parts import ORDER_FACTS, ORDER_ROWS
 
@@ -80,7 +81,7 @@ def coerce_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coerce_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    rows = spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -110,8 +111,9 @@ def repair_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixes = order_facts(spark, sf_dir).select(
         "source_file",
         F.lit("fix").alias("part"),
-        F.posexplode("fixes").alias("pos", "message"),
+        F.posexplode_outer("fixes").alias("pos", "message"),
     )
+    fixes = fixes.where("message IS NOT NULL")
     issues = row_issues(repaired_rows(spark, sf_dir), TRANSACTIONS)
     return fixes.select(
         "source_file", "part", F.lit(0).cast("bigint").alias("stage"), F.col("pos").cast("bigint").alias("pos"), "message"

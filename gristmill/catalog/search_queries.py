@@ -33,7 +33,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sparse(df: DataFrame, key: str) -> DataFrame:
-    vectors = spread(df).select(key, F.posexplode(hash_embed(F.col("text"))).alias("bucket", "weight"))
+    vectors = spread(df).select(key, F.posexplode_outer(hash_embed(F.col("text"))).alias("bucket", "weight"))
     return vectors.where("weight > 0").select(
         key, F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 6).alias("weight")
     )

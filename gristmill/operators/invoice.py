@@ -39,7 +39,7 @@ FIELD_TEXTS = ["invoice_number", "vendor", "invoice_date", "due_date", "currency
 def _first(pattern: str, group: int) -> Column:
     # Every capture needs at least one character, so "" can only mean no match.
     found = F.regexp_extract("raw_text", "(?d)" + unicode_regex(pattern), group)
-    return F.when(found != "", found)
+    return F.nullif(found, F.lit(""))
 
 
 def _label_columns() -> dict[str, Column]:
@@ -107,9 +107,13 @@ def extract(texts: DataFrame, extractor: Extractor | None = None) -> DataFrame:
 
 def invoice_records(extracted: DataFrame) -> DataFrame:
     """Redacted invoices: ``source_file, pos, <fields>, findings``."""
-    return extracted.select(
-        "source_file", F.posexplode("records").alias("pos", "record")
-    ).select("source_file", F.col("pos").cast("bigint").alias("pos"), "record.*")
+    # The outer form, since the inner one adds a filter that repeats the whole
+    # extraction below the generator.
+    return (
+        extracted.select("source_file", F.posexplode_outer("records").alias("pos", "record"))
+        .where("record IS NOT NULL")
+        .select("source_file", F.col("pos").cast("bigint").alias("pos"), "record.*")
+    )
 
 
 def invoice_facts(extracted: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def normalise_newlines(text: Column) -> Column:
 def split_messages(texts: DataFrame) -> DataFrame:
     """``source_file, raw_text`` to one row per message: ``source_file, pos, block``."""
     pieces = texts.select(
-        "source_file", F.posexplode(F.split("raw_text", MESSAGE_BREAK)).alias("pos", "piece")
+        "source_file", F.posexplode_outer(F.split("raw_text", MESSAGE_BREAK)).alias("pos", "piece")
     )
     return keep_messages(pieces)
 

@@ -110,7 +110,7 @@ def reasons(decisions: DataFrame, issues: DataFrame) -> DataFrame:
     unrouted = decisions.where(~F.col("file_type").isin(*CONTENT_TYPES)).select(
         "source_file", F.lit(0).alias("part"), F.lit(0).alias("stage"), zero.alias("pos"), F.lit(UNROUTED).alias("reason")
     )
-    repairs = decisions.select("source_file", F.posexplode("fixes").alias("pos", "reason")).select(
+    repairs = decisions.select("source_file", F.posexplode_outer("fixes").alias("pos", "reason")).where("reason IS NOT NULL").select(
         "source_file", F.lit(1).alias("part"), F.lit(0).alias("stage"), F.col("pos").cast("bigint").alias("pos"), "reason"
     )
     unfixed = issues.select(

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..contracts import REQUIRED_FIELDS, Contract
 from ..functions.coerce import coerce_date, coerce_number, is_plain_number
 from ..functions.text import is_present
+from ..session import local_frame
 from .redact import has_type_aggregates, redact_fields, type_list
 
 EMPTY_FILE = "file contains no data rows"
@@ -220,7 +221,8 @@ def plan_table(spark: SparkSession, headers: Sequence[Sequence[str]], contract:
             else "schema matches baseline"
         )
         rows.append((i, plan.drifted, note, list(plan.log), list(plan.issues)))
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         rows,
         "plan_id int, plan_drifted boolean, note string, plan_log array<string>, plan_issues array<string>",
     )
@@ -237,7 +239,8 @@ def feed_facts(records: DataFrame, plans: DataFrame, contract: Contract) -> Data
         *has_type_aggregates(F.col("findings")),
         *[F.sum(f).alias(f) for f in flags],
     )
-    # One row per distinct header, so this side is as small as the header list.
+    # One row per distinct header; its size is known, so Spark broadcasts it
+    # while it is small and the facts are not shuffled on a skewed key.
     joined = grouped.join(plans, "plan_id")
 
     def line(count: Column, *parts) -> Column:
@@ -346,13 +349,14 @@ def row_issues(rows: DataFrame, contract: Contract) -> DataFrame:
     )
     return (
         rows.where(any_bad)
-        .select("source_file", "pos", F.explode(F.array_compact(F.array(*lines))).alias("line"))
+        .select("source_file", "pos", F.explode_outer(F.array_compact(F.array(*lines))).alias("line"))
         .select("source_file", "line.stage", "pos", "line.issue")
     )
 
 
 def header_issues(facts: DataFrame) -> DataFrame:
     """Issues known from the header alone (or from an empty file)."""
-    return facts.select("source_file", F.posexplode("plan_issues").alias("pos", "issue")).select(
+    listed = facts.select("source_file", F.posexplode_outer("plan_issues").alias("pos", "issue"))
+    return listed.where("issue IS NOT NULL").select(
         "source_file", F.lit(0).alias("stage"), F.col("pos").cast("bigint").alias("pos"), "issue"
     )

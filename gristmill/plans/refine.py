@@ -218,6 +218,5 @@ def _pdf_branch(
 
 def explode_findings(df: DataFrame, column: str, part: int) -> DataFrame:
     """One row per finding; ``part, pos, ord`` give the order within a file."""
-    return df.select(
-        "source_file", F.lit(part).alias("part"), "pos", F.posexplode(column).alias("ord", "f")
-    ).select("source_file", "part", "pos", "ord", "f.type", "f.preview")
+    flat = df.select("source_file", F.lit(part).alias("part"), "pos", F.posexplode_outer(column).alias("ord", "f"))
+    return flat.where("f IS NOT NULL").select("source_file", "part", "pos", "ord", "f.type", "f.preview")

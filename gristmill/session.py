@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(master: str | None = None, app: str = "gristmill", **conf) -> SparkSession:
@@ -55,6 +58,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side metadata as a table whose size the planner knows, so a small
+    one is broadcast and a big one is not."""
+    struct = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in struct]
+    arrow = to_arrow_schema(struct)
+    table = pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, struct)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a *small* input over all cores before per-row heavy work.
 

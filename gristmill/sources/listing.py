@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import local_frame
+
 # Bytes read from the head of a file too big to sniff within one split.
 HEAD_BYTES = 1 << 16
 
@@ -40,7 +42,7 @@ def list_files(spark: SparkSession, folder: str) -> list[SourceFile]:
 
 def listing_frame(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
     rows = [(f.name, f.uri, f.size) for f in files]
-    return spark.createDataFrame(rows, "source_file string, uri string, size_bytes bigint")
+    return local_frame(spark, rows, "source_file string, uri string, size_bytes bigint")
 
 
 def read_head(spark: SparkSession, file: SourceFile, size: int = HEAD_BYTES) -> bytes:
