@@ -21,7 +21,7 @@ from ..operators import chunks as chunking
 from ..operators import quality
 from ..operators.classify import file_type, looks_like_mail
 from ..operators.invoice import Extractor, extract, invoice_facts, invoice_records
-from ..operators.mail import mail_facts, parse_messages, redact_messages
+from ..operators.mail import mail_facts, parse_messages, redact_messages, split_messages
 from ..operators.repair import (
     deduplicate,
     empty_feed_facts,
@@ -31,13 +31,14 @@ from ..operators.repair import (
     repair_and_redact,
     row_issues,
 )
-from ..session import stage
+from ..session import local_frame, stage
 from ..sources.csv_feed import CsvSource, read_feeds
 from ..sources.listing import SourceFile, hidden, list_files, listing_frame, split_size
-from ..sources.mail_text import large_messages, read_texts, small_messages, sniff_head
+from ..sources.mail_text import large_messages, oversize_exports, read_texts, sniff_head
 
 UNREADABLE = "file name starts with an underscore and cannot be read"
 INVALID = "file is not valid UTF-8 text"
+OVERSIZE = "file holds a record too long to be one value"
 
 FACTS = (
     "source_file string, record_kind string, confidence double, method string, n_records bigint,"
@@ -165,30 +166,38 @@ def _csv_branch(
 
 def _rejected_facts(spark: SparkSession, source: CsvSource, contract: Contract) -> DataFrame:
     """Files that cannot be parsed: no records, zero confidence, a stated issue."""
-    named = [(n, UNREADABLE) for n in source.unreadable] + [(n, INVALID) for n in source.invalid]
+    named = {n: OVERSIZE for n in source.oversize}
+    named |= {n: INVALID for n in source.invalid} | {n: UNREADABLE for n in source.unreadable}
+    return _rejected(spark, named, contract.kind, "csv", "profile")
+
+
+def _rejected(spark: SparkSession, named: dict[str, str], kind: str, method: str, step: str) -> DataFrame:
     rows = [
-        (n, contract.kind, 0.0, "csv", 0, 0, 0, [], [], 1, [why], [f"profile: not read ({why})"])
-        for n, why in named
+        (n, kind, 0.0, method, 0, 0, 0, [], [], 1, [why], [f"{step}: not read ({why})"])
+        for n, why in named.items()
     ]
-    return spark.createDataFrame(rows, FACTS)
+    return local_frame(spark, rows, FACTS)
 
 
 def _mail_branch(spark: SparkSession, files: list[SourceFile]) -> Branch:
     limit = split_size(spark)
     small = [f for f in files if f.size <= limit]
     large = [f for f in files if f.size > limit and sniff_head(spark, f)]
+    oversize = oversize_exports(spark, large) if large else []
+    large = [f for f in large if f.name not in oversize]
+    rejected = _rejected(spark, {n: OVERSIZE for n in oversize}, "documents", "email_parser", "parse_email")
     parts = []
     if small:
         texts = read_texts(spark, small)
-        parts.append(small_messages(texts.where(looks_like_mail(F.col("raw_text")))))
+        parts.append(split_messages(texts.where(looks_like_mail(F.col("raw_text")))))
     if large:
         parts.append(large_messages(spark, large))
     if not parts:
-        return Branch(spark.createDataFrame([], FACTS))
+        return Branch(rejected)
     messages = reduce(DataFrame.unionByName, parts)
     records = stage(redact_messages(parse_messages(messages)), "messages")
     return Branch(
-        mail_facts(records),
+        mail_facts(records).unionByName(rejected),
         records.drop("raw_findings"),
         [],
         [explode_findings(records, "raw_findings", 0), explode_findings(records, "findings", 1)],

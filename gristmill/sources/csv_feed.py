@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.repair import Feed
 from .listing import SourceFile, file_name, hidden, read_head, read_paths, split_size
-from .segments import join_lines, read_lines, running_total
+from .segments import inside_quotes, join_lines, oversize_files, read_lines, running_total
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
 
@@ -22,6 +22,7 @@ class CsvSource:
     feeds: list[Feed]
     unreadable: list[str]  # names that cannot be read
     invalid: list[str]  # names whose bytes are not valid text
+    oversize: list[str]  # names with a record too long to be one value
 
 
 def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
@@ -37,7 +38,8 @@ def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
     first, invalid = _first_lines(spark, small)
     first |= {f.name: _head_line(read_head(spark, f)) for f in large}
     invalid += _invalid_names(spark, large)
-    bad = set(invalid)
+    oversize = oversize_files(_broken_lines(inside_quotes(read_lines(spark, large))), "record") if large else []
+    bad = {*invalid, *oversize}
 
     groups: dict[tuple[tuple[str, ...], bool], list[SourceFile]] = defaultdict(list)
     for f in readable:
@@ -48,7 +50,7 @@ def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
         Feed(_parse_large(spark, fs, header) if big else _parse_small(spark, fs, header), header)
         for (header, big), fs in sorted(groups.items(), key=lambda g: g[0])
     ]
-    return CsvSource(feeds, [f.name for f in files if hidden(f)], sorted(bad))
+    return CsvSource(feeds, [f.name for f in files if hidden(f)], sorted(set(invalid)), oversize)
 
 
 def parse_header(line: str) -> tuple[str, ...]:
@@ -115,27 +117,26 @@ def _parse_small(spark: SparkSession, files: list[SourceFile], header: tuple[str
     )
 
 
+def _broken_lines(lines: DataFrame) -> DataFrame:
+    """Lines of records that span lines, numbered by record."""
+    broken = lines.where(F.col("inside") | F.col("ends"))
+    opens = ~F.col("inside")
+    return running_total(broken, opens, "earlier").withColumn(
+        "record", F.col("earlier") + opens.cast("bigint")
+    )
+
+
 def _parse_large(spark: SparkSession, files: list[SourceFile], header: tuple[str, ...]) -> DataFrame:
-    """A line starts a record if an even number of quotes precedes it.
+    """Records of files read by many tasks.
 
     Lines that hold a whole record, nearly all of them, are parsed where they
     are; only records with line breaks inside quotes are grouped.
     """
-    lines = running_total(read_lines(spark, files), _quotes(F.col("line")), "quotes")
-    starts = F.col("quotes") % 2 == 0
-    closed = _quotes(F.col("line")) % 2 == 0
-    whole = lines.where(starts & closed).select("source_file", "pos", F.col("line").alias("text"))
-    broken = lines.where(~(starts & closed)).withColumn("opens", starts)
-    numbered = running_total(broken, F.col("opens"), "earlier").withColumn(
-        "record", F.col("earlier") + F.col("opens").cast("bigint")
-    )
-    joined = join_lines(numbered, "record").select("source_file", "pos", "text")
+    lines = inside_quotes(read_lines(spark, files))
+    whole = lines.where(~(F.col("inside") | F.col("ends"))).select("source_file", "pos", F.col("line").alias("text"))
+    joined = join_lines(_broken_lines(lines), "record").select("source_file", "pos", "text")
     records = whole.unionByName(joined).where(F.trim("text") != "")
     # The header is the first line of the first split.
     body = records.where(F.col("pos") > 1)
     parsed = F.from_csv("text", F.lit(_schema(header)), {"escape": '"', "multiLine": "true"})
     return _as_feed(body.select("source_file", "pos", parsed.alias("r")).select("source_file", "pos", "r.*"), header)
-
-
-def _quotes(line):
-    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))

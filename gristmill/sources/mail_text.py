@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import SNIFF_CHARS, looks_like_mail
-from ..operators.mail import keep_messages, normalise_newlines, split_messages
+from ..operators.mail import keep_messages, normalise_newlines
 from .listing import SourceFile, file_name, read_head, read_paths
-from .segments import join_lines, read_lines, running_total
+from .segments import join_lines, oversize_files, read_lines, running_total
 
 BREAK_LINE = r"^={3,}[\s\x1c-\x1f]*$"
 
@@ -39,14 +39,18 @@ def sniff_head(spark: SparkSession, file: SourceFile) -> bool:
     return one.first()["mail"]
 
 
-def small_messages(texts: DataFrame) -> DataFrame:
-    return split_messages(texts)
+def _numbered_lines(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
+    is_break = F.col("line").rlike("(?U)" + BREAK_LINE)
+    lines = read_lines(spark, files).withColumn("line", _valid(F.col("line")))
+    return running_total(lines, is_break, "message").where(~is_break)
+
+
+def oversize_exports(spark: SparkSession, files: list[SourceFile]) -> list[str]:
+    """Exports with a message too long to be one value."""
+    return oversize_files(_numbered_lines(spark, files), "message")
 
 
 def large_messages(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
     """Messages of exports bigger than a split, read as lines by many tasks."""
-    is_break = F.col("line").rlike("(?U)" + BREAK_LINE)
-    lines = read_lines(spark, files).withColumn("line", _valid(F.col("line")))
-    numbered = running_total(lines, is_break, "message").where(~is_break)
-    joined = join_lines(numbered, "message")
+    joined = join_lines(_numbered_lines(spark, files), "message")
     return keep_messages(joined.select("source_file", "pos", F.col("text").alias("piece")))

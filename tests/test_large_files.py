@@ -6,7 +6,11 @@ import random
 
 import pytest
 
-from gristmill.plans.refine import refine
+from gristmill.plans.refine import OVERSIZE, refine
+from gristmill.sources import segments
+from gristmill.sources.csv_feed import read_feeds
+from gristmill.sources.listing import list_files
+from gristmill.sources.segments import inside_quotes, read_lines
 
 HEADER = ["txn_id", "date", "amount", "currency", "merchant", "category"]
 
@@ -55,3 +59,34 @@ def test_mail_export(spark, tmp_path, tiny_splits):
     assert [(r["sender"], r["body"]) for r in rows] == [(r["sender"], r["body"]) for r in same]
     kept = ["audit", "n_findings", "quality_score"]
     assert big.decisions.select(*kept).first() == whole.decisions.select(*kept).first()
+
+
+def test_stray_quotes_are_text(spark, tmp_path, tiny_splits):
+    rng = random.Random(11)
+    cells = ['5" pipe', 'a"', '"x"y', '"two\nlines"', '"q""q"', '"', '""', 'x""y"', '"open\n\n5" pipe, "', '"a,b\n"z', "plain", '"m\n""\nn"']
+    cells.remove('"')  # would quote the rest of the file
+    lines = [",".join(HEADER)] + [f"T-{i},2026-06-02,{i},AED,{rng.choice(cells)},{rng.choice(cells)}" for i in range(400)]
+    text = "\n".join(lines) + "\n"
+    (tmp_path / "big.csv").write_text(text)
+    rows = list(csv.reader(io.StringIO(text, newline="")))[1:]
+    feed = read_feeds(spark, list_files(spark, str(tmp_path))).feeds[0]
+    got = {r["v0"] for r in feed.df.collect()}
+    assert got == {r[0] for r in rows if r}
+    lines = inside_quotes(read_lines(spark, list_files(spark, str(tmp_path)))).orderBy("pos").collect()
+    starts = []
+    reader = csv.reader(io.StringIO(text, newline=""))
+    before = 0
+    for _ in reader:
+        starts.append(before)
+        before = reader.line_num
+    assert [i for i, r in enumerate(lines) if not r["inside"]] == starts
+
+
+def test_record_too_long_goes_to_review(spark, tmp_path, tiny_splits, monkeypatch):
+    monkeypatch.setattr(segments.oversize_files, "__defaults__", (2000,))
+    (tmp_path / "open.csv").write_text(csv_text(30)[0] + 'T-x,2026-06-02,1,AED,"never closed,g\n' + "T-y,2026-06-02,1,AED,m,g\n" * 200)
+    (tmp_path / "one.txt").write_text("From: a\nSubject: b\n---\n" + "no break here\n" * 300)
+    got = {r["source_file"]: r for r in refine(spark, str(tmp_path)).decisions.collect()}
+    for name in ("open.csv", "one.txt"):
+        assert got[name]["action"] == "REVIEW" and got[name]["plan_issues"] == [OVERSIZE]
+    assert got["one.txt"]["file_type"] == "email"
