@@ -127,6 +127,23 @@ def reasons(decisions: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def review_queue(decisions: DataFrame, issues: DataFrame) -> DataFrame:
-    """Files held for a person, with every reason."""
-    held = decisions.where("action = 'REVIEW'").select("source_file", "file_type", "quality_score")
-    return held.join(reasons(decisions, issues), "source_file", "left")
+    """Files held for a person, with every reason (null where there is none).
+
+    An inner join, since a file with a reason per record would otherwise be one
+    task's work: Spark can split a hot key on either side of an inner join, but
+    not on the right of an outer one.
+    """
+    held = decisions.where("action = 'REVIEW'")
+    shown = ["source_file", "file_type", "quality_score"]
+    explained = reasons(decisions, issues).join(held.select(*shown), "source_file")
+    silent = held.where(
+        F.col("file_type").isin(*CONTENT_TYPES)
+        & (F.size("fixes") == 0)
+        & (F.col("n_issues") == 0)
+        & ~F.col("quarantine")
+    )
+    columns = [*shown, "part", "stage", "pos", "reason"]
+    none = {"part": "int", "stage": "int", "pos": "bigint", "reason": "string"}
+    return explained.select(*columns).unionByName(
+        silent.select(*shown, *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    )

@@ -22,7 +22,9 @@ from ..operators import quality
 from ..operators.classify import file_type, looks_like_mail
 from ..operators.invoice import Extractor, extract, invoice_facts, invoice_records
 from ..operators.mail import mail_facts, parse_messages, redact_messages, split_messages
+from ..operators.profile import drift, profile
 from ..operators.repair import (
+    Feed,
     deduplicate,
     empty_feed_facts,
     feed_facts,
@@ -57,6 +59,7 @@ class Branch:
     records: DataFrame | None = None
     issues: list[DataFrame] = field(default_factory=list)
     findings: list[DataFrame] = field(default_factory=list)
+    feeds: list[Feed] = field(default_factory=list)
 
 
 @dataclass
@@ -68,6 +71,22 @@ class RefineResult:
     records: dict[str, DataFrame]
     issues: DataFrame
     findings: DataFrame
+    feeds: list[Feed]
+    contract: Contract
+
+    def profiles(self) -> DataFrame:
+        """Row count, columns, null rates and drift of every delimited file; read
+        from the files when asked for, as nothing else needs the rates."""
+        listed = self.decisions.where("file_type = 'csv'").select("source_file")
+        empty = "source_file string, row_count bigint, columns array<string>, null_rates map<string,double>"
+        measured = [self.decisions.sparkSession.createDataFrame([], empty), *map(profile, self.feeds)]
+        found = listed.join(reduce(DataFrame.unionByName, measured), "source_file", "left")
+        return found.select(
+            "source_file",
+            F.coalesce("row_count", F.lit(0)).alias("row_count"),
+            F.coalesce("columns", F.array().cast("array<string>")).alias("columns"),
+            F.coalesce("null_rates", F.create_map().cast("map<string,double>")).alias("null_rates"),
+        ).withColumn("drift", drift(F.col("columns"), self.contract))
 
     def reasons(self) -> DataFrame:
         return quality.reasons(self.decisions, self.issues)
@@ -137,6 +156,8 @@ def refine(
         records={k: b.records for k, b in zip(kinds, branches) if b.records is not None},
         issues=reduce(DataFrame.unionByName, issues),
         findings=reduce(DataFrame.unionByName, findings),
+        feeds=csv_branch.feeds,
+        contract=contract,
     )
 
 
@@ -161,6 +182,7 @@ def _csv_branch(
         records,
         [row_issues(rows, contract)],
         [explode_findings(records, "findings", 1)],
+        source.feeds,
     )
 
 

@@ -53,6 +53,14 @@ def test_mail_is_redacted_and_newlines_do_not_matter(result):
     assert {r["sender"] for r in rows} == {"[REDACTED-EMAIL]"}
 
 
+def test_profiles(result):
+    got = {r["source_file"]: r for r in result.profiles().collect()}
+    assert got["bad.csv"]["row_count"] == 3 and got["bad.csv"]["null_rates"] == {"transaction_id": 0.0, "amount": 0.333}
+    assert got["bad.csv"]["drift"]["unexpected_columns"] == ["transaction_id"]
+    assert not got["clean.csv"]["drift"]["has_drift"]
+    assert got["zero.csv"]["row_count"] == 0 and got["zero.csv"]["columns"] == [] and got["zero.csv"]["drift"]["has_drift"]
+
+
 def test_reasons(result):
     got = {}
     for r in result.reasons().orderBy("source_file", "part", "stage", "pos").collect():
