@@ -10,7 +10,8 @@ from .text import let
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of ``a-z0-9`` in the lower-cased text, in order."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
 def bucket(token: Column, dim: int = VECTOR_DIM) -> Column:
