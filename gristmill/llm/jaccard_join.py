@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, components, map_batches, mix, texts_of, words_of
+from gristmill.llm.common import Shared, components, map_batches, mix, slices, texts_of, words_of
 from gristmill.session import stage
 
 # How many of the most frequent shingles the token order knows (8 bytes each in every task).
@@ -63,28 +63,33 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT) -> np.ndarray:
-    """The ``most`` shingles with the highest counts that tasks report, least frequent first."""
+def first_counts(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id``, ``n`` of every document, and ``token``, ``times`` of shingles that a task saw in several sets."""
 
     def run(batches):
         known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        seen = 0
-        from gristmill.llm.common import slices
-
         for batch in batches:
             for piece in slices(batch):
-                seen += 1
-                new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_sets(piece.column("text"), size)]), return_counts=True)
+                sets = shingle_sets(piece.column("text"), size)
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), none, none], names=names)
+                new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
                 merged, where = np.unique(np.concatenate([known, new]), return_inverse=True)
                 total = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(merged)).astype(np.int64)
                 # Lossy counting: what was seen once goes after every slice, so the table stays near one slice's size.
                 keep = total > 1
                 known, counts = merged[keep], total[keep]
         keep = counts >= SEEN
-        yield pa.RecordBatch.from_arrays([pa.array(known[keep].view(np.int64)), pa.array(counts[keep])], names=["token", "times"])
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(known[keep].view(np.int64)), pa.array(counts[keep])], names=names)
+
+    names = ["doc_id", "n", "token", "times"]
+    return docs.mapInArrow(run, "doc_id long, n long, token long, times long")
 
-    counted = docs.select("text").mapInArrow(run, "token long, times long")
-    top = counted.groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(most)
+
+def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> np.ndarray:
+    """The ``most`` shingles with the highest counts that tasks report, least frequent first."""
+    top = counted.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(most)
     rows = top.toArrow()
     order = np.lexsort((rows.column("token").to_numpy(), rows.column("times").to_numpy()))
     return rows.column("token").to_numpy()[order].view(np.uint64)
@@ -95,16 +100,12 @@ def prefix_length(n, percent: int):
 
 
 def postings(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
-    """``kind`` 0: (token, doc_id, n, at) for the prefix of a set; 1: (n) of a document; 2: a copy's tie to a set.
-
-    Equal sets within one task are indexed once, under their smallest id of that slice.
-    """
+    """(token, doc_id, n, at) for the prefix of a set.  Equal sets within one task are indexed once; a copy gives
+    (id of the indexed one, doc_id, 0, 0)."""
     spark = docs.sparkSession
     shared = Shared(spark, frequent)
 
     def run(batches):
-        from gristmill.llm.common import slices
-
         common = shared.value
         by_token = np.argsort(common, kind="stable")
         sorted_tokens = common[by_token]
@@ -113,10 +114,9 @@ def postings(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
             for piece in slices(batch):
                 ids = piece.column("doc_id").to_pylist()
                 out: list[tuple] = []
-                ties, sizes = [], []
+                ties = []
                 for doc, tokens in zip(ids, shingle_sets(piece.column("text"), size)):
                     n = len(tokens)
-                    sizes.append(n)
                     if n == 0 or doc is None:
                         continue
                     digest = mix(tokens).sum(dtype=np.uint64).tobytes() + mix(tokens ^ _PLACES[7]).sum(dtype=np.uint64).tobytes()
@@ -139,18 +139,12 @@ def postings(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
                 doc_col = np.repeat(np.array([d for d, _, _ in out], np.int64), k)
                 n_col = np.repeat(np.array([n for _, n, _ in out], np.int32), k)
                 at_col = np.concatenate([np.empty(0, np.int32), *(np.arange(x, dtype=np.int32) for x in k)])
-                yield _posting_batch(0, token, doc_col, n_col, at_col)
-                yield _posting_batch(1, np.zeros(len(ids), np.int64), pa.array(ids, pa.int64()), np.array(sizes, np.int32), np.zeros(len(ids), np.int32))
-                if ties:
-                    a, b = np.array(ties, np.int64).T
-                    yield _posting_batch(2, b, a, np.zeros(len(a), np.int32), np.zeros(len(a), np.int32))
-
-    return docs.mapInArrow(run, "kind int, token long, doc_id long, n int, at int")
+                copy, of = np.array(ties, np.int64).reshape(-1, 2).T
+                none = np.zeros(len(copy), np.int32)
+                pairs = ((token, of), (doc_col, copy), (n_col, none), (at_col, none))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in pairs], names=["token", "doc_id", "n", "at"])
 
-
-def _posting_batch(kind, token, doc, n, at):
-    columns = [pa.array(np.full(len(token), kind, np.int32)), pa.array(token), doc if isinstance(doc, pa.Array) else pa.array(doc), pa.array(n), pa.array(at)]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "token", "doc_id", "n", "at"])
+    return docs.mapInArrow(run, "token long, doc_id long, n int, at int")
 
 
 def runs(batches, columns: list[str]):
@@ -169,15 +163,15 @@ def runs(batches, columns: list[str]):
 
 
 def shared_lists(found: DataFrame) -> DataFrame:
-    """The postings of tokens that stand in two prefixes at least."""
+    """The postings of tokens that stand in two prefixes at least, and the copies' rows."""
 
     def run(batches):
         for (token, doc, n, at), bounds in runs(batches, ["token", "doc_id", "n", "at"]):
-            keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+            keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds)) | (n == 0)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, doc, n, at)], names=["token", "doc_id", "n", "at"])
 
-    dealt = found.where("kind = 0").select("token", "doc_id", "n", "at").repartition("token").sortWithinPartitions("token", "n", "doc_id")
+    dealt = found.repartition("token").sortWithinPartitions("token", "n", "doc_id")
     return dealt.mapInArrow(run, "token long, doc_id long, n int, at int")
 
 
@@ -252,8 +246,13 @@ def sets_of(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     return map_batches(docs, "doc_id long, shingles array<long>", step)
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b``, sizes and the exact overlap of every pair.  One set of a pair travels with it; a hot ``a`` is split by the planner."""
+def overlaps(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
+    """``a``, ``b``, sizes and the exact overlap of every pair.
+
+    Sets are taken from the texts again, only where a pair needs them; one set of a pair travels with it, and a hot
+    ``a`` is split by the planner.
+    """
+    sets = sets_of(docs, size, id_filter(pairs.select("a").union(pairs.select("b"))))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
     joined = pairs.join(right, "b").join(left, "a")
@@ -330,11 +329,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, most_f
     ``size`` words a shingle; sets link from ``percent`` hundredths Jaccard similarity on.
     """
     docs = texts_of(docs)
-    found = stage(postings(docs, size, percent, frequent_shingles(docs, size, most_frequent)), "postings")
-    lists = stage(shared_lists(found), "lists")
-    ties = found.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("token").alias("b"))
-    sets = stage(sets_of(docs, size, id_filter(lists.select("doc_id"))), "sets")
-    led = stage(overlaps(leaders(lists, percent), sets), "leaders")
+    counted = stage(first_counts(docs, size), "counts")
+    found = stage(shared_lists(postings(docs, size, percent, frequent_shingles(counted, most_frequent))), "lists")
+    lists, ties = found.where("n > 0"), found.where("n = 0").select(F.col("doc_id").alias("a"), F.col("token").alias("b"))
+    led = stage(overlaps(docs, size, stage(leaders(lists, percent), "led")), "leaders")
     edges = led.where(linked(percent)).select("a", "b").union(ties)
     groups = components(edges)
     known = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
@@ -346,9 +344,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, most_f
     )
     left = stage(open_pairs(described, percent), "open")
     refuted = led.where(~linked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    counted = overlaps(left.where("not sure").join(refuted, ["a", "b"], "left_anti").select("a", "b"), sets)
-    more = counted.where(linked(percent)).select("a", "b").union(left.where("sure").select("a", "b"))
+    unknown = stage(left.where("not sure").join(refuted, ["a", "b"], "left_anti").select("a", "b"), "unknown")
+    more = overlaps(docs, size, unknown).where(linked(percent)).select("a", "b").union(left.where("sure").select("a", "b"))
     final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    sizes = found.where("kind = 1").select("doc_id", F.col("n").cast("long").alias("n_shingles"))
+    sizes = counted.where("token is null").select("doc_id", F.col("n").alias("n_shingles"))
     named = sizes.join(final, F.col("doc_id") == F.col("node"), "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

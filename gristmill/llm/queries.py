@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gristmill.llm import bpe_codec, mixing, sanitize, toxicity
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -11,9 +12,39 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
-QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(_documents(spark, sf_dir), tokenizer_path())
+
+
+def op9_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.span_digests(_documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op5_mixing": op5_mixing,
+    "op9_sanitize": op9_sanitize,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op10_bpe_codec": op10_bpe_codec,
+}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
