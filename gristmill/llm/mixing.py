@@ -7,8 +7,8 @@ with a common level L the targets are ``min(L * weight, most * size)``, so L fol
 
 Within a source a document's key is ``-ln(u) / q`` (Efraimidis and Spirakis), u a hash of its id in (0, 1) and q its
 quality weight, so that a prefix in key order is a weighted sample without replacement.  A target first takes complete
-epochs of its source; what is left is taken from the front of the order, up to the document whose inclusion comes
-nearer to the target than its omission.
+epochs of its source; what is left is filled from the front of the order as long as whole documents fit, and closed
+with the one later document whose size is nearest to the gap, if it makes the gap smaller.
 
 Ids that occur more than once and null ids are ordered by their texts' hash.  Equal rows are told apart by a number
 they get in the staged table.
@@ -102,10 +102,16 @@ x AS (
   SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS size_to
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, source, size, source_size, target, (size * (epochs + CASE WHEN target - epochs * source_size > 0
-  AND size_to - (target - epochs * source_size) <= (target - epochs * source_size) - (size_to - size)
-  THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+l AS (SELECT *, target - epochs * source_size AS rest FROM x),
+p AS (
+  SELECT *, rest - coalesce(max(CASE WHEN size_to <= rest THEN size_to END) OVER (PARTITION BY source), 0) AS gap FROM l),
+z AS (
+  SELECT *, size_to > rest AND abs(gap - size) < gap AS closes FROM p),
+o AS (
+  SELECT *, CASE WHEN closes THEN row_number() OVER (PARTITION BY source, closes ORDER BY abs(gap - size), size_to) END AS nth FROM z)
+SELECT doc_id, source, size, source_size, target,
+  (size * (epochs + CASE WHEN rest > 0 AND (size_to <= rest OR nth = 1) THEN 1 ELSE 0 END))::BIGINT AS taken FROM o
 """
 
 
@@ -122,8 +128,18 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     joined = summed.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    # In: what it adds up to is no further from what is left than what precedes it.
-    inside = (F.col("_to") - F.col("_left")) <= (F.col("_left") - (F.col("_to") - F.col("size")))
     joined = joined.withColumn("_epochs", epochs.cast("long")).withColumn("_left", left)
-    taken = F.col("size") * (F.col("_epochs") + F.when((F.col("_left") > 0) & inside, 1).otherwise(0))
+    fits = F.col("_to") <= F.col("_left")
+    filled = joined.groupBy("_source").agg(
+        F.max("_left").alias("_rest"), F.coalesce(F.max(F.when(fits, F.col("_to"))), F.lit(0)).alias("_filled")
+    )
+    gaps = filled.select(F.col("_source").alias("_of"), (F.col("_rest") - F.col("_filled")).alias("_gap"))
+    joined = joined.join(gaps, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+    closes = ~fits & (F.abs(F.col("_gap") - F.col("size")) < F.col("_gap"))
+    nearest = F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), F.col("_to").alias("to"), F.col("_row").alias("row"))
+    last = joined.where(closes).groupBy("_source").agg(F.min(nearest).alias("_last"))
+    last = last.select(F.col("_source").alias("_of"), F.col("_last.row").alias("_closing"))
+    joined = joined.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    once = (F.col("_left") > 0) & (fits | F.coalesce(F.col("_row") == F.col("_closing"), F.lit(False)))
+    taken = F.col("size") * (F.col("_epochs") + F.when(once, 1).otherwise(0))
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

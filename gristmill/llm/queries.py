@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_codec, mixing, sanitize, toxicity
+from gristmill.llm import bpe_codec, language_id, mixing, quality_gam, sanitize, toxicity
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -40,7 +40,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.predicted(docs, language_id.train(docs))
+
+
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality_gam.scored(docs, quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op7_quality_gam": op7_quality_gam,
     "op2_toxicity": op2_toxicity,
     "op5_mixing": op5_mixing,
     "op9_sanitize": op9_sanitize,

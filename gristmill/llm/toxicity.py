@@ -11,7 +11,7 @@ most words end after a few.  Letters that stand for others (``1d10t``) count as
 before and close after it, or a word that reports speech beside it.  A logistic regression over a document's hits so
 weighed gives the score.
 
-Learning uses at most ``each`` rows a label; everything else is over all rows and whole texts.
+Learning uses at most ``each[label]`` rows of a label; everything else is over all rows and whole texts.
 
 Defined results: null, empty and blank texts have no hits, hence the lowest score; without labelled rows of both
 kinds the lexicon is empty and every score is the share of toxic labels (0.5 without labels); repeated rows get a row
@@ -21,7 +21,7 @@ each.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import crc_mod, crc_of, map_batches, sample_by, slices, texts_of
 from gristmill.session import stage
 
-EACH, TERMS = 4000, 2000
-# A unit needs so many toxic documents and such a ratio of rates to enter the lexicon.
+EACH, TERMS = {1: 4000, 0: 16000}, 2000
+# A unit needs so many toxic documents and such a ratio of rates to enter the lexicon; and its counts must be so
+# unlikely by chance that one such unit at most is expected among all.
 LEAST_DOCS, LEAST_RATIO = 5, 20.0
 STEMS = (4, 5, 6, 7)
 WINDOW = 8
@@ -203,8 +204,13 @@ def lexicon_of(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, bool, f
     units = map_batches(sample, "unit string, label int", step).groupBy("unit").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("c")
     )
+    units = stage(units.where(F.col("t") > 0), "units")
+    share, n_units = n_toxic / (n_toxic + n_clean), max(2, units.count())
     ratio = (F.col("t") + 0.5) / (F.col("c") + 0.5) * (n_clean + 1.0) / (n_toxic + 1.0)
-    likely = units.withColumn("ratio", ratio).where((F.col("t") >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO))
+    n, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
+    # The log of how unlikely t of n documents are to be toxic when each is with the sample's share (Chernoff's bound).
+    surprise = t * F.log(t / n / share) + F.when(c > 0, c * F.log(c / n / (1 - share))).otherwise(F.lit(0.0))
+    likely = units.withColumn("ratio", ratio).where((t >= LEAST_DOCS) & (F.col("ratio") >= LEAST_RATIO) & (surprise >= math.log(n_units)))
     rows = likely.orderBy(F.desc(F.col("t") * F.log("ratio")), "unit").limit(2 * terms).collect()
     words = {r["unit"][1:]: r for r in rows if r["unit"][0] == "="}
     stems = {r["unit"][1:]: r for r in rows if r["unit"][0] == "^"}
@@ -255,19 +261,20 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:-1], x) + self.weights[-1], -30, 30))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, each: int) -> DataFrame:
-    """``text``, ``label`` of at most about ``each`` rows a label, none of them from the fold ``out``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, each: dict[int, int]) -> DataFrame:
+    """``text``, ``label`` of at most about ``each[label]`` rows of a label, none of them from the fold ``out``.
 
     Labels are sampled first; that many ids have a known size and go to the texts, which don't travel.
     """
     labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != out))
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    chosen = sample_by(labels, "label", each)
+    kinds = [sample_by(labels.where(F.col("label") == kind), "label", most) for kind, most in each.items()]
+    chosen = reduce(DataFrame.union, kinds)
     once = texts_of(docs).join(F.broadcast(chosen), "doc_id")
     return stage(once.select("text", "label"), "sample")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each: int = EACH, terms: int = TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each: dict[int, int] = EACH, terms: int = TERMS) -> Model:
     sample = labelled_sample(docs, labels, "toxic", folds, out, each)
     lexicon = tuple(lexicon_of(sample, terms))
     counts = labels.where(crc_mod(F.col("doc_id"), folds) != out).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()
