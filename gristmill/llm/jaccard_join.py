@@ -12,7 +12,8 @@ sizes or positions is skipped unread.
 *Answer-level skipping.*  Every set first gets a leader out of its lists and the exact overlap with it.  For two sets
 b, c with the same leader a the overlap follows up to a margin from the computed ones:
 ``|ab| + |ac| - |a| <= |bc| <= min(|ab|, |ac|) + min(|b| - |ab|, |c| - |ac|)``; pairs that this decides are neither
-read nor counted again, nor are pairs that already lie in one component.
+read nor counted again, nor are pairs that already lie in one component.  What is left is first held against sketches
+(the parity of shingles by hash place), which rule a pair out only if it can't link.
 
 Defined results: a text that is null, empty or blank has 0 shingles and stays alone; with fewer words than ``size``
 the whole sequence is the one shingle; repeated rows have equal sets and link; a null ``doc_id`` is a row like any
@@ -176,7 +177,7 @@ def shared_lists(found: DataFrame) -> DataFrame:
 
 
 def leaders(lists: DataFrame, percent: int) -> DataFrame:
-    """``b``, ``a``: for each set the smallest id among the sets that its lists let it link with."""
+    """``b``, ``a``: for each set the one it shares most lists with, among the smallest ids of its blocks of lists."""
 
     def run(batches):
         for (token, doc, n, at), bounds in runs(batches, ["token", "doc_id", "n", "at"]):
@@ -187,9 +188,8 @@ def leaders(lists: DataFrame, percent: int) -> DataFrame:
                 left = np.searchsorted(100 * sizes, percent * sizes)
                 right = np.searchsorted(percent * sizes, 100 * sizes, side="right")
                 best = ids.copy()
-                low = np.minimum.accumulate(ids)
                 whole = (left == 0) & (right == len(ids))
-                best[whole] = low[-1]
+                best[whole] = ids.min()
                 for i in np.flatnonzero(~whole):
                     best[i] = ids[left[i] : right[i]].min()
                 other = best != ids
@@ -199,11 +199,13 @@ def leaders(lists: DataFrame, percent: int) -> DataFrame:
             order = np.lexsort((a, b))
             a, b = a[order], b[order]
             first = np.ones(len(b), bool)
-            first[1:] = b[1:] != b[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(a[first])], names=["b", "a"])
+            first[1:] = (b[1:] != b[:-1]) | (a[1:] != a[:-1])
+            times = np.diff(np.append(np.flatnonzero(first), len(b)))
+            yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(a[first]), pa.array(times.astype(np.int64))], names=["b", "a", "times"])
 
-    picked = lists.sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "b long, a long")
-    return picked.groupBy("b").agg(F.min("a").alias("a"))
+    picked = lists.sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "b long, a long, times long")
+    picked = picked.groupBy("b", "a").agg(F.sum("times").alias("times"))
+    return picked.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("x")).select("b", (-F.col("x.a")).alias("a"))
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -227,17 +229,20 @@ def _filter_places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
+def in_filter(piece: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    ids = piece.column("doc_id")
+    places = _filter_places(np.asarray(ids.fill_null(0)))
+    hit = (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+    return piece.filter(pa.array(hit & np.asarray(ids.is_valid())))
+
+
 def sets_of(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     """``doc_id``, ``shingles`` of the documents in the filter (and of a few more)."""
     shared = Shared(docs.sparkSession, bits)
 
     def step(piece):
-        ids = piece.column("doc_id")
-        places = _filter_places(np.asarray(ids.fill_null(0)))
-        hit = (shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
-        hit &= np.asarray(ids.is_valid())
-        if hit.any():
-            piece = piece.filter(pa.array(hit))
+        piece = in_filter(piece, shared.value)
+        if len(piece):
             sets = shingle_sets(piece.column("text"), size)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = pa.array(np.concatenate(sets).view(np.int64))
@@ -246,6 +251,48 @@ def sets_of(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
     return map_batches(docs, "doc_id long, shingles array<long>", step)
 
 
+def sketches_of(docs: DataFrame, size: int, bits: np.ndarray) -> DataFrame:
+    """``doc_id``, ``n``, ``sketch`` of the documents in the filter: of each hash place whether it holds an odd number
+    of shingles, over at least twice as many places as there are shingles."""
+    shared = Shared(docs.sparkSession, bits)
+
+    def step(piece):
+        piece = in_filter(piece, shared.value)
+        if len(piece):
+            sets = shingle_sets(piece.column("text"), size)
+            out = []
+            for tokens in sets:
+                places = max(512, 1 << (2 * len(tokens)).bit_length())
+                odd = np.bincount((mix(tokens) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+                out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+            yield {"doc_id": piece.column("doc_id"), "n": [len(x) for x in sets], "sketch": out}
+
+    return map_batches(docs, "doc_id long, n int, sketch binary", step)
+
+
+def possible(docs: DataFrame, size: int, percent: int, pairs: DataFrame) -> DataFrame:
+    """The pairs that their sketches don't rule out: sets differ by at least as many shingles as sketches by places."""
+    sketches = sketches_of(docs, size, id_filter(pairs.select("a").union(pairs.select("b"))))
+    right = sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("of_b"))
+    left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
+
+    def run(batches):
+        for batch in batches:
+            n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).astype(np.int64)
+            # Linked: overlap >= percent n / (100 + percent), so they differ by n - 2 overlap at most.
+            most = n - 2 * -(-percent * n // (100 + percent))
+            keep = np.empty(len(n), bool)
+            for i, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                keep[i] = np.bitwise_count(x ^ y).sum() <= most[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def overlaps(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
     """``a``, ``b``, sizes and the exact overlap of every pair.
 
@@ -277,7 +324,8 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         o = o[(100 * np.minimum(m, size) >= percent * np.maximum(m, size))]
         m = n[o].astype(np.int64)
         need = -(-percent * (m + size) // (100 + percent))
-        room = np.minimum(np.minimum(at[i], at[o]) + 1 + np.minimum(size - at[i], m - at[o]) - 1, np.minimum(size, m))
+        # A linked pair also meets at its first common token, and from there on shares no more than what follows.
+        room = np.minimum(size - at[i], m - at[o])
         same = (lead[o] == lead[i]) & (lead[i] >= 0)
         upper = np.minimum(over[i], over[o]) + np.minimum(size - over[i], m - over[o])
         lower = over[i] + over[o] - lead_n[i]
@@ -286,7 +334,6 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         columns = ["token", "doc_id", "n", "at", "comp", "lead", "over", "lead_n"]
-        done: set[tuple[int, int]] = set()
         for (_, doc, n, at, comp, lead, over, lead_n), bounds in runs(batches, columns):
             a, b, sure = [], [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -312,12 +359,7 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
             a, b, sure = a[order], b[order], sure[order]
             first = np.ones(len(a), bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            if len(done) > 500_000:
-                done.clear()
-            fresh = np.array([(x, y) not in done for x, y in zip(a[first].tolist(), b[first].tolist())], bool)
-            a, b, sure = a[first][fresh], b[first][fresh], sure[first][fresh]
-            done.update(zip(a.tolist(), b.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sure)], names=["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (a, b, sure)], names=["a", "b", "sure"])
 
     dealt = lists.repartition("token").sortWithinPartitions("token")
     return dealt.mapInArrow(run, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
@@ -345,6 +387,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, most_f
     left = stage(open_pairs(described, percent), "open")
     refuted = led.where(~linked(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     unknown = stage(left.where("not sure").join(refuted, ["a", "b"], "left_anti").select("a", "b"), "unknown")
+    unknown = stage(possible(docs, size, percent, unknown), "possible")
     more = overlaps(docs, size, unknown).where(linked(percent)).select("a", "b").union(left.where("sure").select("a", "b"))
     final = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     sizes = counted.where("token is null").select("doc_id", F.col("n").alias("n_shingles"))

@@ -7,7 +7,8 @@ with a common level L the targets are ``min(L * weight, most * size)``, so L fol
 
 Within a source a document's key is ``-ln(u) / q`` (Efraimidis and Spirakis), u a hash of its id in (0, 1) and q its
 quality weight, so that a prefix in key order is a weighted sample without replacement.  A target first takes complete
-epochs of its source; what is left is filled from the front of the order as long as whole documents fit, and closed
+epochs of its source; what is left is filled from the front of the order as long as whole documents fit, then once
+more from the documents behind that are no larger than the gap (else one long document would leave it open), and closed
 with the one later document whose size is nearest to the gap, if it makes the gap smaller.
 
 Ids that occur more than once and null ids are ordered by their texts' hash.  Equal rows are told apart by a number
@@ -99,19 +100,22 @@ t AS (
     (1.5::DOUBLE * size_all - 2.0::DOUBLE * size_full) / nullif(weight_all - weight_full, 0)::DOUBLE * weight END,
     2.0::DOUBLE * source_size) AS target FROM g),
 x AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.size, d.k, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS size_to
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-l AS (SELECT *, target - epochs * source_size AS rest FROM x),
-p AS (
-  SELECT *, rest - coalesce(max(CASE WHEN size_to <= rest THEN size_to END) OVER (PARTITION BY source), 0) AS gap FROM l),
-z AS (
-  SELECT *, size_to > rest AND abs(gap - size) < gap AS closes FROM p),
+l AS (SELECT *, target - epochs * source_size AS gap, size_to <= target - epochs * source_size AS fits FROM x),
+p AS (SELECT * REPLACE (gap - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap) FROM l),
+q AS (SELECT *, CASE WHEN NOT fits AND size <= gap THEN size ELSE 0 END AS free FROM p),
+u AS (SELECT *, free > 0 AND sum(free) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) <= gap AS more FROM q),
+v AS (
+  SELECT * REPLACE (gap - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap, fits OR more AS fits) FROM u),
 o AS (
-  SELECT *, CASE WHEN closes THEN row_number() OVER (PARTITION BY source, closes ORDER BY abs(gap - size), size_to) END AS nth FROM z)
+  SELECT *, NOT fits AND abs(gap - size) < gap AS closes FROM v),
+e AS (
+  SELECT *, closes AND row_number() OVER (PARTITION BY source, closes ORDER BY abs(gap - size), k, doc_id) = 1 AS closing FROM o)
 SELECT doc_id, source, size, source_size, target,
-  (size * (epochs + CASE WHEN rest > 0 AND (size_to <= rest OR nth = 1) THEN 1 ELSE 0 END))::BIGINT AS taken FROM o
+  (size * (epochs + CASE WHEN fits OR closing THEN 1 ELSE 0 END))::BIGINT AS taken FROM e
 """
 
 
@@ -123,23 +127,31 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     )
     light = stage(light.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     per_source = targets(stage(light.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), share, most)
-    summed = running_sum(light, "source", ["_key", "doc_id", "_code", "_row"], "size", "_to")
+    order = ["_key", "doc_id", "_code", "_row"]
     per_source = stage(per_source, "targets").withColumnRenamed("source", "_source")
+    summed = running_sum(light, "source", order, "size", "_to")
     joined = summed.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    joined = joined.withColumn("_epochs", epochs.cast("long")).withColumn("_left", left)
-    fits = F.col("_to") <= F.col("_left")
-    filled = joined.groupBy("_source").agg(
-        F.max("_left").alias("_rest"), F.coalesce(F.max(F.when(fits, F.col("_to"))), F.lit(0)).alias("_filled")
-    )
-    gaps = filled.select(F.col("_source").alias("_of"), (F.col("_rest") - F.col("_filled")).alias("_gap"))
-    joined = joined.join(gaps, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    closes = ~fits & (F.abs(F.col("_gap") - F.col("size")) < F.col("_gap"))
-    nearest = F.struct(F.abs(F.col("_gap") - F.col("size")).alias("off"), F.col("_to").alias("to"), F.col("_row").alias("row"))
-    last = joined.where(closes).groupBy("_source").agg(F.min(nearest).alias("_last"))
-    last = last.select(F.col("_source").alias("_of"), F.col("_last.row").alias("_closing"))
+    joined = joined.withColumn("_epochs", epochs.cast("long"))
+    joined = joined.withColumn("_gap", F.col("target") - F.col("_epochs") * F.col("source_size"))
+    joined = joined.withColumn("_in", F.col("_to") <= F.col("_gap"))
+    joined = _less(joined).withColumn("_open", F.when(~F.col("_in") & (F.col("size") <= F.col("_gap")), F.col("size")).otherwise(F.lit(0)))
+    joined = running_sum(joined.drop("_to"), "source", order, "_open", "_to")
+    more = (F.col("_open") > 0) & (F.col("_to") <= F.col("_gap"))
+    joined = _less(joined.withColumn("_more", more), "_more").withColumn("_in", F.col("_in") | F.col("_more"))
+    off = F.abs(F.col("_gap") - F.col("size"))
+    nearest = F.struct(off.alias("off"), *(F.col(c) for c in order))
+    last = joined.where(~F.col("_in") & (off < F.col("_gap"))).groupBy("_source").agg(F.min(nearest).alias("_last"))
+    last = last.select(F.col("_source").alias("_of"), F.col("_last._row").alias("_closing"))
     joined = joined.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left")
-    once = (F.col("_left") > 0) & (fits | F.coalesce(F.col("_row") == F.col("_closing"), F.lit(False)))
+    once = F.col("_in") | F.coalesce(F.col("_row") == F.col("_closing"), F.lit(False))
     taken = F.col("size") * (F.col("_epochs") + F.when(once, 1).otherwise(0))
     return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def _less(rows: DataFrame, taken: str = "_in") -> DataFrame:
+    """``_gap`` without what the rows marked ``taken`` have filled, for each source."""
+    used = rows.groupBy("_source").agg(F.sum(F.when(F.col(taken), F.col("size")).otherwise(F.lit(0))).alias("_used"))
+    used = used.select(F.col("_source").alias("_of"), "_used")
+    joined = rows.join(used, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_gap", F.col("_gap") - F.col("_used"))
+    return joined.drop("_of", "_used")
