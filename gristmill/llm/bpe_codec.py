@@ -3,10 +3,11 @@
 1. Texts are split into words by the tokenizer's own pattern; tasks report the words they saw often.
 2. Every distinct word is encoded once.  The most frequent words form a table of bounded size that every task holds;
    a text then is a row of table places, plus its few words outside the table.
-3. Those words go to the table's other part: distinct words are shuffled, encoded once each, and joined back to
-   (text, position).
-4. A text's ids are gathered by position, and decoded through a join of the ids with the vocabulary's pieces (a table
-   of fixed size).
+3. Those words go to the table's other part, which is dealt by word hash to buckets: each slice of texts sends every
+   bucket its distinct words in one row, the bucket encodes each distinct word once and answers in the same order, and
+   the answers are joined back to the slice.
+4. Ids are gathered by position, and decoded through a join of the ids with the vocabulary's pieces (a table of fixed
+   size).
 
 The split between the two parts of the table only decides how a word travels; ids and counts don't depend on it.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -146,53 +148,112 @@ class WordTable:
         return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
 
 
+def _bucket(word: str, buckets: int) -> int:
+    return crc32(word.encode()) % buckets
+
+
 def packed(places: np.ndarray) -> bytes:
-    """Three planes of bytes, low to high; places are below 2**24 - 1."""
-    return np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
+    """Four planes of bytes, low to high, as most places are small."""
+    return np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
 
+def unpacked(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
 
+_SLICES = "doc_ids array<long>, sizes array<int>, places binary, sent array<struct<bucket:int,words:array<string>>>"
 
-OUTSIDE = (1 << 24) - 1
 
+def as_places(docs: DataFrame, path: str, table: WordTable, buckets: int) -> DataFrame:
+    """A row for each slice of texts: ids, word counts, every word's place, and the slice's other words by bucket.
 
-def as_places(docs: DataFrame, path: str, table: WordTable) -> DataFrame:
-    """``doc_id``, ``places`` (packed; OUTSIDE for a word that isn't in the table), ``others`` (those words in order)."""
+    The other words' places follow the table's, in the order of ``sent``.
+    """
 
     def run(batches):
         of = table.places()
         split = _splitter(path)
         for batch in batches:
             for piece in slices(batch):
-                places, others = [], []
+                sizes, found, others = [], [], {}
                 for text in piece.column("text").to_pylist():
                     words = split(text)
-                    at = np.fromiter((of.get(w, OUTSIDE) for w in words), np.int64, len(words))
-                    places.append(packed(at))
-                    others.append([words[i] for i in np.flatnonzero(at == OUTSIDE)])
-                columns = [piece.column("doc_id"), pa.array(places, pa.binary()), pa.array(others, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "places", "others"])
+                    sizes.append(len(words))
+                    for w in words:
+                        at = of.get(w)
+                        found.append(others.setdefault(w, -1 - len(others)) if at is None else at)
+                places = np.array(found, np.int64)
+                names = list(others)
+                goes_to = np.array([_bucket(w, buckets) for w in names], np.int64)
+                order = np.argsort(goes_to, kind="stable")
+                rank = np.empty(len(names) + 1, np.int64)
+                rank[order] = np.arange(len(names))
+                outside = places < 0
+                places[outside] = len(of) + rank[-1 - places[outside]]
+                cuts = np.flatnonzero(np.diff(goes_to[order])) + 1
+                parts = np.split(order, cuts) if len(order) else []
+                sent = [{"bucket": int(goes_to[part[0]]), "words": [names[k] for k in part]} for part in parts]
+                ids = pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+                kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.string()))]))
+                columns = [ids, pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(places)], pa.binary()), pa.array([sent], kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "sizes", "places", "sent"])
+
+    return docs.mapInArrow(run, _SLICES)
+
+
+def answered(sent: DataFrame, path: str) -> DataFrame:
+    """``slice``, ``bucket``, ``ids``, ``lengths`` for the words that slices sent; rows of a bucket are together."""
 
-    return docs.mapInArrow(run, "doc_id long, places binary, others array<string>")
+    def run(batches):
+        known: dict[str, list[int]] = {}
+        bucket = None
+        for batch in batches:
+            for own, rows in _by_value(batch, "bucket"):
+                if own != bucket:
+                    bucket, known = own, {}
+                words = rows.column("words")
+                flat = words.flatten().to_pylist()
+                new = [w for w in dict.fromkeys(flat) if w not in known]
+                known.update(zip(new, encode_words(path, new)))
+                ids = [known[w] for w in flat]
+                ends = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()))]).astype(np.int64)
+                lengths = np.array([len(x) for x in ids], np.int32)
+                to = np.concatenate([[0], np.cumsum(lengths)])
+                all_ids = np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in ids)])
+                columns = [
+                    rows.column("slice"), rows.column("bucket"),
+                    pa.array([all_ids[to[a] : to[b]].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array([lengths[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "bucket", "ids", "lengths"])
+
+    return sent.mapInArrow(run, "slice long, bucket int, ids binary, lengths binary")
+
+
+def _by_value(batch: pa.RecordBatch, name: str):
+    """Slices of a batch sorted by ``name``, one for each value."""
+    values = batch.column(name).to_numpy()
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(values)]):
+        if hi > lo:
+            yield values[lo], batch.slice(lo, hi - lo)
 
 
 def encode(docs: DataFrame, path: str, most: int = FREQUENT_WORDS):
-    """The table and, for each text, ``doc_id``, ``places`` and ``found`` (ids of the words outside the table by position)."""
+    """The table and, for each slice of texts, ``doc_ids``, ``sizes``, ``places`` and ``found`` (the buckets' answers)."""
+    spark = docs.sparkSession
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = WordTable(docs, path, most)
-    rows = as_places(docs, path, table).withColumn("row", F.monotonically_increasing_id())
-    rows = stage(rows, "places")
-    tail = rows.select("row", F.posexplode("others").alias("at", "word"))
-    ids = encoded_words(tail.select("word").distinct(), path)
-    found = tail.join(ids, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("found"))
-    found = found.select("row", F.col("found.ids").alias("found"))
-    return table, rows.drop("others").join(found, "row", "left")
+    rows = stage(as_places(docs, path, table, buckets).withColumn("slice", F.monotonically_increasing_id()), "places")
+    sent = rows.select("slice", F.explode("sent").alias("x")).select("slice", "x.bucket", "x.words")
+    answers = answered(sent.repartition("bucket").sortWithinPartitions("bucket"), path)
+    answers = answers.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids", "lengths"))).alias("found"))
+    answers = answers.select("slice", F.col("found.ids").alias("ids"), F.col("found.lengths").alias("lengths"))
+    return table, rows.drop("sent").join(answers, "slice", "left")
 
 
 def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = FREQUENT_WORDS) -> DataFrame:
-    """``finish(doc_id, ids, decoded bytes)`` gives the values of ``schema`` for every text."""
+    """``finish(doc_id, ids, spelled ids, decoded bytes)`` gives the values of ``schema`` for every text."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -202,36 +263,31 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
 
     def run(batches):
         flat, begin = table.ids()
-        piece = np.array(pieces(path), dtype=object)
+        piece = np.array([*pieces(path), None], dtype=object)[:-1]
+        spelled = np.array([str(i) for i in range(len(piece))], dtype=object)
         for batch in batches:
-            found = batch.column("found")
-            extra = found.flatten()
-            sizes = np.asarray(extra.value_lengths(), dtype=np.int64)
-            source = np.concatenate([flat, extra.flatten().to_numpy(zero_copy_only=False)])
-            ends, used = len(flat) + np.cumsum(sizes), 0
-            out = []
-            for doc, places in zip(batch.column("doc_id").to_pylist(), batch.column("places")):
-                at = unpacked(places.as_buffer())
-                outside = at == OUTSIDE
-                own = slice(used, used := used + int(outside.sum()))
-                lo, n = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-                lo[~outside], n[~outside] = begin[at[~outside]], begin[at[~outside] + 1] - begin[at[~outside]]
-                lo[outside], n[outside] = ends[own] - sizes[own], sizes[own]
-                ids = source[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                out.append(finish(doc, ids, b"".join(piece[ids].tolist())))
-            columns = list(zip(*out)) if out else [[] for _ in arrow]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    return rows.select("doc_id", "places", "found").mapInArrow(run, schema)
+            for row in batch.to_pylist():
+                lengths = np.frombuffer(b"".join(row["lengths"] or []), np.int32)
+                source = np.concatenate([flat, np.frombuffer(b"".join(row["ids"] or []), np.int32)])
+                starts = np.concatenate([begin, len(flat) + np.cumsum(lengths, dtype=np.int64)])
+                at, used, out = unpacked(row["places"]), 0, []
+                for doc, size in zip(row["doc_ids"], row["sizes"]):
+                    own = at[used : (used := used + size)]
+                    lo, n = starts[own], starts[own + 1] - starts[own]
+                    ids = source[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    out.append(finish(doc, ids, spelled[ids].tolist(), b"".join(piece[ids].tolist())))
+                columns = list(zip(*out)) if out else [[] for _ in arrow]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.select("doc_ids", "sizes", "places", "ids", "lengths").mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, most: int = FREQUENT_WORDS) -> DataFrame:
     """``doc_id``, ``n_tokens``, and the SHA-256 of the ids (decimal, comma-joined) and of the decoded text."""
 
-    def finish(doc, ids, data):
+    def finish(doc, ids, spelled, data):
         text = data.decode("utf-8", "replace").encode()
-        listed = ",".join(map(str, ids.tolist())).encode()
-        return doc, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(text).hexdigest()
+        return doc, len(ids), hashlib.sha256(",".join(spelled).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
 
     return encode_decode(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", most)
 
@@ -239,7 +295,7 @@ def digests(docs: DataFrame, path: str, most: int = FREQUENT_WORDS) -> DataFrame
 def token_ids(docs: DataFrame, path: str, most: int = FREQUENT_WORDS) -> DataFrame:
     """``doc_id``, ``ids``, ``decoded`` (the text that the ids decode to)."""
 
-    def finish(doc, ids, data):
+    def finish(doc, ids, spelled, data):
         return doc, ids.tolist(), data.decode("utf-8", "replace")
 
     return encode_decode(docs, path, finish, "doc_id long, ids array<int>, decoded string", most)
