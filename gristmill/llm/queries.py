@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_codec, language_id, mixing, quality_gam, sanitize, toxicity
+from gristmill.llm import bpe_codec, language_id, lm_score, mixing, quality_gam, sanitize, toxicity
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -50,7 +50,12 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.scored(docs, quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_lm_score": op3_lm_score,
     "op1_language_id": op1_language_id,
     "op7_quality_gam": op7_quality_gam,
     "op2_toxicity": op2_toxicity,
