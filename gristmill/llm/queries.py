@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_codec, language_id, lm_score, mixing, quality_gam, sanitize, toxicity
+from gristmill.llm import bpe_codec, cap_filters, language_id, lm_score, mixing, quality_gam, sanitize, topk_search, toxicity
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -54,7 +54,17 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(_documents(spark, sf_dir))
 
 
+def op4_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
+    "op4_cap_filters": op4_cap_filters,
+    "op6_topk_search": op6_topk_search,
     "op3_lm_score": op3_lm_score,
     "op1_language_id": op1_language_id,
     "op7_quality_gam": op7_quality_gam,
@@ -64,4 +74,4 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk_search.ORACLE_SQL}
