@@ -393,3 +393,23 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, most_f
     sizes = counted.where("token is null").select("doc_id", F.col("n").alias("n_shingles"))
     named = sizes.join(final, F.col("doc_id") == F.col("node"), "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id isn't in ``gone`` (one column of distinct ids).
+
+    A filter of fixed size tells most rows apart where they are; only rows that it holds are joined.     """
+    name = gone.columns[0]
+    shared = Shared(docs.sparkSession, id_filter(gone))
+
+    def part(inside: bool):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column("doc_id")
+                places = _filter_places(np.asarray(ids.fill_null(0)))
+                hit = (shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
+                yield batch.filter(pa.array((hit & np.asarray(ids.is_valid())) == inside))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False).union(part(True).join(gone, F.col("doc_id") == F.col(name), "left_anti"))

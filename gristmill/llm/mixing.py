@@ -119,39 +119,83 @@ SELECT doc_id, source, size, source_size, target,
 """
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` (any columns) with ``size``, ``source_size``, ``target`` and ``taken``; a text is read once and doesn't travel."""
-    light = docs.select(
-        "doc_id", "source", word_count(F.col("text")).cast("long").alias("size"),
-        (-F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))).alias("_key"), F.xxhash64("text").alias("_code"),
-    )
+ORDER = ["_key", "_id", "_code"]
+
+
+def _described(docs: DataFrame) -> DataFrame:
+    """What the mix knows of a row: its size and its place in the order of its source, both from the row alone."""
+    return docs.withColumns(
+        {
+            "size": word_count(F.col("text")).cast("long"),
+            "_key": -F.log(uniform(F.col("doc_id"))) / quality_weight(F.col("text")),
+            "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")),
+            "_code": F.xxhash64("text"),
+        }
+    )
+
+
+def _decided(docs: DataFrame, share: float, most: float) -> DataFrame:
+    """A light row for each document with its source's ``_epochs`` and whether the first fill (``_in``), the second
+    (``_more``, of sizes up to ``_limit``) or the closing (``_closes``) takes it once more."""
+    light = _described(docs).select("doc_id", "source", "size", *ORDER)
     light = stage(light.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     per_source = targets(stage(light.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), share, most)
-    order = ["_key", "doc_id", "_code", "_row"]
     per_source = stage(per_source, "targets").withColumnRenamed("source", "_source")
+    order = [*ORDER, "_row"]
     summed = running_sum(light, "source", order, "size", "_to")
     joined = summed.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     joined = joined.withColumn("_epochs", epochs.cast("long"))
     joined = joined.withColumn("_gap", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    joined = joined.withColumn("_in", F.col("_to") <= F.col("_gap"))
-    joined = _less(joined).withColumn("_open", F.when(~F.col("_in") & (F.col("size") <= F.col("_gap")), F.col("size")).otherwise(F.lit(0)))
+    joined = _less(joined.withColumn("_in", F.col("_to") <= F.col("_gap")), "_in").withColumn("_limit", F.col("_gap"))
+    joined = joined.withColumn("_open", F.when(~F.col("_in") & (F.col("size") <= F.col("_gap")), F.col("size")).otherwise(F.lit(0)))
     joined = running_sum(joined.drop("_to"), "source", order, "_open", "_to")
     more = (F.col("_open") > 0) & (F.col("_to") <= F.col("_gap"))
-    joined = _less(joined.withColumn("_more", more), "_more").withColumn("_in", F.col("_in") | F.col("_more"))
+    joined = stage(_less(joined.withColumn("_more", more), "_more"), "fills")
     off = F.abs(F.col("_gap") - F.col("size"))
     nearest = F.struct(off.alias("off"), *(F.col(c) for c in order))
-    last = joined.where(~F.col("_in") & (off < F.col("_gap"))).groupBy("_source").agg(F.min(nearest).alias("_last"))
+    taken = F.col("_in") | F.col("_more")
+    last = joined.where(~taken & (off < F.col("_gap"))).groupBy("_source").agg(F.min(nearest).alias("_last"))
     last = last.select(F.col("_source").alias("_of"), F.col("_last._row").alias("_closing"))
     joined = joined.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left")
-    once = F.col("_in") | F.coalesce(F.col("_row") == F.col("_closing"), F.lit(False))
+    return joined.withColumn("_closes", F.coalesce(F.col("_row") == F.col("_closing"), F.lit(False)))
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` (words); texts are read once and don't travel."""
+    once = F.col("_in") | F.col("_more") | F.col("_closes")
     taken = F.col("size") * (F.col("_epochs") + F.when(once, 1).otherwise(0))
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return _decided(docs, share, most).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def _less(rows: DataFrame, taken: str = "_in") -> DataFrame:
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    A source's decision is a few places in its order, so there is one row a source and texts stay where they are.
+    Rows equal in id and text have one place and share its decision.
+    """
+    place = F.struct(*(F.col(c) for c in ORDER))
+    rules = _decided(docs, share, most).groupBy(F.col("source").alias("_source")).agg(
+        F.max("_epochs").alias("_epochs"), F.max("_limit").alias("_limit"), F.max(F.when(F.col("_in"), place)).alias("_first"),
+        F.max(F.when(F.col("_more"), place)).alias("_second"), F.max(F.when(F.col("_closes"), place)).alias("_closing"),
+    )
+    rows = _described(docs.withColumnsRenamed({c: f"own_{c}" for c in ("size",)})).withColumn("_place", place)
+    rows = rows.join(stage(rules, "rules"), F.col("source").eqNullSafe(F.col("_source")))
+    no = F.lit(False)
+    once = (
+        F.coalesce(F.col("_place") <= F.col("_first"), no)
+        | (F.coalesce(F.col("_place") <= F.col("_second"), no) & (F.col("size") <= F.col("_limit")) & (F.col("size") > 0))
+        | F.coalesce(F.col("_place") == F.col("_closing"), no)
+    )
+    times = F.col("_epochs") + F.when(once, 1).otherwise(0)
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(F.col("_copy") <= times)
+    return rows.select(*(F.col(f"own_{c}" if c == "size" else c).alias(c) for c in docs.columns))
+
+
+def _less(rows: DataFrame, taken: str) -> DataFrame:
     """``_gap`` without what the rows marked ``taken`` have filled, for each source."""
     used = rows.groupBy("_source").agg(F.sum(F.when(F.col(taken), F.col("size")).otherwise(F.lit(0))).alias("_used"))
     used = used.select(F.col("_source").alias("_of"), "_used")
     joined = rows.join(used, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_gap", F.col("_gap") - F.col("_used"))
     return joined.drop("_of", "_used")
+
