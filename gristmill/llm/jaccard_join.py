@@ -399,7 +399,7 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose id isn't in ``gone`` (one column of distinct ids).
 
     A filter of fixed size tells most rows apart where they are; only rows that it holds are joined.     """
-    name = gone.columns[0]
+    gone = gone.toDF("gone_from_these_rows")
     shared = Shared(docs.sparkSession, id_filter(gone))
 
     def part(inside: bool):
@@ -412,4 +412,4 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, docs.schema)
 
-    return part(False).union(part(True).join(gone, F.col("doc_id") == F.col(name), "left_anti"))
+    return part(False).union(part(True).join(gone, F.col("doc_id") == F.col("gone_from_these_rows"), "left_anti"))

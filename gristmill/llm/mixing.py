@@ -137,7 +137,7 @@ def _described(docs: DataFrame) -> DataFrame:
 def _decided(docs: DataFrame, share: float, most: float) -> DataFrame:
     """A light row for each document with its source's ``_epochs`` and whether the first fill (``_in``), the second
     (``_more``, of sizes up to ``_limit``) or the closing (``_closes``) takes it once more."""
-    light = _described(docs).select("doc_id", "source", "size", *ORDER)
+    light = _described(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", *ORDER)
     light = stage(light.withColumn("_row", F.monotonically_increasing_id()), "sizes")
     per_source = targets(stage(light.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), share, most)
     per_source = stage(per_source, "targets").withColumnRenamed("source", "_source")
@@ -179,7 +179,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
         F.max("_epochs").alias("_epochs"), F.max("_limit").alias("_limit"), F.max(F.when(F.col("_in"), place)).alias("_first"),
         F.max(F.when(F.col("_more"), place)).alias("_second"), F.max(F.when(F.col("_closes"), place)).alias("_closing"),
     )
-    rows = _described(docs.withColumnsRenamed({c: f"own_{c}" for c in ("size",)})).withColumn("_place", place)
+    rows = _described(docs.select("doc_id", "source", "text", F.struct("*").alias("_whole"))).withColumn("_place", place)
     rows = rows.join(stage(rules, "rules"), F.col("source").eqNullSafe(F.col("_source")))
     no = F.lit(False)
     once = (
@@ -189,7 +189,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
     )
     times = F.col("_epochs") + F.when(once, 1).otherwise(0)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).where(F.col("_copy") <= times)
-    return rows.select(*(F.col(f"own_{c}" if c == "size" else c).alias(c) for c in docs.columns))
+    return rows.select("_whole.*")
 
 
 def _less(rows: DataFrame, taken: str) -> DataFrame:

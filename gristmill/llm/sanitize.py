@@ -211,8 +211,8 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, sup
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce("text", F.lit(""))})
     plain = texts_of(docs)
+    docs = texts_of(docs, F.struct("*").alias("row"))
     found = stage(contexts(plain), "contexts")
     telling = disclosures(plain, found, generalise_from, support)
     changed = found.select("doc_id", "entity").where("doc_id is not null").distinct().join(telling, "entity")
@@ -237,9 +237,9 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, sup
         for batch in batches:
             for piece in slices(batch):
                 out = []
-                for row in piece.to_pylist():
-                    terms = dict(zip(row.pop("terms") or [], row.pop("shares") or []))
-                    out.append(finish(row, spans_with_terms(row["text"], terms), terms))
+                for whole in piece.to_pylist():
+                    terms = dict(zip(whole["terms"] or [], whole["shares"] or []))
+                    out.append(finish(whole["row"], spans_with_terms(whole["text"], terms), terms))
                 columns = list(zip(*out)) if out else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
@@ -259,7 +259,7 @@ def span_digests(docs: DataFrame) -> DataFrame:
         return row["doc_id"], *counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(spans)
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return scan(texts_of(docs), finish, schema)
+    return scan(docs.select("doc_id", "text"), finish, schema)
 
 
 def masked(text: str, spans, terms: dict[str, float], remove_from: float) -> str:
