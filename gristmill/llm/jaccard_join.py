@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import Shared, components, map_batches, mix, slices, texts_of, words_of
 from gristmill.session import stage
 
-# How many of the most frequent shingles the token order knows (8 bytes each in every task).
-FREQUENT = 1 << 19
-# A shingle is reported by a task once it has been seen in so many of its sets.
-SEEN = 4
+# How many of the most frequent shingles the token order knows at most (8 bytes each in every task).
+FREQUENT = 1 << 21
+# A task counts shingles over so many at a time, and then forgets those it saw once.
+HELD = 4_000_000
 # Bits of the filter that tells which sets are needed again (1 MiB).
 FILTER_BITS = 1 << 23
 
@@ -69,29 +69,42 @@ def first_counts(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merged():
+            new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            both, where = np.unique(np.concatenate([known, new]), return_inverse=True)
+            total = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(both)).astype(np.int64)
+            return both[total > 1], total[total > 1]
+
         for batch in batches:
             for piece in slices(batch):
                 sets = shingle_sets(piece.column("text"), size)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), none, none], names=names)
-                new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
-                merged, where = np.unique(np.concatenate([known, new]), return_inverse=True)
-                total = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(merged)).astype(np.int64)
-                # Lossy counting: what was seen once goes after every slice, so the table stays near one slice's size.
-                keep = total > 1
-                known, counts = merged[keep], total[keep]
-        keep = counts >= SEEN
-        none = pa.nulls(int(keep.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(known[keep].view(np.int64)), pa.array(counts[keep])], names=names)
+                held += sets
+                if sum(map(len, held)) > HELD:
+                    known, counts = merged()
+                    held.clear()
+        known, counts = merged()
+        none = pa.nulls(len(known), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(known.view(np.int64)), pa.array(counts)], names=names)
 
     names = ["doc_id", "n", "token", "times"]
     return docs.mapInArrow(run, "doc_id long, n long, token long, times long")
 
 
 def frequent_shingles(counted: DataFrame, most: int = FREQUENT) -> np.ndarray:
-    """The ``most`` shingles with the highest counts that tasks report, least frequent first."""
-    top = counted.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(most)
-    rows = top.toArrow()
+    """The shingles with the highest counts that tasks report, at most ``most``, least frequent first."""
+    total = stage(counted.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")), "frequent")
+    level = F.least("times", F.lit(1 << 16))
+    kept, least = 0, 1 << 62
+    for r in total.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
+        kept += r["n"]
+        if kept > most:
+            break
+        least = r["level"]
+    rows = total.where(F.col("times") >= least).toArrow()
     order = np.lexsort((rows.column("token").to_numpy(), rows.column("times").to_numpy()))
     return rows.column("token").to_numpy()[order].view(np.uint64)
 
