@@ -26,9 +26,8 @@ class Detector:
         return f"[REDACTED-{self.type.upper()}]"
 
 
-# The patterns, in the order they are applied.  Each one sees the
-# text already redacted by those before it, so an identity number is never half
-# taken for a phone number.
+# The patterns, in the order they are applied; every one reads what
+# the earlier ones have left.
 DETECTORS = (
     Detector("emirates_id", r"784[-\s]?\d{4}[-\s]?\d{7}[-\s]?\d", "784", "784"),
     Detector("iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,28}\b", r"[A-Z]{2}\d{2}[A-Z0-9]{11}"),
@@ -49,7 +48,8 @@ DETECTORS = (
 HINTS = unicode_regex("|".join(d.hint for d in DETECTORS))
 PII_TYPES = tuple(sorted({d.type for d in DETECTORS}))
 
-FINDING = "array<struct<type:string,preview:string>>"
+# ``detector`` is the place in the list above: whole texts report detector by detector.
+FINDING = "array<struct<type:string,preview:string,detector:int>>"
 
 
 PREVIEW = "CASE WHEN length(m) > 4 THEN concat(substring(m, 1, 4), '***') ELSE '***' END"
@@ -71,11 +71,11 @@ def scan_sql(text: str) -> str:
     state = start
     for number, detector in enumerate(DETECTORS):
         s = f"s{number}"
-        state = f"get(transform(array({state}), {s} -> {_step(detector, s)}), 0)"
+        state = f"get(transform(array({state}), {s} -> {_step(number, detector, s)}), 0)"
     return f"CASE WHEN regexp_like({text}, r'{HINTS}') THEN {state} ELSE {start} END"
 
 
-def _step(detector: Detector, s: str) -> str:
+def _step(number: int, detector: Detector, s: str) -> str:
     regex = f"r'{detector.regex}'"
     hit = f"regexp_like({s}.redacted, {regex})"
     if detector.needs:
@@ -84,6 +84,6 @@ def _step(detector: Detector, s: str) -> str:
         f"CASE WHEN {hit} THEN struct("
         f"regexp_replace({s}.redacted, {regex}, '{detector.token}') AS redacted,"
         f" concat({s}.findings, transform(regexp_extract_all({s}.redacted, {regex}, 0),"
-        f" m -> struct('{detector.type}' AS type, {PREVIEW} AS preview))) AS findings)"
+        f" m -> struct('{detector.type}' AS type, {PREVIEW} AS preview, {number} AS detector))) AS findings)"
         f" ELSE {s} END"
     )

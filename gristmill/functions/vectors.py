@@ -1,12 +1,21 @@
-"""Hashed bag-of-words vectors and dot products as column expressions."""
+"""Hashed bag-of-words vectors and dot products."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..contracts import VECTOR_DIM
-from .text import let
+
+TOKEN = re.compile("[a-z0-9]+")
+KNOWN_TOKENS = 500_000
 
 
 def tokens(text: Column) -> Column:
@@ -14,50 +23,44 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def bucket(token: Column, dim: int = VECTOR_DIM) -> Column:
-    """The token's 128-bit md5 modulo ``dim``, folded over three words of hex
-    digits that each fit a long."""
+@lru_cache(4)
+def _buckets(dim: int) -> dict[str, int]:
+    """Buckets of the tokens a worker has met; see :func:`hash_embed`."""
+    return {}
 
-    def words(digest: Column) -> Column:
-        value = F.lit(0).cast("bigint")
-        for start, width in ((1, 15), (16, 15), (31, 2)):
-            word = F.conv(F.substring(digest, start, width), 16, 10).cast("bigint")
-            value = (value * pow(16, width, dim) + word % dim) % dim
-        return value.cast("int")
 
-    return let(F.md5(token), words)
+def _bucket_of(token: str, dim: int) -> int:
+    """The token's 128-bit md5 modulo ``dim``."""
+    return int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % dim
 
 
 def hash_embed(text: Column, dim: int = VECTOR_DIM) -> Column:
     """Unit-length token counts by bucket; all zero for a text without tokens.
 
-    Row-local, so embedding never shuffles: the buckets are sorted together
-    with one marker per dimension, and the length of each run less its marker
-    is that dimension's count.
+    Row-local, so embedding never shuffles.  A worker hashes a token once: it
+    keeps the buckets of up to ``KNOWN_TOKENS`` tokens and starts over beyond
+    that, so its memory doesn't grow with the data.
     """
 
-    def counts(ordered: Column) -> Column:
-        total = F.size(ordered)
-        starts = F.filter(
-            F.sequence(F.lit(0), total - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
-        return let(
-            starts,
-            lambda s: F.transform(
-                s, lambda at, i: (F.coalesce(F.get(s, i + 1), total) - at - 1).cast("double")
-            ),
-        )
-
-    def normalised(vector: Column) -> Column:
-        length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v * v))
-        return let(
-            length, lambda n: F.transform(vector, lambda v: F.when(n > 0, v / n).otherwise(v))
-        )
-
-    buckets = F.transform(tokens(text), lambda t: bucket(t, dim))
-    markers = F.sequence(F.lit(0), F.lit(dim - 1))
-    return let(let(F.sort_array(F.concat(buckets, markers)), counts), normalised)
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known = _buckets(dim)
+        out = []
+        for text in texts:
+            if text is None:
+                out.append(None)
+                continue
+            found = TOKEN.findall(text.lower())
+            if len(known) > KNOWN_TOKENS:
+                known.clear()
+            for token in set(found).difference(known):
+                known[token] = _bucket_of(token, dim)
+            vector = np.bincount([known[t] for t in found], minlength=dim).astype(float) if found else np.zeros(dim)
+            length = math.sqrt(float((vector * vector).sum()))
+            out.append(vector / length if length else vector)
+        return pd.Series(out, dtype=object)
+
+    return embed(text)
 
 
 def dot(left: Column, right: Column) -> Column:

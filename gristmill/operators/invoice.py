@@ -96,11 +96,16 @@ def extract(texts: DataFrame, extractor: Extractor | None = None) -> DataFrame:
     if extractor is None:
         result = label_extractor(facts)
     else:
-        result = facts.drop("raw_text").join(
-            extractor(texts.select("source_file", "raw_text")).select(
-                "source_file", F.col("records").cast(RECORDS), "confidence", "method"
-            ),
-            "source_file",
+        found = extractor(texts.select("source_file", "raw_text")).select(
+            "source_file", F.col("records").cast(RECORDS), "confidence", "method"
+        )
+        # A document the extractor leaves out keeps its findings and has no records.
+        result = facts.drop("raw_text").join(found, "source_file", "left").withColumns(
+            {
+                "records": F.coalesce("records", F.array().cast(RECORDS)),
+                "confidence": F.coalesce("confidence", F.lit(0.0)),
+                "method": F.coalesce("method", F.lit("none")),
+            }
         )
     return result.withColumn("records", redact_structs("records", FIELDS, FIELD_TEXTS))
 

@@ -29,7 +29,12 @@ from ..functions.text import is_present
 from ..session import local_frame
 from .redact import has_type_aggregates, redact_fields, type_list
 
+# Texts of repairs and issues.
 EMPTY_FILE = "file contains no data rows"
+RENAMED = "renamed column '{}' -> '{}'"
+FILLED = "filled missing column '{}' with default '{}'"
+DROPPED = "dropped unexpected column(s): {}"
+MISSING = "missing required column '{}' with no known default"
 
 
 @dataclass(frozen=True)
@@ -68,36 +73,36 @@ class HeaderPlan:
 
 
 def plan_header(header: Sequence[str], contract: Contract) -> HeaderPlan:
-    observed = {name: i for i, name in enumerate(header)}
-    missing = tuple(sorted(set(contract.columns) - set(observed)))
-    unexpected = tuple(sorted(set(observed) - set(contract.columns)))
-    if not (missing or unexpected):
-        return HeaderPlan(tuple(header), (), (), observed, {}, (), ())
-
-    renames = {c: contract.synonyms[c.lower()] for c in observed if c.lower() in contract.synonyms}
-    sources = {renames.get(name, name): i for name, i in observed.items()}
-    defaults = dict(contract.defaults)
-    lowered = {c.lower() for c in observed}
-    for column, currency in contract.implied_currency.items():
-        if column in lowered:
-            defaults["currency"] = currency
-
-    log = [f"renamed column '{old}' -> '{new}'" for old, new in sorted(renames.items())]
-    fills, issues = {}, []
-    for column in contract.columns:
-        if column in sources:
-            continue
-        if column in defaults:
-            fills[column] = defaults[column]
-            log.append(f"filled missing column '{column}' with default '{defaults[column]}'")
-        else:
-            issues.append(f"missing required column '{column}' with no known default")
-    extra = sorted(set(sources) - set(contract.columns))
-    if extra:
-        log.append(f"dropped unexpected column(s): {', '.join(extra)}")
+    """Resolve every contract column against the header, one column at a time.
+
+    A position stands for the contract column that its name is a synonym of, or
+    for its own name; of several positions for one column the last counts.
+    """
+    header = tuple(header)
+    absent = tuple(sorted(c for c in contract.columns if c not in header))
+    foreign = tuple(sorted({name for name in header if name not in contract.columns}))
+    if not absent and not foreign:
+        return HeaderPlan(header, (), (), {name: i for i, name in enumerate(header)}, {}, (), ())
+    # Equal names are one column, whose values are those of its last position but
+    # which keeps the place of its first.
+    spelled = {name: i for i, name in enumerate(header)}
+    stands_for = {name: contract.synonyms.get(name.lower(), name) for name in spelled}
+    sources = {stands_for[name]: at for name, at in spelled.items()}
+    lower = {name.lower() for name in spelled}
+    implied = [code for column, code in contract.implied_currency.items() if column in lower]
+    known = {**contract.defaults, **({"currency": implied[-1]} if implied else {})}
+    gaps = [c for c in contract.columns if c not in sources]
+    fills = {c: known[c] for c in gaps if c in known}
+    foreign_targets = sorted(c for c in sources if c not in contract.columns)
     return HeaderPlan(
-        tuple(header), missing, unexpected, sources, fills, tuple(log), tuple(issues)
-    )
+        header, absent, foreign, sources, fills,
+        log=(
+            *(RENAMED.format(name, stands_for[name]) for name in sorted(spelled) if name.lower() in contract.synonyms),
+            *(FILLED.format(c, value) for c, value in fills.items()),
+            *([DROPPED.format(", ".join(foreign_targets))] if foreign_targets else []),
+        ),
+        issues=tuple(MISSING.format(c) for c in gaps if c not in known),
+    )
 
 
 def value_order(plan: HeaderPlan, contract: Contract) -> list[str]:

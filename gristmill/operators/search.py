@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import DEFAULT_TOP_K
+from ..functions.text import round_half_even
 from ..functions.vectors import dot_literal, hash_embed
 
 SCORE_DIGITS = 4
@@ -30,7 +31,7 @@ def search(chunks: DataFrame, question: str, k: int = DEFAULT_TOP_K, embedder=ha
     """The ``k`` best chunks: ``source_file, kind, text, score`` with ties in
     (file, chunk) order.  Every chunk is scored and there is no score floor."""
     weights = embed_question(chunks.sparkSession, question, embedder)
-    score = F.bround(dot_literal(F.col("embedding"), weights), SCORE_DIGITS)
+    score = round_half_even(dot_literal(F.col("embedding"), weights), SCORE_DIGITS)
     return (
         chunks.select("source_file", "kind", "chunk_ord", "text", score.alias("score"))
         .orderBy(F.desc("score"), "source_file", "chunk_ord")
@@ -47,9 +48,9 @@ def search_batch(
 ) -> DataFrame:
     """The ``k`` best chunks for each question (``question_id, question``).
 
-    Chunks never move: each task multiplies its Arrow batch with a block of
-    question vectors and passes on only its best ``k`` per question, so
-    what is shuffled is a few rows per question and batch, never all pairs.
+    Chunks never move: each task multiplies its Arrow batches with a block of
+    question vectors and keeps its best ``k`` per question over all of them, so
+    what is shuffled is a few rows per question and task, never all pairs.
     Texts are joined back for the winners alone.
     """
     spark = chunks.sparkSession
@@ -82,11 +83,23 @@ def _blocks(vectors: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.asarray(ids), np.vstack(rows)
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Exact rounding to ``SCORE_DIGITS``, the same rule as ``round_half_even``: only
+    scores beside a tie need the slow exact form."""
+    scale = 10.0**SCORE_DIGITS
+    out = np.rint(scores * scale) / scale
+    beside = np.abs(np.abs(scores * scale) % 1.0 - 0.5) < 1e-6
+    out[beside] = [round(x, SCORE_DIGITS) for x in scores[beside].tolist()]
+    return out
+
+
 def _block_scorer(shared, ids: np.ndarray, k: int):
-    """Best ``k`` chunks per question within each Arrow batch."""
+    """Best ``k`` chunks per question over all batches of a task."""
+    columns = ["question", "score", "source_file", "chunk_ord"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         questions = np.frombuffer(shared.value).reshape(len(ids), -1)
+        best = pd.DataFrame({c: [] for c in columns})
         for batch in batches:
             if batch.empty:
                 continue
@@ -94,17 +107,18 @@ def _block_scorer(shared, ids: np.ndarray, k: int):
             batch = batch.sort_values(["source_file", "chunk_ord"], kind="stable")
             files, ords = batch["source_file"].to_numpy(), batch["chunk_ord"].to_numpy()
             vectors = np.vstack(batch["embedding"].to_numpy())
+            found = []
             for start in range(0, len(ids), QUESTION_SLICE):
                 part = slice(start, start + QUESTION_SLICE)
-                scores = np.round(vectors @ questions[part].T, SCORE_DIGITS)
+                scores = rounded(vectors @ questions[part].T)
                 top = np.argsort(-scores, axis=0, kind="stable")[:k]
-                yield pd.DataFrame(
-                    {
-                        "question_id": np.tile(ids[part], len(top)),
-                        "source_file": files[top].ravel(),
-                        "chunk_ord": ords[top].ravel(),
-                        "score": np.take_along_axis(scores, top, axis=0).ravel(),
-                    }
-                )
+                asked = np.arange(len(ids))[part]
+                values = np.take_along_axis(scores, top, axis=0).ravel()
+                found.append(pd.DataFrame(dict(zip(columns, (np.tile(asked, len(top)), values, files[top].ravel(), ords[top].ravel())))))
+            best = pd.concat([x for x in (best, *found) if len(x)])
+            best = best.sort_values(columns, ascending=[True, False, True, True], kind="stable").groupby("question").head(k)
+        if len(best):
+            at = best["question"].to_numpy().astype(int)
+            yield pd.DataFrame({"question_id": ids[at], **{c: best[c].to_numpy() for c in columns[2:]}, "score": best["score"].to_numpy()})
 
     return score

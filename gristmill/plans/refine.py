@@ -48,7 +48,7 @@ FACTS = (
     " n_issues bigint, plan_issues array<string>, branch_audit array<string>"
 )
 ISSUES = "source_file string, stage int, pos bigint, issue string"
-FINDINGS = "source_file string, part int, pos bigint, ord int, type string, preview string"
+FINDINGS = "source_file string, part int, rank int, pos bigint, ord int, type string, preview string"
 
 
 @dataclass
@@ -173,7 +173,8 @@ def _csv_branch(
     if not source.feeds:
         return Branch(rejected.unionByName(empty_feed_facts(others, contract)))
     rows = stage(repair_and_redact(source.feeds, contract), "feed-rows")
-    records = deduplicate(rows, contract)
+    # Issues name every bad row, so they come from all rows; the rest reads what is left.
+    records = stage(deduplicate(rows, contract), "feed-records")
     plans = plan_table(spark, [f.header for f in source.feeds], contract)
     facts = feed_facts(records, plans, contract)
     empty = others.join(facts.select("source_file"), "source_file", "left_anti")
@@ -248,6 +249,13 @@ def _pdf_branch(
 
 
 def explode_findings(df: DataFrame, column: str, part: int) -> DataFrame:
-    """One row per finding; ``part, pos, ord`` give the order within a file."""
+    """One row per finding; ``part, rank, pos, ord`` give the order within a file.
+
+    Raw texts (part 0) are scanned whole, detector by detector, whatever pieces
+    they were cut into; fields (part 1) record by record.
+    """
     flat = df.select("source_file", F.lit(part).alias("part"), "pos", F.posexplode_outer(column).alias("ord", "f"))
-    return flat.where("f IS NOT NULL").select("source_file", "part", "pos", "ord", "f.type", "f.preview")
+    rank = F.col("f.detector") if part == 0 else F.lit(0)
+    return flat.where("f IS NOT NULL").select(
+        "source_file", "part", rank.alias("rank"), "pos", "ord", "f.type", "f.preview"
+    )

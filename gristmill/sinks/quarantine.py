@@ -10,35 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.refine import RefineResult
-from ..sources.listing import file_name, read_paths, split_size
+from ..sources.listing import file_name, read_paths
 
 
 def quarantine(spark: SparkSession, result: RefineResult, target: str) -> None:
     """Write flagged originals and their findings under ``target``.
 
-    * ``originals``: files up to one split, as bytes;
-    * ``original_lines``: bigger files, as numbered lines written by many tasks;
+    * ``originals``: the lines of every flagged file, of any size and kind, as
+      bytes with the file's length; ``block`` and ``seq`` give their order;
     * ``findings``: one row per finding.
     """
     flagged = {r["source_file"] for r in result.decisions.where("quarantine").select("source_file").collect()}
-    files = [f for f in result.files if f.name in flagged]
-    limit = split_size(spark)
-    small = [f for f in files if f.size <= limit]
-    large = [f for f in files if f.size > limit]
     # A reader's path list has one entry per flagged file, the size of a listing.
-    documents = [f for f in small]
-    if small:
-        (
-            spark.read.format("binaryFile")
-            .load(read_paths(small))
-            .select(file_name().alias("source_file"), "length", "content")
-            .write.mode("append")
-            .parquet(f"{target}/originals")
-        )
-    if large:
+    files = [f for f in result.files if f.name in flagged]
+    if files:
         (
             spark.read.option("lineSep", "\n")
-            .text(read_paths(large))
+            .text(read_paths(files))
             .select(
                 file_name().alias("source_file"),
                 F.col("_metadata.file_size").alias("length"),
@@ -47,7 +35,7 @@ def quarantine(spark: SparkSession, result: RefineResult, target: str) -> None:
                 F.col("value").cast("binary").alias("line"),
             )
             .write.mode("append")
-            .parquet(f"{target}/original_lines")
+            .parquet(f"{target}/originals")
         )
     findings_of_flagged(result).write.mode("append").parquet(f"{target}/findings")
 
@@ -57,9 +45,15 @@ def findings_of_flagged(result: RefineResult) -> DataFrame:
     return result.findings.join(flagged, "source_file", "left_semi")
 
 
+def original(originals: DataFrame, source_file: str) -> DataFrame:
+    """The lines of one original in order; joined by line feeds and, where the
+    length asks for one more, closed by one, they are the file's bytes."""
+    return originals.where(F.col("source_file") == source_file).orderBy("block", "seq").select("line", "length")
+
+
 def findings_json(findings: DataFrame) -> DataFrame:
     """The findings report of each file as one JSON text, in scan order."""
-    ordered = F.array_sort(F.collect_list(F.struct("part", "pos", "ord", "type", "preview")))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "rank", "pos", "ord", "type", "preview")))
     shown = F.transform("ordered", lambda f: F.struct(f["type"].alias("type"), f["preview"].alias("preview")))
     return (
         findings.groupBy("source_file").agg(ordered.alias("ordered"))

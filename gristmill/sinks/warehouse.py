@@ -20,9 +20,6 @@ from ..operators.answer import answer
 from ..operators.search import search, search_batch
 from ..plans.refine import RefineResult
 
-# Longer issue lists stay in the issues table only, where every list is whole.
-INLINE_ISSUES = 10_000
-
 SCHEMAS = {
     "transactions": "txn_id string, date string, amount double, currency string, merchant string,"
     " category string, source_file string, run_id string",
@@ -45,16 +42,18 @@ def new_run_id() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("r%Y%m%dT%H%M%S%f-") + uuid.uuid4().hex[:8]
 
 
-def lineage_rows(decisions: DataFrame, issues: DataFrame, inline: int = INLINE_ISSUES) -> DataFrame:
-    """One row per processed file, loaded or not (time and run are added on write)."""
-    short = decisions.where(F.col("n_issues") <= inline).select("source_file")
+def lineage_rows(decisions: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row per processed file, loaded or not (time and run are added on write).
+
+    ``unfixed`` is the whole list whatever its length; the ``issues`` table has
+    the same as rows, for readers of files with very many.
+    """
     listed = (
-        issues.join(short, "source_file", "left_semi")
-        .groupBy("source_file")
+        issues.groupBy("source_file")
         .agg(F.array_sort(F.collect_list(F.struct("stage", "pos", "issue"))).alias("l"))
         .select("source_file", F.to_json(F.transform("l", lambda i: i["issue"])).alias("listed"))
     )
-    unfixed = F.when(F.col("n_issues") <= inline, F.coalesce("listed", F.lit("[]")))
+    unfixed = F.coalesce("listed", F.lit("[]"))
     return decisions.join(listed, "source_file", "left").select(
         "source_file",
         "file_type",

@@ -49,7 +49,7 @@ def first_invoice(spark, text):
 
 def test_full_invoice(spark):
     (r,), f = first_invoice(spark, FULL_INVOICE)
-    assert (r["invoice_number"], r["vendor"], r["total_amount"], r["currency"]) == ("INV-2026-001", "Gulf Office Supplies LLC", 4520.0, "AED")
+    assert (r["invoice_number"], r["vendor"], r["total_amount"], r["currency"]) == ("HPW-31-01", "Heron Paper Works", 3915.0, "AED")
     assert (r["invoice_date"], r["due_date"], f["confidence"]) == ("2026-07-01", "2026-08-01", 1.0)
 
 
@@ -75,7 +75,7 @@ def test_invoice_details(spark):
 
 
 def test_invoice_redaction_counts_text_and_record(spark):
-    text = FULL_INVOICE.replace("Gulf Office Supplies LLC", "Gulf 055-987-6543")
+    text = FULL_INVOICE.replace("Heron Paper Works", "Gulf 055-310-7729")
     (r,), f = first_invoice(spark, text)
     assert r["vendor"] == "Gulf [REDACTED-PHONE]" and f["n_findings"] == 2 and f["pii_types"] == ["phone"]
 
