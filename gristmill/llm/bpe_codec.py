@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import map_batches, slices, texts_of
+from gristmill.llm.common import map_batches, slices, stage_tightly, texts_of
 from gristmill.session import stage
 
 # Words in the table that every task holds (about 160 bytes each there).
@@ -152,13 +152,15 @@ def _bucket(word: str, buckets: int) -> int:
     return crc32(word.encode()) % buckets
 
 
-def packed(places: np.ndarray) -> bytes:
-    """Four planes of bytes, low to high, as most places are small."""
-    return np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as four planes of bytes, low to high, packed by zstd: most are small, so planes pack well."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
 
 
-def unpacked(data) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+def unpacked(data: bytes) -> np.ndarray:
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 _SLICES = "doc_ids array<long>, sizes array<int>, places binary, sent array<struct<bucket:int,words:array<string>>>"
@@ -222,8 +224,8 @@ def answered(sent: DataFrame, path: str) -> DataFrame:
                 all_ids = np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in ids)])
                 columns = [
                     rows.column("slice"), rows.column("bucket"),
-                    pa.array([all_ids[to[a] : to[b]].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.array([lengths[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array([packed(all_ids[to[a] : to[b]]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array([packed(lengths[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["slice", "bucket", "ids", "lengths"])
 
@@ -244,7 +246,7 @@ def encode(docs: DataFrame, path: str, most: int = FREQUENT_WORDS):
     spark = docs.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = WordTable(docs, path, most)
-    rows = stage(as_places(docs, path, table, buckets).withColumn("slice", F.monotonically_increasing_id()), "places")
+    rows = stage_tightly(as_places(docs, path, table, buckets).withColumn("slice", F.monotonically_increasing_id()), "places")
     sent = rows.select("slice", F.explode("sent").alias("x")).select("slice", "x.bucket", "x.words")
     answers = answered(sent.repartition("bucket").sortWithinPartitions("bucket"), path)
     answers = answers.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids", "lengths"))).alias("found"))
@@ -267,9 +269,9 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
         spelled = np.array([str(i) for i in range(len(piece))], dtype=object)
         for batch in batches:
             for row in batch.to_pylist():
-                lengths = np.frombuffer(b"".join(row["lengths"] or []), np.int32)
-                source = np.concatenate([flat, np.frombuffer(b"".join(row["ids"] or []), np.int32)])
-                starts = np.concatenate([begin, len(flat) + np.cumsum(lengths, dtype=np.int64)])
+                lengths = np.concatenate([np.empty(0, np.int64), *map(unpacked, row["lengths"] or [])])
+                source = np.concatenate([flat, *map(unpacked, row["ids"] or [])])
+                starts = np.concatenate([begin, len(flat) + np.cumsum(lengths)])
                 at, used, out = unpacked(row["places"]), 0, []
                 for doc, size in zip(row["doc_ids"], row["sizes"]):
                     own = at[used : (used := used + size)]
