@@ -29,7 +29,7 @@ from gristmill.session import stage
 
 DISCOUNT = 0.75
 # Training tokens a shard should have; tokens and texts of a block (what a task packs at once).
-SHARD_TOKENS, BLOCK_TOKENS, BLOCK_TEXTS = 3_000_000, 2_500_000, 30_000
+SHARD_TOKENS, BLOCK_TOKENS, BLOCK_TEXTS = 2_000_000, 2_500_000, 30_000
 # Parts of a context that is split, and the share of a shard from which one is.
 PARTS, SPLIT_SHARE = 64, 0.125
 
