@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.repair import Feed
-from .listing import SourceFile, file_name, hidden, read_head, read_paths, split_size
+from ..session import local_frame
+from .listing import SourceFile, file_name, head_record, hidden, read_paths, split_size
 from .segments import inside_quotes, join_lines, oversize_files, read_lines, running_total
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
@@ -36,7 +37,10 @@ def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
     small = [f for f in readable if f.size <= limit]
     large = [f for f in readable if f.size > limit]
     first, invalid = _first_lines(spark, small)
-    first |= {f.name: _head_line(read_head(spark, f)) for f in large}
+    heads = {f.name: head_record(spark, f) for f in large}
+    # A first line that leaves a quote open goes on below it.
+    heads |= {f.name: head_record(spark, f) for f in small if first.get(f.name, "").count('"') % 2}
+    first |= {name: text for name, (text, _) in heads.items()}
     invalid += _invalid_names(spark, large)
     oversize = oversize_files(_broken_lines(inside_quotes(read_lines(spark, large))), "record") if large else []
     bad = {*invalid, *oversize}
@@ -47,7 +51,7 @@ def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
             header = parse_header(first[f.name])
             groups[header, f.size > limit].append(f)
     feeds = [
-        Feed(_parse_large(spark, fs, header) if big else _parse_small(spark, fs, header), header)
+        Feed(_parse_large(spark, fs, header, heads) if big else _parse_small(spark, fs, header), header)
         for (header, big), fs in sorted(groups.items(), key=lambda g: g[0])
     ]
     return CsvSource(feeds, [f.name for f in files if hidden(f)], sorted(set(invalid)), oversize)
@@ -57,11 +61,6 @@ def parse_header(line: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
 
 
-def _head_line(head: bytes) -> str:
-    lines = head.decode("utf-8", errors="ignore").removeprefix("\ufeff").splitlines()
-    return next((line for line in lines if line.strip()), "")
-
-
 def _lines(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
     return spark.read.text(read_paths(files)).select(
         file_name().alias("source_file"), F.monotonically_increasing_id().alias("seq"), "value"
@@ -126,7 +125,9 @@ def _broken_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def _parse_large(spark: SparkSession, files: list[SourceFile], header: tuple[str, ...]) -> DataFrame:
+def _parse_large(
+    spark: SparkSession, files: list[SourceFile], header: tuple[str, ...], heads: dict[str, tuple[str, int]]
+) -> DataFrame:
     """Records of files read by many tasks.
 
     Lines that hold a whole record, nearly all of them, are parsed where they
@@ -136,7 +137,8 @@ def _parse_large(spark: SparkSession, files: list[SourceFile], header: tuple[str
     whole = lines.where(~(F.col("inside") | F.col("ends"))).select("source_file", "pos", F.col("line").alias("text"))
     joined = join_lines(_broken_lines(lines), "record").select("source_file", "pos", "text")
     records = whole.unionByName(joined).where(F.trim("text") != "")
-    # The header is the first line of the first split.
-    body = records.where(F.col("pos") > 1)
+    # Lines of the first split are numbered from 1; blank ones may precede the header.
+    headers = local_frame(spark, [(f.name, heads[f.name][1]) for f in files], "source_file string, header_pos bigint")
+    body = records.join(headers, "source_file").where(F.col("pos") > F.col("header_pos"))
     parsed = F.from_csv("text", F.lit(_schema(header)), {"escape": '"', "multiLine": "true"})
     return _as_feed(body.select("source_file", "pos", parsed.alias("r")).select("source_file", "pos", "r.*"), header)

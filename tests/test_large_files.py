@@ -90,3 +90,28 @@ def test_record_too_long_goes_to_review(spark, tmp_path, tiny_splits, monkeypatc
     for name in ("open.csv", "one.txt"):
         assert got[name]["action"] == "REVIEW" and got[name]["plan_issues"] == [OVERSIZE]
     assert got["one.txt"]["file_type"] == "email"
+
+
+def test_headers_are_found_whatever_the_split_size(spark, tmp_path):
+    body = "".join(f"T-{i},2026-06-02,{i}.5,AED,shop {i},g\n" for i in range(40))
+    wide = ",".join(f"x{k:04d}" + "y" * 300 for k in range(250))
+    plain = ",".join(HEADER)
+    (tmp_path / "blank.csv").write_text("\n\n" + plain + "\n" + body)
+    (tmp_path / "wide.csv").write_text(wide + "," + plain + "\n" + "".join("," * 250 + line + "\n" for line in body.splitlines()))
+    (tmp_path / "quoted.csv").write_text(plain + ',"no\nte"\n' + "".join(line + ",n\n" for line in body.splitlines()))
+    (tmp_path / "crlf.csv").write_bytes((plain + "\n" + body).replace("\n", "\r\n").encode())
+    seen = []
+    for size in ("700", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            done = refine(spark, str(tmp_path))
+            decisions = done.decisions.orderBy("source_file").select("source_file", "action", "quality_score", "n_records", "fixes").collect()
+            records = sorted(tuple(r) for r in done.records["transactions"].select("source_file", *HEADER).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        seen.append((decisions, records))
+    assert [tuple(r)[:4] for r in seen[0][0]] == [tuple(r)[:4] for r in seen[1][0]]
+    assert seen[0] == seen[1]
+    got = {r["source_file"]: r for r in seen[0][0]}
+    assert all(r["n_records"] == 40 and r["action"] == "LOAD" for r in got.values())
+    assert got["wide.csv"]["fixes"][-1].endswith("x0249" + "y" * 300) and any("no\nte" in f for f in got["quoted.csv"]["fixes"])

@@ -6,7 +6,8 @@ import pytest
 from fixtures import DRIFTED_CSV, INVOICE_TEXTS, MAILS, write_folder
 
 from gristmill.plans.refine import refine
-from gristmill.sinks.quarantine import findings_json, original, quarantine
+from gristmill.sinks.batch import run_batch
+from gristmill.sinks.quarantine import findings_json, original
 from gristmill.sinks.warehouse import Warehouse, lineage_rows
 
 
@@ -24,7 +25,8 @@ def result(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def warehouse(spark, result, tmp_path_factory):
     made = Warehouse(spark, str(tmp_path_factory.mktemp("wh")))
-    made.counts = made.load(result).first().asDict()
+    made.restricted = str(tmp_path_factory.mktemp("restricted"))
+    made.counts = run_batch(result, made, made.restricted).first().asDict()
     return made
 
 
@@ -111,15 +113,14 @@ def test_search_answers_and_sql(spark, warehouse):
     assert spark.sql("SELECT sum(amount) AS s FROM transactions WHERE source_file = 'drifted.csv'").first()["s"] == 1387.25
 
 
-def test_quarantine(spark, result, tmp_path):
-    quarantine(spark, result, str(tmp_path / "q"))
-    kept = spark.read.parquet(str(tmp_path / "q/originals"))
+def test_quarantine(spark, warehouse):
+    kept = spark.read.parquet(f"{warehouse.restricted}/originals")
     assert {r["source_file"] for r in kept.collect()} == {"emails.txt", "crlf.eml", "invoice_002.pdf"}
     for name, data in (("emails.txt", MAILS.encode()), ("crlf.eml", MAILS.replace("\n", "\r\n").encode())):
         lines = original(kept, name).collect()
         joined = b"\n".join(bytes(r["line"]) for r in lines)
         assert joined + b"\n" * (lines[0]["length"] - len(joined)) == data
-    found = spark.read.parquet(str(tmp_path / "q/findings"))
+    found = spark.read.parquet(f"{warehouse.restricted}/findings")
     reports = {r["source_file"]: json.loads(r["findings"]) for r in findings_json(found).collect()}
     assert reports["invoice_002.pdf"] == [{"type": "phone", "preview": "+971***"}]
     assert [f["type"] for f in reports["emails.txt"]] == [
