@@ -17,10 +17,6 @@ def suffix(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(?s).(\.[^.]+)$", 1))
 
 
-def is_text_name(name: Column) -> Column:
-    return suffix(name).isin(".eml", ".txt")
-
-
 def looks_like_mail(text: Column) -> Column:
     head = F.substring(text, 1, SNIFF_CHARS)
     found = F.lit(True)

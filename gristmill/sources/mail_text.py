@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.classify import SNIFF_CHARS, looks_like_mail
+from ..operators.classify import MAIL_MARKS, SNIFF_CHARS
 from ..operators.mail import keep_messages, normalise_newlines
 from .listing import SourceFile, file_name, read_head, read_paths
 from .segments import join_lines, oversize_files, read_lines, running_total
@@ -27,16 +27,11 @@ def read_texts(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
     )
 
 
-def sniff(texts: DataFrame) -> DataFrame:
-    return texts.select("source_file", looks_like_mail(F.col("raw_text")).alias("mail"))
-
-
 def sniff_head(spark: SparkSession, file: SourceFile) -> bool:
     """The same test on the head of a file bigger than a split."""
     text = read_head(spark, file).decode("utf-8", errors="ignore")
     head = text.replace("\r\n", "\n").replace("\r", "\n")[:SNIFF_CHARS]
-    one = spark.range(1).select(looks_like_mail(F.lit(head)).alias("mail"))
-    return one.first()["mail"]
+    return all(mark in head for mark in MAIL_MARKS)
 
 
 def _numbered_lines(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
