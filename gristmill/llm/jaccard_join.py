@@ -217,7 +217,8 @@ def leaders(lists: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(a[first]), pa.array(times.astype(np.int64))], names=["b", "a", "times"])
 
     picked = lists.sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "b long, a long, times long")
-    picked = picked.groupBy("b", "a").agg(F.sum("times").alias("times"))
+    # Sets that meet in one list only seldom link; they stay open instead of getting a leader.
+    picked = picked.groupBy("b", "a").agg(F.sum("times").alias("times")).where("times > 1")
     return picked.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("x")).select("b", (-F.col("x.a")).alias("a"))
 
 
