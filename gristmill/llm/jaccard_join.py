@@ -409,12 +409,15 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, most_f
     return named.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id isn't in ``gone`` (one column of distinct ids).
+def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id isn't in ``gone``; of an id in ``repeated`` one row stays.
 
-    A filter of fixed size tells most rows apart where they are; only rows that it holds are joined.     """
+    Both have one column of distinct ids.  A filter of fixed size tells most rows apart where they are; only rows that
+    it holds are joined.
+    """
     gone = gone.toDF("gone_from_these_rows")
-    shared = Shared(docs.sparkSession, id_filter(gone))
+    held = gone if repeated is None else gone.union(repeated)
+    shared = Shared(docs.sparkSession, id_filter(held))
 
     def part(inside: bool):
         def run(batches):
@@ -426,4 +429,5 @@ def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, docs.schema)
 
-    return part(False).union(part(True).join(gone, F.col("doc_id") == F.col("gone_from_these_rows"), "left_anti"))
+    left = part(True).join(gone, F.col("doc_id") == F.col("gone_from_these_rows"), "left_anti")
+    return part(False).union(left if repeated is None else left.dropDuplicates(["doc_id"]))

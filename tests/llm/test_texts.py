@@ -123,6 +123,7 @@ def test_pipeline(spark, tmp_path):
         rows.append((k, " ".join(text), "en", f"s{k % 3}", 0))
         labels.append((k, 1, int(toxic)))
     rows += [(200, rows[1][1], "en", "s1", 0), (201, rows[1][1] + " end", "en", "s1", 0), (202, None, None, None, None), (203, "write to me@home.example now", "en", "s0", 0)]
+    rows.append(rows[2])
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "pii", "mixing", "bpe"]
