@@ -7,7 +7,6 @@ Parquet and read again as the next one's ``docs``.  All but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gristmill.llm import bpe_codec, jaccard_join, mixing, sanitize, toxicity
 from gristmill.llm.queries import tokenizer_path
@@ -20,10 +19,11 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose id is the smallest of its component; rows without an id stay, of rows that repeat one stays."""
-    ids = jaccard_join.jaccard_components(docs)
-    gone = stage(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return jaccard_join.without_ids(docs, gone)
+    """Rows whose id is the smallest of its component; rows without an id stay, and of rows that repeat an id one."""
+    ids = stage(jaccard_join.jaccard_components(docs), "components")
+    gone = ids.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return jaccard_join.without_ids(docs, stage(gone, "gone"), stage(repeated, "repeated"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
