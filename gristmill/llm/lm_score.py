@@ -218,7 +218,7 @@ def shard_rows(rows: pa.Table, split: np.ndarray, split_counts: np.ndarray, hot:
         prob = np.log10((times - DISCOUNT) / whole[of])
     trie = Trie(keys[seen], backoff, vocabulary, levels[of], to, prob).mapped()
     asked, which = np.unique(pair, return_inverse=True)
-    found, value, _ = trie.look_up(keys[asked // len(vocabulary)], vocabulary[asked % len(vocabulary)])
+    found, value, _ = trie.look_up_pairs(keys, asked // len(vocabulary), vocabulary, asked % len(vocabulary))
     score, missed = value[which], ~found[which]
     # The context is itself a token, but for the start; parts of split contexts count as wholes.
     as_token = (_at(np.sort(mix(START ^ _PART)), keys) < 0)[rank]
