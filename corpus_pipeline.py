@@ -13,6 +13,10 @@ from gristmill.llm.queries import tokenizer_path
 from gristmill.session import stage
 
 
+# Near copies: shingles of five words, linked from 80 hundredths on.
+SHINGLE_WORDS, PERCENT = 5, 80
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model doesn't reject; it learns from the labelled rows among them."""
     return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -20,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose id is the smallest of its component; rows without an id stay, and of rows that repeat an id one."""
-    ids = stage(jaccard_join.jaccard_components(docs), "components")
+    ids = stage(jaccard_join.jaccard_components(docs, SHINGLE_WORDS, PERCENT), "components")
     gone = ids.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     return jaccard_join.without_ids(docs, stage(gone, "gone"), stage(repeated, "repeated"))
