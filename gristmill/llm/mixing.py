@@ -61,18 +61,15 @@ def targets(sizes: DataFrame, share: float, most: float) -> DataFrame:
     ranked = ranked.withColumn("_weight", weight.cast("long")).withColumn("_ratio", F.lit(most) * F.col("source_size") / F.col("_weight"))
     ranked = running_sum(ranked, "_all", ["_ratio", "_nth"], "source_size", "_size_to")
     ranked = running_sum(ranked, "_all", ["_ratio", "_nth"], "_weight", "_weight_to")
-    whole = ranked.agg(F.sum("source_size").alias("_size_all"), F.sum("_weight").alias("_weight_all"))
+    # Four numbers of the whole table decide the level.
+    size_all, weight_all = (x or 0 for x in ranked.agg(F.sum("source_size"), F.sum("_weight")).first())
     # A source is full if its own level, with all sources up to it full, asks for no more than there is.
-    asked = F.lit(most) * F.col("_size_to") + F.col("_ratio") * (F.col("_weight_all") - F.col("_weight_to"))
-    full = asked <= F.lit(share) * F.col("_size_all")
-    marked = ranked.join(F.broadcast(whole)).withColumn("_full", full)
-    rest = marked.agg(
-        F.coalesce(F.max(F.when(F.col("_full"), F.col("_size_to"))), F.lit(0)).alias("_size_full"),
-        F.coalesce(F.max(F.when(F.col("_full"), F.col("_weight_to"))), F.lit(0)).alias("_weight_full"),
-    )
-    last = (F.lit(share) * F.col("_size_all") - F.lit(most) * F.col("_size_full")) / F.nullif(F.col("_weight_all") - F.col("_weight_full"), F.lit(0))
-    target = F.when(F.col("_full"), F.lit(most) * F.col("source_size")).otherwise(last * F.col("_weight"))
-    return marked.join(F.broadcast(rest)).select("source", "source_size", F.least(target, F.lit(most) * F.col("source_size")).alias("target"))
+    asked = F.lit(most) * F.col("_size_to") + F.col("_ratio") * (F.lit(weight_all) - F.col("_weight_to"))
+    marked = ranked.withColumn("_full", asked <= F.lit(share * size_all))
+    size_full, weight_full = (x or 0 for x in marked.where("_full").agg(F.max("_size_to"), F.max("_weight_to")).first())
+    level = (share * size_all - most * size_full) / (weight_all - weight_full) if weight_all > weight_full else 0.0
+    target = F.when(F.col("_full"), F.lit(most) * F.col("source_size")).otherwise(F.lit(level) * F.col("_weight"))
+    return marked.select("source", "source_size", F.least(target, F.lit(most) * F.col("source_size")).alias("target"))
 
 
 ORACLE_SQL = r"""
