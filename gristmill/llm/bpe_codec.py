@@ -33,7 +33,9 @@ from gristmill.session import stage
 # Words in the table that every task holds (about 160 bytes each there).
 FREQUENT_WORDS = 1 << 19
 # A task reports words from this count on, and forgets words seen once whenever it holds this many.
-SEEN, HELD = 3, 400_000
+SEEN, HELD = 3, 250_000
+# Bytes of text in a slice that exchanges words with the buckets.
+SLICE_BYTES = 2 << 20
 
 # The public split pattern of byte-level BPE, with white space as Unicode defines it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -176,7 +178,7 @@ def as_places(docs: DataFrame, path: str, table: WordTable, buckets: int) -> Dat
         of = table.places()
         split = _splitter(path)
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, SLICE_BYTES):
                 sizes, found, others = [], [], {}
                 for text in piece.column("text").to_pylist():
                     words = split(text)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gristmill.session import scratch_root, stage
 
 # Bytes of text that one vectorised step of a map task looks at (a longer text is one step).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 TEXT_SCHEMA = "doc_id long, text string"
 
@@ -123,7 +123,7 @@ def _power_pair(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return _power_pair(1 << max(22, int(size).bit_length()))
+    return _power_pair(1 << max(20, int(size).bit_length()))
 
 
 _SPACE = np.ones(256, dtype=bool)

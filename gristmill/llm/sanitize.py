@@ -165,7 +165,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     for w in words:
                         if wanted[w]:
                             counts[w] = counts.get(w, 0) + 1
-                    if len(wanted) > 400_000:
+                    if len(wanted) > 150_000:
                         wanted.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 

@@ -125,9 +125,10 @@ class Matcher:
         """The weight of the best match without an edit, and with one."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
-            found = self.known[word] = max(self._walk(word), self._walk(word.translate(SIGNS)))
+            found = max(self._walk(word), self._walk(word.translate(SIGNS)))
+            found = self.known[word] = found if any(found) else NO_MATCH
         return found
 
     def _walk(self, word: str) -> tuple[float, float]:
@@ -157,6 +158,7 @@ def quoted(words: list[str], at: int) -> float:
 
 
 N_FEATURES = 6
+NO_MATCH = (0.0, 0.0)
 
 
 def features(text: str, matcher: Matcher) -> list[float]:
