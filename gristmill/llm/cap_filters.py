@@ -1,11 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters with structured random product codes.
 
 A vector is rotated at random and cut into ``BLOCKS`` parts; each part has a small random code, and a filter is one
-code word a part, so few words span very many directions.  A vector belongs to every filter whose inner product with
-it reaches the cap's height; these are list-decoded part by part, dropping what can't reach it any more.  Vectors that
-share a filter are compared in double precision.  With n vectors the height leaves about ``BUCKET`` of n random
-vectors in a filter, and as many filters are drawn as make a pair exactly at the threshold share ``SHARED`` of them on
-average, spread over ``TABLES`` independent rotations; the share of pairs missed is of the order of exp(-SHARED).
+code word a part, so few words span very many directions.  A vector belongs to its ``NEAREST`` filters of every table
+(a rotation with its codes): the cap's height is the vector's own, so none is without filters.  They are list-decoded
+part by part, dropping what can't reach the height any more.  Vectors that share a filter are compared in double
+precision.  With n vectors of a length there are about n / ``LOAD`` filters a table.  A table's filters share code words,
+so how likely a pair meets isn't worked out but measured: pairs exactly at the threshold are decoded by the code itself
+and tables added until ``RECALL`` of them meet.
 
 Equal vectors are one vector with a weight.  Filters that hold more than ``CELL`` vectors are cut into cells, pairs of
 chunks, which different tasks compare.  A pair is counted in the smallest filter both are in, so tasks return numbers
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,59 +31,78 @@ from gristmill.llm.lm_score import grouped
 from gristmill.llm.vectors import by_length, usable
 from gristmill.session import stage
 
-BLOCKS, TABLES = 4, 4
-BUCKET, SHARED, CELL = 64, 12.0, 4096
-
-
-def plan(n: int, threshold: float) -> tuple[float, int]:
-    """The cap's height (in standard deviations of a random inner product) and the code words a part."""
-    normal = NormalDist()
-    p = min(0.02, BUCKET / max(n, 1))
-    height = -normal.inv_cdf(p)
-    # How likely a vector at the threshold is in a filter that its partner is in: averaged over the partner's height.
-    steps = [height + 0.02 * k for k in range(200)]
-    weight = [normal.pdf(z) for z in steps]
-    noise = math.sqrt(max(1e-12, 1 - threshold**2))
-    both = sum(w * (1 - normal.cdf((height - threshold * z) / noise)) for z, w in zip(steps, weight)) / sum(weight)
-    filters = SHARED / both / p / TABLES
-    return height, max(2, math.ceil(filters ** (1 / BLOCKS)))
-
-
-@lru_cache(8)
-def _code(d: int, words: int, seed: int = 11) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    """For each table a rotation and the parts' code words (unit vectors)."""
-    rng = np.random.default_rng([seed, d, words])
-    out = []
-    for _ in range(TABLES):
-        rotation, _ = np.linalg.qr(rng.normal(size=(d, d)))
-        parts = []
-        for size in (len(x) for x in np.array_split(np.arange(d), min(BLOCKS, d))):
-            c = rng.normal(size=(words, size))
-            parts.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        out.append((rotation, parts))
-    return out
-
-
-def decode(x: np.ndarray, height: float, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) of every filter that the unit rows of ``x`` reach; a list decoding that prunes part by part."""
+BLOCKS, NEAREST, CELL = 4, 4, 4096
+# Vectors of a length for each filter of a table; the share of pairs exactly at the threshold that have to meet, and
+# the pairs it is measured with; more tables than these are worse than fewer words.
+LOAD, RECALL, TRIALS, MOST_TABLES = 6, 0.99, 2000, 64
+
+
+def plan(n: int, d: int, threshold: float) -> tuple[int, int]:
+    """The code words a part and the number of tables for ``n`` vectors of ``d`` components."""
+    rng = np.random.default_rng([7, d])
+    x, other = unit(rng.normal(size=(TRIALS, d))), rng.normal(size=(TRIALS, d))
+    other -= (other * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(other, axis=1, keepdims=True)
+    # In one dimension nothing is orthogonal: the pair is one direction.
+    y = unit(threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * np.where(size > 1e-9, other / np.maximum(size, 1e-300), 0))
+    words = max(2, math.ceil((n / LOAD) ** (1 / BLOCKS)))
+    while words > 1:
+        met = np.zeros(TRIALS, bool)
+        for table in range(MOST_TABLES):
+            (a, f), (b, g) = (_decode(v, table, words) for v in (x, y))
+            met[np.intersect1d(f * TRIALS + a, g * TRIALS + b) % TRIALS] = True
+            if met.mean() >= RECALL:
+                return words, table + 1
+        words //= 2
+    return 1, 1
+
+
+@lru_cache(512)
+def _code(d: int, words: int, table: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A table's rotation and the parts' code words (unit vectors)."""
+    rng = np.random.default_rng([seed, d, words, table])
+    rotation, _ = np.linalg.qr(rng.normal(size=(d, d)))
+    parts = []
+    for size in (len(x) for x in np.array_split(np.arange(d), min(BLOCKS, d))):
+        # One dimension has two directions.
+        c = rng.normal(size=(words, size)) if size > 1 else np.array([[1.0], [-1.0]][:words])
+        parts.append(c / np.linalg.norm(c, axis=1, keepdims=True))
+    return rotation, parts
+
+
+def _height(inner: list[np.ndarray]) -> np.ndarray:
+    """Each row's inner product with the last of its nearest filters, which hold only the parts' best words."""
+    nearest = min(NEAREST, max(1, math.prod(part.shape[1] for part in inner) // 4))
+    best = np.zeros((len(inner[0]), 1))
+    for part in inner:
+        sums = best[:, :, None] + -np.sort(-part, axis=1)[:, None, :nearest]
+        best = -np.sort(-sums.reshape(len(part), -1), axis=1)[:, :nearest]
+    return best[:, -1]
+
+
+def _decode(x: np.ndarray, table: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of a table; a list decoding that prunes part by part."""
     d = x.shape[1]
-    rows, filters = [], []
-    for table, (rotation, parts) in enumerate(_code(d, words)):
-        y = x @ rotation
-        # A part of s of d coordinates weighs sqrt(s / d): the whole direction is a unit vector.
-        cuts = np.cumsum([0, *(c.shape[1] for c in parts)])
-        inner = [np.sqrt(c.shape[1] / d) * (y[:, lo:hi] @ c.T) for c, lo, hi in zip(parts, cuts[:-1], cuts[1:])]
-        rest = np.zeros((len(parts) + 1, len(x)))
-        for k in range(len(parts) - 1, -1, -1):
-            rest[k] = rest[k + 1] + inner[k].max(axis=1)
-        need = height / np.sqrt(d)
-        row, code, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
-        for k, part in enumerate(inner):
-            sums = total[:, None] + part[row]
-            at, word = np.nonzero(sums + rest[k + 1][row][:, None] >= need)
-            row, code, total = row[at], code[at] * words + word, sums[at, word]
-        rows.append(row)
-        filters.append((code * TABLES + table) * 1024 + min(d, 1023))
+    rotation, parts = _code(d, words, table)
+    y = x @ rotation
+    # A part of s of d coordinates weighs sqrt(s / d): the whole direction is a unit vector.
+    cuts = np.cumsum([0, *(c.shape[1] for c in parts)])
+    inner = [np.sqrt(c.shape[1] / d) * (y[:, lo:hi] @ c.T) for c, lo, hi in zip(parts, cuts[:-1], cuts[1:])]
+    rest = np.zeros((len(parts) + 1, len(x)))
+    for k in range(len(parts) - 1, -1, -1):
+        rest[k] = rest[k + 1] + inner[k].max(axis=1)
+    need = _height(inner) - 1e-9
+    row, code, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+    for k, part in enumerate(inner):
+        sums = total[:, None] + part[row]
+        at, word = np.nonzero(sums + rest[k + 1][row][:, None] >= need[row][:, None])
+        row, code, total = row[at], code[at] * words + word, sums[at, word]
+    return row, (code * MOST_TABLES + table) * 1024 + min(d, 1023)
+
+
+def decode(x: np.ndarray, words: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) of the nearest filters of the unit rows of ``x`` in every table."""
+    rows, filters = zip(*(_decode(x, table, words) for table in range(tables)))
     return np.concatenate(rows), np.concatenate(filters)
 
 
@@ -92,7 +111,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def members(classes: DataFrame, height: float, words: int) -> DataFrame:
+def members(classes: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
     """``vec_id``, ``weight``, ``vector`` (bytes of doubles), ``filters`` (ascending)."""
 
     def run(batches):
@@ -102,7 +121,7 @@ def members(classes: DataFrame, height: float, words: int) -> DataFrame:
                 x = unit(x)
                 for lo in range(0, len(at), 1024):
                     own, part = at[lo : lo + 1024], x[lo : lo + 1024]
-                    row, filters = decode(part, height, words)
+                    row, filters = decode(part, *plans[x.shape[1]])
                     order = np.lexsort((filters, row))
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(own)))]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(filters[order]))
@@ -168,8 +187,8 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9) -> DataFrame:
     rows = rows.withColumn("ok", usable_)
     good = rows.where("ok").withColumn("vector", F.expr("transform(vector, x -> double(x) + 0.0)"))
     classes = stage(good.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")), "classes")
-    height, words = plan(classes.count(), threshold)
-    dealt = stage(members(classes.repartition(table.sparkSession.sparkContext.defaultParallelism), height, words), "members")
+    plans = {r["d"]: plan(r["n"], r["d"], threshold) for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = stage(members(classes.repartition(table.sparkSession.sparkContext.defaultParallelism), plans), "members")
     light = dealt.select("vec_id", F.explode("filters").alias("filter"))
     crowded = light.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
     crowded = stage(crowded.select(F.col("filter").alias("of"), F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "crowded")

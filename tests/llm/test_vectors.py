@@ -38,6 +38,31 @@ def test_links_match_brute_force(spark, monkeypatch, cell):
     assert got[None] == (0, None, False) and got[950] == (0, 950, True) and len(got) == len(rows)
 
 
+def test_pairs_at_the_threshold_meet():
+    rng = np.random.default_rng(12)
+    for n, d in ((2_000, 64), (20_000, 64), (200_000, 64), (2_000_000, 64), (5_000, 2), (5_000, 6)):
+        x, y = cap_filters.unit(rng.normal(size=(800, d))), rng.normal(size=(800, d))
+        y = 0.9 * x + np.sqrt(0.19) * cap_filters.unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+        own, near, scaled = ([set() for _ in x] for _ in range(3))
+        for found, rows in ((own, x), (near, y), (scaled, cap_filters.unit(3 * x))):
+            for row, code in zip(*cap_filters.decode(rows, *cap_filters.plan(n, d, 0.9))):
+                found[row].add(code)
+        assert np.mean([not a & b for a, b in zip(own, near)]) < 0.025, (n, d)
+        assert all(a & b for a, b in zip(own, scaled)), (n, d)
+
+
+def test_recall_among_twenty_thousand(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    y = cap_filters.unit(rng.normal(size=(400, 64)))
+    x[-400:] = cap_filters.unit(x[:400]) * 0.905 + np.sqrt(1 - 0.905**2) * y
+    x = x.astype(np.float32)
+    u = cap_filters.unit(x.astype(float))
+    links = sum(int((u[k : k + 1000] @ u.T >= 0.9).sum()) for k in range(0, len(u), 1000)) - len(u)
+    got = cap_filters.near_duplicates(table(spark, [(k, v.tolist()) for k, v in enumerate(x)]))
+    assert links > 200 and 0.97 * links <= sum(r["n_links"] for r in got.collect()) <= links
+
+
 def test_repeated_rows_link_with_each_other(spark):
     rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [-1.0, 2.0])]
     got = sorted(tuple(r) for r in cap_filters.near_duplicates(table(spark, rows)).collect())
