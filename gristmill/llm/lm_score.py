@@ -8,7 +8,8 @@ Occurrences (context, word, document) are dealt by context to shards, so a shard
 the training pairs, builds its levels, maps them into memory and looks its occurrences up.  Only words whose pair was
 not seen travel once more, to the shard that counted them.  Nothing that grows with the corpus is broadcast.  Contexts
 that hold a large part of all tokens (a list of bounded size, found and then counted exactly) are split by the word:
-a part knows the context's whole count, and estimates n(v) as the number of parts times its own distinct successors.
+a part knows the context's whole count and reports its own distinct successors, which no other part has.  Their sum is
+n(v); a document's new pairs with such a context are counted, and weighed once the sums are there.
 
 Defined results: a null text is empty and has the end as its only token; without training rows N, V and all counts are
 0, and scores are 0 (log of 1); repeated rows get a row each; null ids are rows like any other.
@@ -187,8 +188,11 @@ def _sums(block: int, doc: np.ndarray, known, base, score, missed) -> pa.RecordB
     )
 
 
-def shard_rows(rows: pa.Table, split: np.ndarray, split_counts: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, ends: int, shards: int):
-    """What a shard finds: sums per block (kind 0), words to ask other shards for (kind 1), its words' counts (kind 2)."""
+def shard_rows(
+    rows: pa.Table, split: np.ndarray, split_of: np.ndarray, split_counts: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, ends: int, shards: int
+):
+    """What a shard finds: sums per block (kind 0), words to ask other shards for (kind 1), its words' counts (kind 2),
+    new pairs of split contexts per document (kind 4) and distinct successors of its parts of such (kind 5)."""
 
     def arrays(name, kind):
         return [np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)]
@@ -210,7 +214,6 @@ def shard_rows(rows: pa.Table, split: np.ndarray, split_counts: np.ndarray, hot:
     distinct = np.bincount(of, minlength=len(keys))
     part = _at(split, keys)
     whole = np.where(part >= 0, split_counts[np.maximum(part, 0)] if len(split) else 0, total)
-    distinct = np.where(part >= 0, distinct * PARTS, distinct)
     seen = total > 0
     levels = np.cumsum(seen) - 1
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -220,6 +223,10 @@ def shard_rows(rows: pa.Table, split: np.ndarray, split_counts: np.ndarray, hot:
     asked, which = np.unique(pair, return_inverse=True)
     found, value, _ = trie.look_up_pairs(keys, asked // len(vocabulary), vocabulary, asked % len(vocabulary))
     score, missed = value[which], ~found[which]
+    # The weight of a split context takes all its parts.
+    context = np.where(part >= 0, split_of[np.maximum(part, 0)], -1)
+    later = missed & (context >= 0)[rank]
+    score = np.where(later, 0.0, score)
     # The context is itself a token, but for the start; parts of split contexts count as wholes.
     as_token = (_at(np.sort(mix(START ^ _PART)), keys) < 0)[rank]
     base = np.where(as_token, np.log10(whole[rank] + 1.0), 0.0)
@@ -237,6 +244,15 @@ def shard_rows(rows: pa.Table, split: np.ndarray, split_counts: np.ndarray, hot:
         yield _sums(int(block), doc[own], known[own], base[own], score[own], missed[own])
         for k, to_shard in _split_by((words[own][ask[own]] % np.uint64(shards)).astype(np.int64)):
             yield _row(kind=1, shard=int(k), block=int(block), places=doc[own][ask[own]][to_shard], words=words[own][ask[own]][to_shard])
+        if later[own].any():
+            pair_of, n_new = np.unique(context[rank[own][later[own]]] << 16 | doc[own][later[own]], return_counts=True)
+            yield _row(
+                kind=4, shard=-1, block=int(block), places=(pair_of & 0xFFFF).astype(np.uint16), words=(pair_of >> 16).astype(np.uint32),
+                missed=n_new.astype(np.uint32),
+            )
+    parts = part >= 0
+    if parts.any():
+        yield _row(kind=5, shard=-1, block=-1, words=context[parts].astype(np.int64), counts=distinct[parts].astype(np.int64))
     plain = seen & (part < 0)
     yield _row(kind=2, shard=int(rows.column("shard")[0].as_py()), block=-1, words=keys[plain], counts=total[plain])
 
@@ -278,9 +294,9 @@ def scored(docs: DataFrame, folds: int = 7, out: int = 2, shard_tokens: int = SH
     parts = mix(contexts[:, None] ^ _PART[None, :]).reshape(-1)
     part_counts = np.repeat(np.concatenate([hot_counts, [n_texts]]), PARTS)
     order = np.argsort(parts)
-    split, split_counts = parts[order], part_counts[order]
+    split, split_counts, split_of = parts[order], part_counts[order], order // PARTS
     shared = Shared(spark, np.sort(contexts))
-    tables = [Shared(spark, x) for x in (split, split_counts, hot, hot_counts)]
+    tables = [Shared(spark, x) for x in (split, split_of, split_counts, hot, hot_counts)]
 
     def look_up(batches):
         for rows in grouped(batches, "shard"):
@@ -307,10 +323,22 @@ def scored(docs: DataFrame, folds: int = 7, out: int = 2, shard_tokens: int = SH
                 none = np.zeros(len(c))
                 yield _sums(block.as_py(), np.frombuffer(places.as_buffer(), np.uint16), none, none, np.log10(c + 1.0), none)
 
+    def successors(batches):
+        for batch in batches:
+            for context, n in zip(*(batch.column(c) for c in ("words", "counts"))):
+                columns = [pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (context, n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["context", "n"])
+
     vocabulary = found.where("kind = 2").agg(F.sum(F.length("words") / 8)).first()[0] or 0
     v = int(vocabulary) + int((hot_counts > 0).sum()) + int(n_texts > 0)
+    distinct = np.zeros(len(contexts))
+    for r in found.where("kind = 5").mapInArrow(successors, "context long, n long").groupBy("context").agg(F.sum("n").alias("n")).collect():
+        distinct[r["context"]] = r["n"]
+    whole = np.concatenate([hot_counts, [n_texts]])
+    with np.errstate(divide="ignore"):
+        weights = Shared(spark, np.where(whole > 0, np.log10(np.minimum(1.0, DISCOUNT * distinct / np.maximum(whole, 1))), 0.0))
     asked = found.where("kind in (1, 2)").repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, _FOUND)
-    parts_of = found.where("kind in (0, 3)").union(asked)
+    parts_of = found.where("kind in (0, 3, 4)").union(asked)
 
     def finish(batches):
         for rows in grouped(batches, "block"):
@@ -323,6 +351,10 @@ def scored(docs: DataFrame, folds: int = 7, out: int = 2, shard_tokens: int = SH
                 at = np.frombuffer(places.as_buffer(), np.uint16)
                 for c, x, kind in (("known", known, np.uint32), ("base", base, float), ("score", score, float), ("missed", missed, np.uint32)):
                     total[c][at] += np.frombuffer(x.as_buffer(), kind)
+            new = rows.filter(pc.equal(rows.column("kind"), 4))
+            for places, context, times in zip(*(new.column(c) for c in ("places", "words", "missed"))):
+                weight = weights.value[np.frombuffer(context.as_buffer(), np.uint32)] * np.frombuffer(times.as_buffer(), np.uint32)
+                total["score"] += np.bincount(np.frombuffer(places.as_buffer(), np.uint16), weights=weight, minlength=len(ids))
             base = total["base"] + np.log10(n_texts + 1.0) - tokens * np.log10(n + v + 1.0)
             columns = {
                 "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(crc_of(ids, folds) == out),

@@ -227,6 +227,20 @@ def test_scores_match_brute_force(make, monkeypatch):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=0.02, abs_tol=0.02), d
 
 
+def test_split_contexts_match_brute_force(make, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_TEXTS", 7)
+    rows = list(enumerate(sentences("lm", 60, "aa") + sentences("lm", 10, "cc")))
+    # Frequent contexts with few successors, of which most parts have none, and pairs with them that are new.
+    rows += [(k, "copied words of a passage that repeats, copied words again") for k in range(100, 160)]
+    rows += [(k, f"copied novel{k} words rare{k} passage again passage") for k in range(160, 200)]
+    rows += [(900, None), (901, " \n"), (902, "Baba " * 500), (None, "unseen")]
+    got = {r["doc_id"]: r for r in lm_score.scored(make([(i, t, "en", "s") for i, t in rows]), shard_tokens=300).collect()}
+    for d, (n, known, total, base, score) in brute_lm(rows, 7, 2).items():
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total), d
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=0.02, abs_tol=0.02), d
+
+
 def test_scores_of_odd_rows(odd, nothing):
     rows = lm_score.scored(odd).collect()
     assert len(rows) == odd.count() and all(r["score"] <= 0 and r["n_known"] <= r["n_tokens"] for r in rows)
