@@ -6,7 +6,8 @@ the feature's lookup table.  With the tables of single features fixed, the pairs
 explain most of the remaining gradient are boosted in the same way, each tree being a cut of both features.  A score
 is the sum of the tables' entries at a text's bins.
 
-At most ``each`` labelled rows of either label are learned from.
+At most ``each`` labelled rows of either label are learned from; rows of a label weigh so that the labels have the
+shares they have among all training rows, whatever the size of the sample.
 
 Defined results: null, empty and blank texts have all features 0 and get what the model says of that; without
 labelled rows every score is 0.5, with one kind of label it is that label's smoothed share; repeated rows get a row
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gristmill.llm.common import crc_of, map_batches, texts_of, words_of
-from gristmill.llm.toxicity import labelled_sample
+from gristmill.llm.toxicity import label_counts, labelled_sample
 
 EACH, BINS, ROUNDS, RATE, LEAVES = 8000, 32, 60, 0.2, 4
 PAIRS, PAIR_BINS, PAIR_ROUNDS = 8, 8, 30
@@ -214,12 +215,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, each
 
     rows = map_batches(sample, "x array<double>, y int", step).toArrow()
     y = rows.column("y").to_numpy().astype(float)
+    counts = label_counts(docs, labels, "quality", folds, out)
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return Gam(float(np.log(share / (1 - share))))
     x = np.array(rows.column("x").to_pylist())
     order = np.lexsort((*x.T, y))
-    return fit(x[order], y[order], np.ones(len(y)))
+    # Each label's share among all rows over its share of the sample; the weights' mean is 1.
+    natural = counts[1] / (counts[0] + counts[1])
+    weight = np.where(y == 1, natural / y.mean(), (1 - natural) / (1 - y.mean()))
+    return fit(x[order], y[order], weight[order])
 
 
 def scored(docs: DataFrame, model: Gam, folds: int = 4, out: int = 2) -> DataFrame:

@@ -263,13 +263,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:-1], x) + self.weights[-1], -30, 30))))
 
 
+def training_labels(labels: DataFrame, label: str, folds: int, out: int) -> DataFrame:
+    """``doc_id``, ``label`` once for every labelled id outside the fold ``out``."""
+    labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != out))
+    return labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def label_counts(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int) -> dict[int, int]:
+    """How many rows of ``docs`` outside the fold ``out`` have label 0 and 1."""
+    rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(training_labels(labels, label, folds, out), "doc_id").groupBy("label").agg(F.sum("n").alias("n"))
+    return {0: 0, 1: 0} | {r["label"]: r["n"] for r in rows.collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, each: dict[int, int]) -> DataFrame:
     """``text``, ``label`` of at most about ``each[label]`` rows of a label, none of them from the fold ``out``.
 
     Labels are sampled first; that many ids have a known size and go to the texts, which don't travel.
     """
-    labels = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), folds) != out))
-    labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    labels = training_labels(labels, label, folds, out)
     kinds = [sample_by(labels.where(F.col("label") == kind), "label", most) for kind, most in each.items()]
     chosen = reduce(DataFrame.union, kinds)
     once = texts_of(docs).join(F.broadcast(chosen), "doc_id")

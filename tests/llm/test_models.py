@@ -157,6 +157,16 @@ def test_quality_of_other_rows(labelled, odd, nothing):
     assert {r["predicted"] for r in quality_gam.scored(odd, one).collect()} == {1}
 
 
+def test_quality_share_does_not_depend_on_the_sample(labelled, spark):
+    docs, _ = labelled
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(240)], "doc_id long, quality int")
+    good = [k % 10 > 0 for k in range(240) if not held(k, 4, 2)]
+    natural = sum(good) / len(good)
+    for each in (1, quality_gam.EACH):
+        model = quality_gam.train(docs, labels, each=each)
+        assert math.isclose(1 / (1 + math.exp(-model.base)), natural, abs_tol=1e-6)
+
+
 def test_interactions_are_learned():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 4))
