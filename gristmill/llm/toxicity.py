@@ -7,6 +7,9 @@ hold far more often than others.  Counts are taken by tasks; the lexicon has at
 is the set of (trie node, edits so far), and its successors are worked out once, so a word costs a step a letter and
 most words end after a few.  Letters that stand for others (``1d10t``) count as those.
 
+An edited hit counts ``EDITED`` of the term's weight; a word that many clean documents hold is no edit of a term, and
+terms of 4 and 5 letters allow an edit of whole words with the same first letter only.
+
 *Context.*  Every hit gets the sum of the hits around it, less the more it looks quoted: quotation marks that open
 before and close after it, or a word that reports speech beside it.  A logistic regression over a document's hits so
 weighed gives the score.
@@ -37,6 +40,9 @@ EACH, TERMS = {1: 4000, 0: 16000}, 2000
 LEAST_DOCS, LEAST_RATIO = 5, 20.0
 STEMS = (4, 5, 6, 7)
 WINDOW = 8
+# What an edited hit counts of an exact one, the shortest term with an edit, and the clean documents that make a word
+# ordinary.
+EDITED, SHORT, ORDINARY_DOCS = 0.7, 4, 2
 # Letters that others stand for, marks, words that report speech.
 SIGNS = str.maketrans("013457@$", "oieastas")
 EDGES = ".,;:!?%#&*+=|~^_/\\()[]{}<>…-"
@@ -59,14 +65,16 @@ class Matcher:
     """The product automaton of a trie and the edits its terms allow; states are made when first reached.
 
     ``lexicon``: (term, is_stem, weight).  A stem matches when a word begins with it.  Terms of at least ``long``
-    letters allow one edit, shorter ones none.
+    letters allow one edit; shorter ones from ``short`` letters on do if the whole word is the edited term and has its
+    first letter; others none.  ``ordinary`` words are never edited terms.
     """
 
-    def __init__(self, lexicon: list[tuple[str, bool, float]], long: int = 6):
+    def __init__(self, lexicon: list[tuple[str, bool, float]], long: int = 6, short: int | None = None, ordinary: frozenset = frozenset()):
+        self.short, self.ordinary = long if short is None else short, ordinary
         self.children: list[dict[str, int]] = [{}]
         self.allow, self.word, self.stem = [0], [0.0], [0.0]
         for term, is_stem, weight in lexicon:
-            node, edits = 0, int(len(term) >= long)
+            node, edits = 0, int(len(term) >= min(long, self.short))
             self.allow[0] = max(self.allow[0], edits)
             for letter in term:
                 if letter not in self.children[node]:
@@ -80,14 +88,15 @@ class Matcher:
             kept = self.stem if is_stem else self.word
             kept[node] = max(kept[node], weight)
         self.long = long
-        self.depth = [0] * len(self.children)
+        self.depth, self.first = [0] * len(self.children), [""] * len(self.children)
         for node, down in enumerate(self.children):
-            for child in down.values():
+            for letter, child in down.items():
                 self.depth[child] = self.depth[node] + 1
+                self.first[child] = self.first[node] or letter
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.next: list[dict[str, int]] = []
-        self.value: list[tuple[tuple[float, float], tuple[float, float]]] = []
+        self.value: list[tuple[tuple[float, float], tuple[float, float], dict[str, float]]] = []
         self.start = self._state({(0, 0)})
         self.known: dict[str, tuple[float, float]] = {}
 
@@ -101,7 +110,7 @@ class Matcher:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            self.value.append((self._best(key, self.word), self._best(key, self.stem)))
+            self.value.append((self._best(key, self.word), self._best(key, self.stem), self._best_short(key)))
         return self.ids[key]
 
     def _best(self, pairs: frozenset, weights: list[float]) -> tuple[float, float]:
@@ -110,6 +119,14 @@ class Matcher:
         near = max((weights[n] for n, e in pairs if e > 0 and self.depth[n] >= self.long), default=0.0)
         return exact, near
 
+    def _best_short(self, pairs: frozenset) -> dict[str, float]:
+        """The largest weight of short terms with an edit, by their first letter."""
+        out: dict[str, float] = {}
+        for n, e in pairs:
+            if e > 0 and self.short <= self.depth[n] < self.long and (weight := max(self.word[n], self.stem[n])):
+                out[self.first[n]] = max(out.get(self.first[n], 0.0), weight)
+        return out
+
     def _step(self, state: int, letter: str) -> int:
         to = set()
         for n, e in self.sets[state]:
@@ -128,6 +145,8 @@ class Matcher:
             if len(self.known) > 150_000:
                 self.known.clear()
             found = max(self._walk(word), self._walk(word.translate(SIGNS)))
+            if word in self.ordinary:
+                found = (found[0], 0.0)
             found = self.known[word] = found if any(found) else NO_MATCH
         return found
 
@@ -140,12 +159,12 @@ class Matcher:
             one, two = self.value[state][1]
             exact, near = max(exact, one), max(near, two)
         one, two = self.value[state][0]
-        return max(exact, one), max(near, two)
+        return max(exact, one), max(near, two, self.value[state][2].get(word[:1], 0.0))
 
 
 @lru_cache(2)
-def _matcher(lexicon: tuple) -> Matcher:
-    return Matcher(list(lexicon))
+def _matcher(lexicon: tuple, ordinary: frozenset = frozenset()) -> Matcher:
+    return Matcher(list(lexicon), short=SHORT, ordinary=ordinary)
 
 
 def quoted(words: list[str], at: int) -> float:
@@ -157,12 +176,12 @@ def quoted(words: list[str], at: int) -> float:
     return min(1.0, 0.7 * (opens and closes) + 0.4 * reports)
 
 
-N_FEATURES = 6
+N_FEATURES = 5
 NO_MATCH = (0.0, 0.0)
 
 
 def features(text: str, matcher: Matcher) -> list[float]:
-    """Of the hits in a text: weight, number, strongest window, edited ones, quoted ones, share of words."""
+    """Of the hits in a text: weight, number, strongest window, quoted ones, share of words."""
     words = words_in(text)
     hits = []
     for at, word in enumerate(words):
@@ -172,23 +191,24 @@ def features(text: str, matcher: Matcher) -> list[float]:
                 hits.append((at, exact, near))
     if not hits:
         return [0.0] * N_FEATURES
-    weight, strongest, edited, in_quotes = 0.0, 0.0, 0.0, 0.0
+    number, in_quotes = 0.0, 0.0
     values = []
     for at, exact, near in hits:
         q = quoted(words, at)
-        edited += near * (1 - q) if not exact else 0.0
         in_quotes += q
-        values.append((1 - q) * exact)
+        number += 1.0 if exact else EDITED
+        values.append((1 - q) * (exact or EDITED * near))
     places = np.array([h[0] for h in hits])
     values = np.array(values)
     sums = np.concatenate([[0.0], np.cumsum(values)])
     around = sums[np.searchsorted(places, places + WINDOW, "right")] - sums[np.searchsorted(places, places - WINDOW)]
     weight, strongest = float(values.sum()), float((values + 0.5 * (around - values)).max())
-    return [math.log1p(weight), math.log1p(float((values > 0).sum())), strongest, math.log1p(edited), math.log1p(in_quotes), len(hits) / len(words)]
+    return [math.log1p(weight), math.log1p(number), strongest, math.log1p(in_quotes), number / len(words)]
 
 
-def lexicon_of(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, bool, float]]:
-    """(term, is_stem, weight) from ``text``, ``label``; the counts are made by tasks and only likely terms come back."""
+def lexicon_of(sample: DataFrame, terms: int = TERMS) -> tuple[list[tuple[str, bool, float]], frozenset]:
+    """(term, is_stem, weight) from ``text``, ``label``, and ordinary words that an edit makes a term; the counts are
+    made by tasks and only likely terms and words beside them come back."""
 
     def step(piece):
         units, labels = [], []
@@ -202,11 +222,12 @@ def lexicon_of(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, bool, f
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
-        return []
+        return [], frozenset()
     units = map_batches(sample, "unit string, label int", step).groupBy("unit").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("c")
     )
-    units = stage(units.where(F.col("t") > 0), "units")
+    every = stage(units, "units")
+    units = every.where(F.col("t") > 0)
     share, n_units = n_toxic / (n_toxic + n_clean), max(2, units.count())
     ratio = (F.col("t") + 0.5) / (F.col("c") + 0.5) * (n_clean + 1.0) / (n_toxic + 1.0)
     n, t, c = F.col("t") + F.col("c"), F.col("t"), F.col("c")
@@ -232,7 +253,14 @@ def lexicon_of(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, bool, f
     for word, r in words.items():
         if not any(word[:k] in used for k in STEMS):
             out.append((word, False, math.log(r["ratio"])))
-    return sorted(out, key=lambda x: (-x[2], x[0]))[:terms]
+    lexicon = sorted(out, key=lambda x: (-x[2], x[0]))[:terms]
+    common = every.where(F.col("unit").startswith("=") & (c >= ORDINARY_DOCS) & (ratio < LEAST_RATIO)).select(F.expr("substring(unit, 2)").alias("text"))
+
+    def beside(piece):
+        matcher = _matcher(tuple(lexicon))
+        yield {"word": [w for w in piece.column("text").to_pylist() if matcher.match(w)[1] and not matcher.match(w)[0]]}
+
+    return lexicon, frozenset(r["word"] for r in map_batches(common, "word string", beside).collect())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2) -> np.ndarray:
@@ -253,11 +281,11 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-2) ->
 
 
 class Model:
-    def __init__(self, lexicon: tuple, weights: np.ndarray):
-        self.lexicon, self.weights = lexicon, weights
+    def __init__(self, lexicon: tuple, weights: np.ndarray, ordinary: frozenset = frozenset()):
+        self.lexicon, self.weights, self.ordinary = lexicon, weights, ordinary
 
     def score(self, text: str) -> float:
-        return self.score_features(features(text, _matcher(self.lexicon)))
+        return self.score_features(features(text, _matcher(self.lexicon, self.ordinary)))
 
     def score_features(self, x: list[float]) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:-1], x) + self.weights[-1], -30, 30))))
@@ -290,20 +318,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each: dict[int, int] = EACH, terms: int = TERMS) -> Model:
     sample = labelled_sample(docs, labels, "toxic", folds, out, each)
-    lexicon = tuple(lexicon_of(sample, terms))
+    lexicon, ordinary = lexicon_of(sample, terms)
+    lexicon = tuple(lexicon)
     counts = labels.where(crc_mod(F.col("doc_id"), folds) != out).agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()
     prior = min(max(counts["p"] if counts["p"] is not None else 0.5, 1e-4), 1 - 1e-4)
 
     def step(piece):
-        matcher = _matcher(lexicon)
+        matcher = _matcher(lexicon, ordinary)
         rows = [features(t, matcher) for t in piece.column("text").to_pylist()]
         yield {"x": pa.array(rows, pa.list_(pa.float64())), "y": piece.column("label")}
 
     rows = map_batches(sample, "x array<double>, y int", step).collect()
     y = np.array([r["y"] for r in rows], float)
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, np.array([0.0] * N_FEATURES + [math.log(prior / (1 - prior))]))
-    return Model(lexicon, logistic(np.array([r["x"] for r in rows]), y, prior))
+        return Model(lexicon, np.array([0.0] * N_FEATURES + [math.log(prior / (1 - prior))]), ordinary)
+    return Model(lexicon, logistic(np.array([r["x"] for r in rows]), y, prior), ordinary)
 
 
 def scored(docs: DataFrame, model: Model, folds: int = 5, out: int = 0) -> DataFrame:

@@ -115,6 +115,23 @@ def test_toxic_documents(labelled, odd, nothing, make):
     assert {r["score"] for r in toxicity.scored(odd, empty).collect()} == {0.5}
 
 
+def test_misspelled_insults_are_toxic(make, spark):
+    insults, rng = "numbskull trash idiot scum".split(), random.Random(8)
+    rows, labels = [], []
+    for k, text in enumerate(sentences("mis", 240, "aa", 15, 40)):
+        words = text.split() + ["scub", "idiom"][: int(k % 4 > 0) * 2]
+        for _ in range(3 if k % 4 == 0 else 0):
+            words.insert(rng.randrange(1, len(words)), rng.choice(insults))
+        rows.append((k, " ".join(words), "en", "s"))
+        labels.append((k, int(k % 4 == 0)))
+    model = toxicity.train(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    plain = "bebidi dibubo dadedi bobida "
+    for words in ("numbskul", "trassh", "idiott", "scumm"):
+        assert model.score(plain + f"{words} and {words} or {words} " + plain) >= 0.5, words
+    # Other first letters, a stem with more than an edit, ordinary words.
+    assert all(model.score(plain + f"{w} and {w} or {w} " + plain) < 0.5 for w in ("brash", "adiot", "scrumming", "scub", "idiom"))
+
+
 def test_matcher_against_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
