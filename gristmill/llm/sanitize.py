@@ -2,13 +2,15 @@
 
 Patterns find the protected entities (email, ip, card, phone).  The corpus then tells how much a term near an entity
 says about it.  With N documents, c(e) the distinct contexts of an entity, c(t, e) those that hold the term and d(t)
-the documents that hold it anywhere, a term discloses ``log2(N c(t,e) / (d(t) c(e))) / log2(N / c(e))`` of the
-entity's information content.  From ``generalise_from`` on its occurrences in documents with that entity are
-generalised, from ``remove_from`` on removed.  A context counts once however often it is copied, and a term needs
-``support`` distinct contexts, since fewer estimate nothing.
+the documents that hold it anywhere, the entity's share among the term's documents is estimated as
+``p = (c(t,e) + s c(e) / N) / (d(t) + s)``: ``shrink`` (s) documents count as the whole corpus, so that few occurrences
+tell less.  The term discloses ``log2(p N / c(e)) / log2(N / c(e))`` of the entity's information content.  From
+``generalise_from`` on its occurrences in documents with that entity are generalised, from ``remove_from`` on removed.
+Every term beside an entity is judged, also beside one that occurs once.  A context counts once however often it is
+copied.
 
-Passes over the texts: contexts of the entities; document counts of the few terms with enough support (a filter of
-fixed size says which these may be); the spans.  Only documents that hold a disclosing term travel.
+Passes over the texts: contexts of the entities; document counts of the terms in them (a filter of fixed size says
+which these may be); the spans.  Only documents that hold a disclosing term travel.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get a row; a null id is a document
 whose terms are never changed (its pattern spans are); failing pattern matches are dropped without another try.
@@ -167,23 +169,30 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                             counts[w] = counts.get(w, 0) + 1
                     if len(wanted) > 150_000:
                         wanted.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
+                    if len(counts) > 150_000:
+                        yield listed(counts)
+                        counts.clear()
+        yield listed(counts)
+
+    def listed(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
     return counted.join(terms.select(F.col(terms.columns[0]).alias("term")).distinct(), "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, generalise_from: float, support: int) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, generalise_from: float, shrink: float) -> DataFrame:
     """``entity``, ``term``, ``disclosure`` of the terms that tell too much."""
     n = docs.count()
     total = found.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("c_e"))
     near = found.select("entity", "context", F.explode("terms").alias("term")).distinct()
-    near = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te")).where(F.col("c_te") >= support)
+    near = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c_te"))
     near = stage(near, "near")
     counts = document_counts(docs, near.select("term").distinct())
     joined = near.join(counts, "term").join(total, "entity")
     content = F.log2(F.lit(float(n)) / F.col("c_e"))
-    shared = F.log2(F.lit(float(n)) * F.col("c_te") / (F.col("n_docs") * F.col("c_e")))
+    rate = (F.col("c_te") + F.lit(float(shrink)) * F.col("c_e") / F.lit(float(max(n, 1)))) / (F.col("n_docs") + F.lit(float(shrink)))
+    shared = F.log2(F.lit(float(n)) * rate / F.col("c_e"))
     share = F.when(content > 0, F.least(shared / content, F.lit(1.0))).otherwise(F.lit(0.0))
     return joined.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_from)
 
@@ -206,7 +215,7 @@ def spans_with_terms(text: str, terms: dict[str, float]) -> list[tuple[str, int,
     return spans
 
 
-def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, support: int = 3) -> DataFrame:
+def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shrink: float = 1.0) -> DataFrame:
     """``finish(row, spans, terms)`` gives the values of ``schema`` for every row (a dict of the columns of ``docs``)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -214,7 +223,7 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, sup
     plain = texts_of(docs)
     docs = texts_of(docs, F.struct("*").alias("row"))
     found = stage(contexts(plain), "contexts")
-    telling = disclosures(plain, found, generalise_from, support)
+    telling = disclosures(plain, found, generalise_from, shrink)
     changed = found.select("doc_id", "entity").where("doc_id is not null").distinct().join(telling, "entity")
     changed = changed.groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
     changed = changed.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("term").alias("terms"), F.collect_list("disclosure").alias("shares"))
@@ -275,7 +284,7 @@ def masked(text: str, spans, terms: dict[str, float], remove_from: float) -> str
     return "".join([*out, text[at:]])
 
 
-def sanitized(docs: DataFrame, remove_from: float = 0.95, generalise_from: float = 0.8, support: int = 3) -> DataFrame:
+def sanitized(docs: DataFrame, remove_from: float = 0.95, generalise_from: float = 0.8, shrink: float = 1.0) -> DataFrame:
     """``docs`` with the same columns and masked texts; ``n_chars`` follows the text where there is one."""
     names = docs.columns
 
@@ -286,4 +295,4 @@ def sanitized(docs: DataFrame, remove_from: float = 0.95, generalise_from: float
                 row["n_chars"] = len(row["text"])
         return tuple(row[c] for c in names)
 
-    return scan(docs, finish, docs.schema, generalise_from, support)
+    return scan(docs, finish, docs.schema, generalise_from, shrink)

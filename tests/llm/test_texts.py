@@ -78,6 +78,18 @@ def test_terms_that_disclose_an_entity(make):
     assert f"term:{start}:{start + 7}" in spans[0] and "term" not in spans[70]
 
 
+def test_terms_beside_an_entity_that_occurs_once(make):
+    rng = random.Random(2)
+    common = [f"word{chr(97 + k)}" for k in range(26)]
+    rows = [" ".join(rng.choices(common, k=12)) for _ in range(120)]
+    rows[3] = f"{rows[3]} manager Qwertz reached at solo@corp.example {rows[4]}"
+    rows[5:9] = [f"{r} manager reached" for r in rows[5:9]]
+    docs = make([(k, t, "en", "s") for k, t in enumerate(rows)])
+    got = {r["doc_id"]: r["text"] for r in sanitize.sanitized(docs).collect()}
+    assert "Qwertz" not in got[3] and "solo" not in got[3] and "manager" in got[3]
+    assert all(got[k] == rows[k] for k in range(120) if k != 3)
+
+
 def test_overlapping_spans_are_masked_once():
     assert sanitize.masked("a 1.2.3.4 b", [("ip", 2, 9), ("card", 2, 5)], {}, 0.9) == "a [IP] b"
     assert sanitize.masked("a Term b", [("term", 2, 6)], {"term": 0.95}, 0.9) == "a  b"
