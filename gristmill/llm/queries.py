@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_codec, cap_filters, language_id, lm_score, mixing, quality_gam, sanitize, topk_search, toxicity
+from gristmill.llm import bpe_codec, cap_filters, language_id, lm_score, mixing, quality_gam, sanitize, topk_search, toxicity, whitening
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -62,6 +62,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op4_cap_filters": op4_cap_filters,
     "op6_topk_search": op6_topk_search,
@@ -73,5 +77,6 @@ QUERIES = {
     "op9_sanitize": op9_sanitize,
     "op8_jaccard_join": op8_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk_search.ORACLE_SQL}
