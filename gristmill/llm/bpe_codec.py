@@ -18,6 +18,8 @@ token's string in a text is that token, as in the library; repeated rows and nul
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 from zlib import crc32
@@ -41,6 +43,19 @@ SLICE_BYTES = 2 << 20
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 
+# Texts whose characters all lie below this one are split by the standard library, with the same classes spelled out.
+_LOW = 0x250
+
+
+@lru_cache(1)
+def _low_splitter():
+    """The split of texts without characters from ``_LOW`` on, and a search for such characters."""
+    low = [chr(c) for c in range(_LOW)]
+    letters, numbers = (re.escape("".join(c for c in low if unicodedata.category(c)[0] == kind)) for kind in "LN")
+    white = re.escape("".join(c for c in low if c.isspace() and not "\x1c" <= c <= "\x1f"))
+    words = rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{white}{letters}{numbers}]+|[{white}]+(?![^{white}])|[{white}]+"
+    return re.compile(words).findall, re.compile(rf"[^\0-{chr(_LOW - 1)}]").search
+
 
 @lru_cache(2)
 def _tokenizer(path: str):
@@ -58,7 +73,12 @@ def _splitter(path: str):
     import regex
 
     added = sorted((t.content for t in _tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
-    words = regex.compile(SPLIT).findall
+    any_words = regex.compile(SPLIT).findall
+    low_words, high = _low_splitter()
+
+    def words(text: str) -> list[str]:
+        return any_words(text) if high(text) else low_words(text)
+
     if not added:
         return words
     cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")").split
@@ -71,17 +91,49 @@ def _splitter(path: str):
     return split
 
 
+@lru_cache(1)
+def _spelling() -> list[str]:
+    """The printable character that spells each byte, by the public mapping of byte-level BPE."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+    return [rest.get(b, chr(b)) for b in range(256)]
+
+
+@lru_cache(2)
+def _added(path: str) -> dict[str, int]:
+    return {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
+
+
 def encode_words(path: str, words: list[str]) -> list[list[int]]:
-    return [e.ids for e in _tokenizer(path).encode_batch(words, add_special_tokens=False)]
+    """Ids of words that ``_splitter`` made, by the library's model; such a word needs no second split."""
+    model, added, spelled = _tokenizer(path).model, _added(path), dict(enumerate(_spelling()))
+    return [
+        [added[w]] if w in added else [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(spelled))]
+        for w in words
+    ]
+
+
+class Words(dict):
+    """Ids of words, as little-endian 32-bit numbers, each encoded when it is first asked for; forgets when full."""
+
+    def __init__(self, path: str, most: int):
+        super().__init__()
+        self.path, self.most = path, most
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = np.array(encode_words(self.path, [word])[0], "<u4").tobytes()
+        return found
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
 @lru_cache(2)
 def pieces(path: str) -> list[bytes]:
-    """Bytes of every id: byte-level BPE spells bytes as printable characters by the public mapping."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spelled = {chr(b): b for b in printable}
-    rest = [b for b in range(256) if b not in set(printable)]
-    spelled |= {chr(256 + k): b for k, b in enumerate(rest)}
+    """Bytes of every id."""
+    spelled = {c: b for b, c in enumerate(_spelling())}
     tok = _tokenizer(path)
     added = {i: t.content.encode() for i, t in tok.get_added_tokens_decoder().items()}
     out = [b""] * (max(tok.get_vocab().values(), default=-1) + 1)
