@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_codec, cap_filters, language_id, lm_score, mixing, quality_gam, sanitize, token_files, topk_search, toxicity, whitening
+from gristmill.llm import bpe_codec, cap_filters, conversations, language_id, lm_score, mixing, quality_gam, sanitize, token_files, topk_search, toxicity, whitening
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -66,6 +66,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.write(_documents(spark, sf_dir), tokenizer_path()))
 
@@ -82,6 +86,11 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op10_bpe_codec": op10_bpe_codec,
     "op11_whitening": op11_whitening,
+    "op12_conversations": op12_conversations,
     "op13_token_files": op13_token_files,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE_SQL, "op6_topk_search": topk_search.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE_SQL,
+    "op6_topk_search": topk_search.ORACLE_SQL,
+    "op12_conversations": conversations.ORACLE_SQL,
+}
