@@ -1,13 +1,13 @@
 """Byte-level BPE through a distinct-word table.
 
-1. Texts are split into words by the tokenizer's own pattern; tasks report the words they saw often.
+1. Tasks split texts into words by the tokenizer's own pattern and report the words they saw often.
 2. Every distinct word is encoded once.  The most frequent words form a table of bounded size that every task holds;
    a text then is a row of table places, plus its few words outside the table.
 3. Those words go to the table's other part, which is dealt by word hash to buckets: each slice of texts sends every
    bucket its distinct words in one row, the bucket encodes each distinct word once and answers in the same order, and
    the answers are joined back to the slice.
-4. Ids are gathered by position, and decoded through a join of the ids with the vocabulary's pieces (a table of fixed
-   size).
+4. Ids are gathered by position.  Decoding joins ids with the vocabulary's pieces; that table has a fixed size and is
+   indexed by id, so the join is an array look-up in the tasks.
 
 The split between the two parts of the table only decides how a word travels; ids and counts don't depend on it.
 
@@ -26,18 +26,21 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import map_batches, slices, stage_tightly, texts_of
+from gristmill.llm.common import map_batches, slices, texts_of
 from gristmill.session import stage
 
-# Words in the table that every task holds (about 160 bytes each there).
-FREQUENT_WORDS = 1 << 19
+# Words in the table that every task holds, and bytes of the longest (so 36 MB at most; usually about a third of that).
+FREQUENT_WORDS, LONGEST = 1 << 19, 64
 # A task reports words from this count on, and forgets words seen once whenever it holds this many.
-SEEN, HELD = 3, 250_000
+SEEN, HELD = 3, 200_000
+# Words whose ids a bucket holds at once.
+BUCKET_WORDS = 300_000
 # Bytes of text in a slice that exchanges words with the buckets.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 # The public split pattern of byte-level BPE, with white space as Unicode defines it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -142,16 +145,28 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+def distinct_of(texts: list[str], split) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many words each text has, and all words as places in the list of the distinct ones."""
+    sizes, words = np.empty(len(texts), np.int32), []
+    for k, text in enumerate(texts):
+        own = split(text)
+        sizes[k] = len(own)
+        words += own
+    return sizes, pa.array(words, pa.large_string()).dictionary_encode()
+
+
 def frequent_words(docs: DataFrame, path: str, most: int) -> DataFrame:
     """``word``, ``times`` of the words that tasks saw often, at most ``most`` of them."""
 
     def run(batches):
         counts: Counter = Counter()
+        split = _splitter(path)
         for batch in batches:
             for piece in slices(batch):
-                split = _splitter(path)
-                for text in piece.column("text").to_pylist():
-                    counts.update(split(text))
+                _, coded = distinct_of(piece.column("text").to_pylist(), split)
+                times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                for word, n in zip(coded.dictionary.to_pylist(), times.tolist()):
+                    counts[word] += n
                 if len(counts) > HELD:
                     counts = Counter({w: c for w, c in counts.items() if c > 1})
         often = [(w, c) for w, c in counts.items() if c >= SEEN]
@@ -160,48 +175,51 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["word", "times"])
 
     counted = docs.select("text").mapInArrow(run, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    return counted.orderBy(F.desc("times"), "word").limit(most)
+    return counted.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("times"), "word").limit(most)
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """``word``, ``ids``: each given word encoded once."""
+    """``word``, ``ids``, ``times``: each given word encoded once."""
 
     def step(piece):
         ids = encode_words(path, piece.column("word").to_pylist())
-        yield {"word": piece.column("word"), "ids": pa.array(ids, pa.list_(pa.int32()))}
+        yield {"word": piece.column("word"), "ids": pa.array(ids, pa.list_(pa.int32())), "times": piece.column("times")}
 
-    return map_batches(words, "word string, ids array<int>", step)
+    return map_batches(words, "word string, ids array<int>, times long", step)
 
 
 class WordTable:
-    """The bounded part of the distinct-word table, most frequent word first, in a broadcast."""
+    """The bounded part of the distinct-word table, most frequent word first: two broadcasts that tasks read in place."""
 
     def __init__(self, docs: DataFrame, path: str, most: int):
         spark = docs.sparkSession
         frequent = stage(frequent_words(docs, path, most), "words")
-        rows = encoded_words(frequent.repartition(spark.sparkContext.defaultParallelism).select("word", "times"), path)
-        table = rows.join(frequent, "word").select("word", "ids", "times").toArrow().combine_chunks()
-        table = table.sort_by([("times", "descending"), ("word", "ascending")]).select(["word", "ids"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_table(table)
-        self.held = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        rows = encoded_words(frequent.repartition(spark.sparkContext.defaultParallelism), path)
+        table = rows.toArrow().sort_by([("times", "descending"), ("word", "ascending")])
+        words = pa.table({"word": table.column("word").cast(pa.large_string())})
+        self.size = len(table)
+        self.words_held, self.ids_held = (spark.sparkContext.broadcast(_as_bytes(t)) for t in (words, table.select(["ids"])))
 
-    def load(self) -> pa.Table:
-        return pa.ipc.open_stream(self.held.value).read_all().combine_chunks()
-
-    def places(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.load().column("word").to_pylist())}
+    def words(self) -> pa.Array:
+        column = pa.ipc.open_stream(self.words_held.value).read_all().column("word")
+        return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and where each word's begin."""
-        column = self.load().column("ids")
+        column = pa.ipc.open_stream(self.ids_held.value).read_all().column("ids")
         if not column.num_chunks:
             return np.empty(0, np.int32), np.zeros(1, np.int64)
         lists = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
         return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int64)
 
 
+def _as_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
 def _bucket(word: str, buckets: int) -> int:
     return crc32(word.encode()) % buckets
 
@@ -217,69 +235,74 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
-_SLICES = "doc_ids array<long>, sizes array<int>, places binary, sent array<struct<bucket:int,words:array<string>>>"
+_SLICES = "slice long, doc_ids array<long>, sizes array<int>, places binary, sent array<struct<bucket:int,words:array<string>>>"
 
 
 def as_places(docs: DataFrame, path: str, table: WordTable, buckets: int) -> DataFrame:
     """A row for each slice of texts: ids, word counts, every word's place, and the slice's other words by bucket.
 
-    The other words' places follow the table's, in the order of ``sent``.
+    The other words' places follow the table's, in the order of ``sent``.  ``slice`` is a digest of the rest, so that
+    answers can't meet a slice that was cut otherwise when a lost task ran again.
     """
 
     def run(batches):
-        of = table.places()
-        split = _splitter(path)
+        held, split = table.words(), _splitter(path)
+        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.string()))]))
         for batch in batches:
             for piece in slices(batch, SLICE_BYTES):
-                sizes, found, others = [], [], {}
-                for text in piece.column("text").to_pylist():
-                    words = split(text)
-                    sizes.append(len(words))
-                    for w in words:
-                        at = of.get(w)
-                        found.append(others.setdefault(w, -1 - len(others)) if at is None else at)
-                places = np.array(found, np.int64)
-                names = list(others)
+                sizes, coded = distinct_of(piece.column("text").to_pylist(), split)
+                found = pc.fill_null(pc.index_in(coded.dictionary, value_set=held), -1).to_numpy().astype(np.int64)
+                outside = np.flatnonzero(found < 0)
+                names = coded.dictionary.take(pa.array(outside)).to_pylist()
                 goes_to = np.array([_bucket(w, buckets) for w in names], np.int64)
                 order = np.argsort(goes_to, kind="stable")
-                rank = np.empty(len(names) + 1, np.int64)
-                rank[order] = np.arange(len(names))
-                outside = places < 0
-                places[outside] = len(of) + rank[-1 - places[outside]]
+                found[outside[order]] = len(held) + np.arange(len(names))
+                places = packed(found[coded.indices.to_numpy()])
                 cuts = np.flatnonzero(np.diff(goes_to[order])) + 1
                 parts = np.split(order, cuts) if len(order) else []
                 sent = [{"bucket": int(goes_to[part[0]]), "words": [names[k] for k in part]} for part in parts]
-                ids = pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-                kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.string()))]))
-                columns = [ids, pa.array([sizes], pa.list_(pa.int32())), pa.array([packed(places)], pa.binary()), pa.array([sent], kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "sizes", "places", "sent"])
+                ids = piece.column("doc_id").to_pylist()
+                digest = hashlib.blake2b(places, digest_size=8)
+                digest.update(repr((ids, [names[k] for k in order])).encode())
+                columns = [
+                    pa.array([int.from_bytes(digest.digest(), "little", signed=True)], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([sizes], pa.list_(pa.int32())), pa.array([places], pa.binary()), pa.array([sent], kind),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "doc_ids", "sizes", "places", "sent"])
 
     return docs.mapInArrow(run, _SLICES)
 
 
+def sent_words(rows: DataFrame) -> DataFrame:
+    """``slice``, ``bucket``, ``words`` of the slices.  It reads whole rows, so both uses of them share one shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            sent = batch.column("sent")
+            inner = sent.flatten()
+            of = np.repeat(batch.column("slice").to_numpy(), np.asarray(sent.value_lengths()))
+            yield pa.RecordBatch.from_arrays([pa.array(of), inner.field("bucket"), inner.field("words")], names=["slice", "bucket", "words"])
+
+    return rows.mapInArrow(run, "slice long, bucket int, words array<string>")
+
+
 def answered(sent: DataFrame, path: str) -> DataFrame:
     """``slice``, ``bucket``, ``ids``, ``lengths`` for the words that slices sent; rows of a bucket are together."""
 
     def run(batches):
-        known: dict[str, list[int]] = {}
-        bucket = None
+        known, bucket = Words(path, BUCKET_WORDS), None
         for batch in batches:
             for own, rows in _by_value(batch, "bucket"):
                 if own != bucket:
-                    bucket, known = own, {}
+                    bucket = own
+                    known.clear()
                 words = rows.column("words")
-                flat = words.flatten().to_pylist()
-                new = [w for w in dict.fromkeys(flat) if w not in known]
-                known.update(zip(new, encode_words(path, new)))
-                ids = [known[w] for w in flat]
-                ends = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()))]).astype(np.int64)
-                lengths = np.array([len(x) for x in ids], np.int32)
-                to = np.concatenate([[0], np.cumsum(lengths)])
-                all_ids = np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in ids)])
+                ids = [known[w] for w in words.flatten().to_pylist()]
+                ends = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()))]).tolist()
                 columns = [
                     rows.column("slice"), rows.column("bucket"),
-                    pa.array([packed(all_ids[to[a] : to[b]]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.array([packed(lengths[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array([packed(np.frombuffer(b"".join(ids[a:b]), "<u4")) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
+                    pa.array([packed(np.array([len(x) // 4 for x in ids[a:b]])) for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["slice", "bucket", "ids", "lengths"])
 
@@ -296,16 +319,25 @@ def _by_value(batch: pa.RecordBatch, name: str):
 
 
 def encode(docs: DataFrame, path: str, most: int = FREQUENT_WORDS):
-    """The table and, for each slice of texts, ``doc_ids``, ``sizes``, ``places`` and ``found`` (the buckets' answers)."""
+    """The table, and the slices of texts with ``ids`` and ``lengths`` (the buckets' answers)."""
     spark = docs.sparkSession
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     table = WordTable(docs, path, most)
-    rows = stage_tightly(as_places(docs, path, table, buckets).withColumn("slice", F.monotonically_increasing_id()), "places")
-    sent = rows.select("slice", F.explode("sent").alias("x")).select("slice", "x.bucket", "x.words")
-    answers = answered(sent.repartition("bucket").sortWithinPartitions("bucket"), path)
-    answers = answers.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids", "lengths"))).alias("found"))
+    # Slices are shuffled once: their words leave for the buckets from where the answers will join them.
+    rows = as_places(docs, path, table, buckets).repartition("slice")
+    answers = answered(sent_words(rows).repartition("bucket").sortWithinPartitions("bucket"), path)
+    answers = answers.groupBy("slice").agg(F.sort_array(F.collect_set(F.struct("bucket", "ids", "lengths"))).alias("found"))
     answers = answers.select("slice", F.col("found.ids").alias("ids"), F.col("found.lengths").alias("lengths"))
-    return table, rows.drop("sent").join(answers, "slice", "left")
+    return table, rows.join(answers, "slice", "left")
+
+
+def _answers(row: dict, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of ids of a slice's other words; words without an answer are encoded here."""
+    none = np.empty(0, np.int64)
+    if row["ids"] is None:
+        ids = [x for sent in row["sent"] for x in encode_words(path, sent["words"])]
+        return np.array([i for x in ids for i in x], np.int64), np.array([len(x) for x in ids], np.int64)
+    return np.concatenate([none, *map(unpacked, row["ids"])]), np.concatenate([none, *map(unpacked, row["lengths"])])
 
 
 def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = FREQUENT_WORDS) -> DataFrame:
@@ -323,8 +355,8 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
         spelled = np.array([str(i) for i in range(len(piece))], dtype=object)
         for batch in batches:
             for row in batch.to_pylist():
-                lengths = np.concatenate([np.empty(0, np.int64), *map(unpacked, row["lengths"] or [])])
-                source = np.concatenate([flat, *map(unpacked, row["ids"] or [])])
+                others, lengths = _answers(row, path)
+                source = np.concatenate([flat, others])
                 starts = np.concatenate([begin, len(flat) + np.cumsum(lengths)])
                 at, used, out = unpacked(row["places"]), 0, []
                 for doc, size in zip(row["doc_ids"], row["sizes"]):
@@ -335,7 +367,7 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
                 columns = list(zip(*out)) if out else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return rows.select("doc_ids", "sizes", "places", "ids", "lengths").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str, most: int = FREQUENT_WORDS) -> DataFrame:
