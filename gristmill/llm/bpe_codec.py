@@ -17,8 +17,10 @@ token's string in a text is that token, as in the library; repeated rows and nul
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
+import struct
 import unicodedata
 from collections import Counter
 from functools import lru_cache
@@ -37,8 +39,8 @@ from gristmill.session import stage
 FREQUENT_WORDS, LONGEST = 1 << 19, 64
 # A task reports words from this count on, and forgets words seen once whenever it holds this many.
 SEEN, HELD = 3, 200_000
-# Words whose ids a bucket holds at once.
-BUCKET_WORDS = 300_000
+# A bucket holds the ids of twice as many words.
+BUCKET_WORDS = 150_000
 # Bytes of text in a slice that exchanges words with the buckets.
 SLICE_BYTES = 4 << 20
 
@@ -107,26 +109,42 @@ def _added(path: str) -> dict[str, int]:
     return {t.content: i for i, t in _tokenizer(path).get_added_tokens_decoder().items()}
 
 
+@lru_cache(2)
+def _encoder(path: str):
+    """A function from a word that ``_splitter`` made to its ids, by the library's model: such a word needs no second split."""
+    tokenize, added, spelled = _tokenizer(path).model.tokenize, _added(path), "".join(_spelling())
+
+    def ids(word: str) -> list[int]:
+        if word in added:
+            return [added[word]]
+        return [t.id for t in tokenize(codecs.charmap_decode(word.encode(), "strict", spelled)[0])]
+
+    return ids
+
+
 def encode_words(path: str, words: list[str]) -> list[list[int]]:
-    """Ids of words that ``_splitter`` made, by the library's model; such a word needs no second split."""
-    model, added, spelled = _tokenizer(path).model, _added(path), dict(enumerate(_spelling()))
-    return [
-        [added[w]] if w in added else [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(spelled))]
-        for w in words
-    ]
+    return list(map(_encoder(path), words))
 
 
 class Words(dict):
-    """Ids of words, as little-endian 32-bit numbers, each encoded when it is first asked for; forgets when full."""
+    """Ids of words, as little-endian 32-bit numbers, each encoded when it is first asked for.
+
+    Holds at most twice ``most`` words: when that many are new, those that were asked for before them and not since go.
+    """
 
     def __init__(self, path: str, most: int):
         super().__init__()
-        self.path, self.most = path, most
+        self.encode, self.most, self.older = _encoder(path), most, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = np.array(encode_words(self.path, [word])[0], "<u4").tobytes()
+        found = self.older.get(word)
+        if found is None:
+            ids = self.encode(word)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
         return found
 
     def of(self, words: list[str]) -> np.ndarray:
@@ -294,8 +312,7 @@ def answered(sent: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for own, rows in _by_value(batch, "bucket"):
                 if own != bucket:
-                    bucket = own
-                    known.clear()
+                    bucket, known = own, Words(path, BUCKET_WORDS)
                 words = rows.column("words")
                 ids = [known[w] for w in words.flatten().to_pylist()]
                 ends = np.concatenate([[0], np.cumsum(np.asarray(words.value_lengths()))]).tolist()

@@ -22,11 +22,11 @@ import numpy as np
 
 BLOCK, LANES, LANE = 1 << 20, 8192, 128
 # What an occurrence adds to an id's share of order 0 (which starts at 1), and steps between renewals of these shares.
-STEP, RENEW = 24, 8
+STEP, RENEW = 24, 16
 SURE = 8
-SLOTS = 18
+SLOTS = 16
 # Buckets (as a power of two) that say about where a target lies.
-BUCKETS = 13
+BUCKETS = 14
 # A weight is at most so many times that of order 0, which keeps totals below 2**32.
 MOST = 63
 LEAST_RANGE = np.uint64(1 << 48)
@@ -118,7 +118,7 @@ class Model:
         self.last[:active] = ids
         self.seen.append(ids)
         self.steps += 1
-        if self.steps < RENEW or self.steps % RENEW == 0:
+        if self.steps < 8 or self.steps % RENEW == 0:
             self.share += (STEP * np.bincount(np.concatenate(self.seen), minlength=len(self.share))).view(np.uint64)
             self.seen = []
             self._renew()

@@ -40,8 +40,8 @@ from gristmill.session import local_frame, scratch_root, stage
 
 MAGIC = b"IDBLOCK1"
 END_ID = 2
-# Words whose ids a task holds, about 150 bytes each.
-HELD_WORDS = 300_000
+# A task holds the ids of twice as many words, about 200 bytes each.
+HELD_WORDS = 500_000
 NULL, BEGINS, ENDS = 1, 2, 4
 
 _HEAD, _SIZES = struct.Struct("<8sI"), struct.Struct("<III")
