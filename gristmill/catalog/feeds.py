@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import TRANSACTIONS
 from ..operators.classify import file_type, looks_like_mail
-from ..operators.repair import Feed
+from ..operators.repair import Feeds, header_table
 from ..session import spread
 
 DRIFTED_HEADER = (
@@ -63,23 +63,16 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_feeds(spark: SparkSession, sf_dir: str) -> list[Feed]:
+def order_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
     """Odd months come with a drifted header, even months with the agreed one."""
-    rows = order_rows(spark, sf_dir)
-    order = F.expr("k * 2 + copy")
-    drifted = rows.where("drifted").selectExpr(
-        "source_file", "k", "copy", "txn_id AS transaction_id", "date_text AS transaction_date",
-        "amount_text AS amount_aed", "merchant AS merchant_name", "category AS merchant_category",
-        "concat('batch ', k % 3) AS batch_note",
-    )
-    clean = rows.where("NOT drifted").selectExpr(
-        "source_file", "k", "copy", "txn_id", "date_text AS date", "amount_text AS amount",
-        "'AED' AS currency", "merchant", "category",
+    rows = order_rows(spark, sf_dir).selectExpr(
+        "source_file",
+        "k * 2 + copy AS pos",
+        "IF(drifted, 0L, 1L) AS plan_id",
+        """IF(drifted, array(txn_id, date_text, amount_text, merchant, category, concat('batch ', k % 3)),
+                       array(txn_id, date_text, amount_text, 'AED', merchant, category)) AS values""",
     )
-    return [
-        Feed.of(drifted, F.col("source_file"), order, DRIFTED_HEADER),
-        Feed.of(clean, F.col("source_file"), order, TRANSACTIONS.columns),
-    ]
+    return Feeds(rows, header_table(spark, order_headers()))
 
 
 def order_headers() -> list[tuple[str, ...]]:

@@ -23,7 +23,8 @@ from .oracle_parts import ORDER_FACTS, ORDER_ROWS
 
 
 def repaired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_and_redact(order_feeds(spark, sf_dir), TRANSACTIONS)
+    plans = plan_table(spark, order_headers(), TRANSACTIONS)
+    return repair_and_redact(order_feeds(spark, sf_dir), TRANSACTIONS, plans)
 
 
 def repaired_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,10 @@ def redact_fields(
     df: DataFrame,
     fields: Sequence[str] | None = None,
     unless: dict[str, str] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
-    """Redact string fields and append their findings, in field order.
+    """Redact string fields and append their findings, in field order, or in the
+    order in which the column ``order`` lists the fields' positions.
 
     ``unless`` maps a field to the SQL condition under which its value is proven
     free of personal data (an ISO date built by the repair step), which then
@@ -37,6 +39,9 @@ def redact_fields(
     scans = F.expr(f"transform(array({', '.join(texts)}), t -> {scan_sql('t')})")
     clean = {f: F.coalesce(F.col("__scans")[i]["redacted"], F.col(f)) for i, f in enumerate(fields)}
     found = F.flatten(F.col("__scans")["findings"]) if fields else F.array().cast(FINDING)
+    if order:
+        # Nearly all rows have none, whatever the order.
+        found = F.when(F.size(found) == 0, found).otherwise(F.flatten(F.transform(order, lambda i: F.get(F.col("__scans")["findings"], i))))
     return df.withColumn("__scans", scans).withColumns({**clean, "findings": found}).drop("__scans")
 
 

@@ -1,9 +1,12 @@
 """Deterministic repair of delimited feeds against a contract.
 
 A header decides which columns to rename, fill and drop, so those choices are
-made once per distinct header on the driver and become a ``select``.  Values
-are repaired by expressions.  Nothing is guessed: what cannot be repaired is
-flagged and later lowers the file's confidence.
+made once per distinct header and become a row of a dictionary: the position of
+every contract column's value, or what it is filled with.  Rows hold their
+values as an array, are joined with the dictionary by id and take values by
+position, so the plan is the same for two headers and for thousands.  Values are
+repaired by expressions.  Nothing is guessed: what cannot be repaired is flagged
+and later lowers the file's confidence.
 
 Row-level output of :func:`repair_rows` (no shuffle)::
 
@@ -20,13 +23,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..contracts import REQUIRED_FIELDS, Contract
 from ..functions.coerce import coerce_date, coerce_number, is_plain_number
 from ..functions.text import is_present
-from ..session import local_frame
+from ..session import local_frame, stage
 from .redact import has_type_aggregates, redact_fields, type_list
 
 # Texts of repairs and issues.
@@ -55,6 +61,29 @@ class Feed:
         return {name: i for i, name in enumerate(self.header)}
 
 
+@dataclass(frozen=True)
+class Feeds:
+    """Rows of feeds with any headers: ``source_file``, ``pos``, ``plan_id`` and ``values``, in the order of the header
+    that ``headers`` (``plan_id``, ``header``) has under that id."""
+
+    rows: DataFrame
+    headers: DataFrame
+
+    @classmethod
+    def of(cls, feeds: Sequence[Feed]) -> Feeds:
+        """Feeds of one header each as one table; ``plan_id`` is a feed's position."""
+        parts = [
+            f.df.select("source_file", "pos", F.lit(i).cast("bigint").alias("plan_id"), F.array(*[f"v{k}" for k in range(len(f.header))]).cast("array<string>").alias("values"))
+            for i, f in enumerate(feeds)
+        ]
+        return cls(reduce(DataFrame.unionByName, parts), header_table(feeds[0].df.sparkSession, [f.header for f in feeds]))
+
+
+def header_table(spark: SparkSession, headers: Sequence[Sequence[str]]) -> DataFrame:
+    """Headers that are known beforehand, numbered by position."""
+    return local_frame(spark, [(i, list(h)) for i, h in enumerate(headers)], "plan_id bigint, header array<string>")
+
+
 @dataclass(frozen=True)
 class HeaderPlan:
     """What one header needs to meet the contract."""
@@ -113,43 +142,33 @@ def value_order(plan: HeaderPlan, contract: Contract) -> list[str]:
     ]
 
 
-def repair_rows(feed: Feed, contract: Contract, plan_id: int = 0) -> DataFrame:
-    plan = plan_header(feed.header, contract)
-
-    def given(column: str) -> Column:
-        if column in plan.sources:
-            return F.col(f"v{plan.sources[column]}")
-        return F.lit(plan.fills.get(column)).cast("string")
-
+def repair_rows(rows: DataFrame, contract: Contract) -> DataFrame:
+    """Repair rows of :class:`Feeds` that were joined with their row of :func:`plan_table`."""
     out: dict[str, Column] = {}
-    for column in contract.columns:
-        known = column in plan.sources or column in plan.fills
-        value = given(column)
-        if column in contract.date_columns and known:
+    for j, column in enumerate(contract.columns):
+        at, fill = F.col("positions")[j], F.col("fills")[j]
+        known = (at >= 0) | fill.isNotNull()
+        value = F.when(at >= 0, F.get("values", at)).otherwise(fill)
+        if column in contract.date_columns:
             iso = coerce_date(value)
             out[column] = F.coalesce(iso, value)
-            out[f"bad_{column}"] = iso.isNull()
+            out[f"bad_{column}"] = known & iso.isNull()
             out[f"fixed_{column}"] = F.coalesce(iso != value, F.lit(False))
         elif column in contract.numeric_columns:
             number = coerce_number(value)
             out[column] = number
             out[f"{column}_text"] = F.when(number.isNull(), value)
-            out[f"bad_{column}"] = number.isNull() & F.lit(known)
+            out[f"bad_{column}"] = known & number.isNull()
             out[f"fixed_{column}"] = number.isNotNull() & ~is_plain_number(value)
         else:
             out[column] = value
-            if column in contract.date_columns:
-                out[f"bad_{column}"] = out[f"fixed_{column}"] = F.lit(False)
 
-    rows = feed.df.select(
-        "source_file",
-        "pos",
-        F.lit(plan_id).alias("plan_id"),
-        F.lit(plan.drifted).alias("drifted"),
+    repaired = rows.select(
+        "source_file", "pos", "plan_id", F.col("plan_drifted").alias("drifted"), "value_order",
         *[expr.alias(name) for name, expr in out.items()],
-    )
-    key = F.sha2(F.to_json(F.struct(*_content(contract))), 256) if plan.drifted else F.lit(None)
-    return rows.withColumn("row_key", key.cast("string"))
+    )
+    key = F.sha2(F.to_json(F.struct(*_content(contract))), 256)
+    return repaired.withColumn("row_key", F.when(F.col("drifted"), key))
 
 
 def _content(contract: Contract) -> list[str]:
@@ -161,20 +180,21 @@ def _flags(contract: Contract) -> list[str]:
     return [f"{kind}_{c}" for c in checked for kind in ("fixed", "bad")]
 
 
-def redact_rows(rows: DataFrame, plan: HeaderPlan, contract: Contract) -> DataFrame:
-    """Redact repaired rows; a date that became ISO text needs no scan."""
-    fields = [f"{c}_text" if c in contract.numeric_columns else c for c in value_order(plan, contract)]
-    parsed = {c: f"NOT bad_{c}" for c in contract.date_columns if c in plan.sources}
-    return redact_fields(rows, fields, unless=parsed)
+def redact_rows(rows: DataFrame, contract: Contract) -> DataFrame:
+    """Redact repaired rows; a date that became ISO text needs no scan.  Findings
+    come in the order in which the row's header has the fields."""
+    fields = [f"{c}_text" if c in contract.numeric_columns else c for c in contract.columns]
+    parsed = {c: f"NOT bad_{c}" for c in contract.date_columns}
+    return redact_fields(rows, fields, unless=parsed, order="value_order").drop("value_order")
 
 
-def repair_and_redact(feeds: Sequence[Feed], contract: Contract) -> DataFrame:
-    """All feeds repaired and redacted; ``plan_id`` is the feed's position."""
-    parts = [
-        redact_rows(repair_rows(f, contract, i), plan_header(f.header, contract), contract)
-        for i, f in enumerate(feeds)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def repair_and_redact(feeds: Feeds | Sequence[Feed], contract: Contract, plans: DataFrame | None = None) -> DataFrame:
+    """All feeds repaired and redacted; ``plans`` is :func:`plan_table` of their headers, where that is there already."""
+    feeds = feeds if isinstance(feeds, Feeds) else Feeds.of(feeds)
+    plans = plan_table(feeds.rows.sparkSession, feeds.headers, contract) if plans is None else plans
+    # A row for each distinct header; its size is known, so Spark broadcasts it while it is small.
+    choices = plans.select("plan_id", "plan_drifted", "positions", "fills", "value_order")
+    return redact_rows(repair_rows(feeds.rows.join(choices, "plan_id"), contract), contract)
 
 
 def deduplicate(rows: DataFrame, contract: Contract) -> DataFrame:
@@ -215,22 +235,41 @@ def present_fields(kind: str, contract: Contract | None = None, get=F.col) -> Co
     return total
 
 
-def plan_table(spark: SparkSession, headers: Sequence[Sequence[str]], contract: Contract) -> DataFrame:
-    """The header plans as a table: one row per distinct header."""
-    rows = []
-    for i, header in enumerate(headers):
-        plan = plan_header(header, contract)
-        note = (
-            f"drift detected (missing={list(plan.missing)}, unexpected={list(plan.unexpected)})"
-            if plan.drifted
-            else "schema matches baseline"
-        )
-        rows.append((i, plan.drifted, note, list(plan.log), list(plan.issues)))
-    return local_frame(
-        spark,
-        rows,
-        "plan_id int, plan_drifted boolean, note string, plan_log array<string>, plan_issues array<string>",
+_PLAN = (
+    "plan_id bigint, plan_drifted boolean, note string, plan_log array<string>, plan_issues array<string>,"
+    " positions array<int>, fills array<string>, value_order array<int>"
+)
+
+
+def _plan_row(plan_id: int, header: Sequence[str], contract: Contract) -> tuple:
+    plan = plan_header(header, contract)
+    note = (
+        f"drift detected (missing={list(plan.missing)}, unexpected={list(plan.unexpected)})"
+        if plan.drifted
+        else "schema matches baseline"
     )
+    positions = [plan.sources.get(c, -1) for c in contract.columns]
+    order = [contract.columns.index(c) for c in value_order(plan, contract)]
+    return plan_id, plan.drifted, note, list(plan.log), list(plan.issues), positions, [plan.fills.get(c) for c in contract.columns], order
+
+
+def plan_table(spark: SparkSession, headers: DataFrame | Sequence[Sequence[str]], contract: Contract) -> DataFrame:
+    """The header plans as a table, one row per distinct header, made where the headers are.
+
+    ``positions`` and ``fills`` have an entry for each contract column (-1 and null: none); ``value_order`` lists
+    the contract columns in the order a repaired record carries them.
+    """
+    if not isinstance(headers, DataFrame):
+        return local_frame(spark, [_plan_row(i, h, contract) for i, h in enumerate(headers)], _PLAN)
+    schema = to_arrow_schema(StructType.fromDDL(_PLAN))
+
+    def run(batches):
+        for batch in batches:
+            rows = [_plan_row(r["plan_id"], r["header"], contract) for r in batch.to_pylist()]
+            columns = list(zip(*rows)) if rows else [[]] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return stage(headers.select("plan_id", "header").mapInArrow(run, _PLAN), "header-plans")
 
 
 def feed_facts(records: DataFrame, plans: DataFrame, contract: Contract) -> DataFrame:

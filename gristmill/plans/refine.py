@@ -24,7 +24,7 @@ from ..operators.invoice import Extractor, extract, invoice_facts, invoice_recor
 from ..operators.mail import mail_facts, parse_messages, redact_messages, split_messages
 from ..operators.profile import drift, profile
 from ..operators.repair import (
-    Feed,
+    Feeds,
     deduplicate,
     empty_feed_facts,
     feed_facts,
@@ -59,7 +59,7 @@ class Branch:
     records: DataFrame | None = None
     issues: list[DataFrame] = field(default_factory=list)
     findings: list[DataFrame] = field(default_factory=list)
-    feeds: list[Feed] = field(default_factory=list)
+    feeds: Feeds | None = None
 
 
 @dataclass
@@ -71,7 +71,7 @@ class RefineResult:
     records: dict[str, DataFrame]
     issues: DataFrame
     findings: DataFrame
-    feeds: list[Feed]
+    feeds: Feeds | None
     contract: Contract
 
     def profiles(self) -> DataFrame:
@@ -79,8 +79,8 @@ class RefineResult:
         from the files when asked for, as nothing else needs the rates."""
         listed = self.decisions.where("file_type = 'csv'").select("source_file")
         empty = "source_file string, row_count bigint, columns array<string>, null_rates map<string,double>"
-        measured = [self.decisions.sparkSession.createDataFrame([], empty), *map(profile, self.feeds)]
-        found = listed.join(reduce(DataFrame.unionByName, measured), "source_file", "left")
+        measured = profile(self.feeds) if self.feeds else self.decisions.sparkSession.createDataFrame([], empty)
+        found = listed.join(measured, "source_file", "left")
         return found.select(
             "source_file",
             F.coalesce("row_count", F.lit(0)).alias("row_count"),
@@ -172,10 +172,10 @@ def _csv_branch(
     others = csv_listing.join(rejected, "source_file", "left_anti")
     if not source.feeds:
         return Branch(rejected.unionByName(empty_feed_facts(others, contract)))
-    rows = stage(repair_and_redact(source.feeds, contract), "feed-rows")
+    plans = plan_table(spark, source.feeds.headers, contract)
+    rows = stage(repair_and_redact(source.feeds, contract, plans), "feed-rows")
     # Issues name every bad row, so they come from all rows; the rest reads what is left.
     records = stage(deduplicate(rows, contract), "feed-records")
-    plans = plan_table(spark, [f.header for f in source.feeds], contract)
     facts = feed_facts(records, plans, contract)
     empty = others.join(facts.select("source_file"), "source_file", "left_anti")
     return Branch(

@@ -1,144 +1,368 @@
-"""Delimited files as feeds, one per distinct header."""
+"""Delimited files of any size, parsed in two map passes over their splits.
+
+A record may span lines, so where records begin in a split depends on whether the split starts inside a quoted field.
+
+1. Each task reads its splits' lines once and reports, for both possibilities, whether a split ends inside quotes, how
+   long its records are, and (at the head of a file) the header.  These reports compose, one row a split: they say where
+   every split starts, without a look at any line.
+2. Each task cuts its splits into records and parses them where they are.  Only what a record has on either side of a
+   split's edge is shuffled, at most two pieces a split.
+
+Files of all sizes and headers of all shapes take this one way, in one plan.  No content comes to the driver, only the
+names of files that can't be parsed and the splits that start inside quotes (16 bytes for each, at most one for every
+split of the input).
+"""
 
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
-from collections.abc import Sequence
+import re
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.repair import Feed
-from ..session import local_frame
-from .listing import SourceFile, file_name, head_record, hidden, read_paths, split_size
-from .segments import inside_quotes, join_lines, oversize_files, read_lines, running_total
+from ..operators.repair import Feeds
+from ..session import stage
+from .listing import SourceFile, file_name, hidden, read_paths
+from .segments import oversize_files
+
+# Quoted content up to its closing quote, one delimited field that starts outside quotes, and a field still open at the
+# end of the line.  A quote opens a field only as its first character; elsewhere it is text.
+_CONTENT = r'[^"]*+(?:""[^"]*+)*+'
+_FIELD = rf'(?:"{_CONTENT}"[^,]*+|[^",][^,]*+|)'
+_OPEN_TAIL = rf'"{_CONTENT}\Z'
+OPENS = re.compile(rf"(?:{_FIELD},)*+{_OPEN_TAIL}")
+STAYS = re.compile(rf"{_CONTENT}\Z")
+REOPENS = re.compile(rf'{_CONTENT}"[^,]*+,(?:{_FIELD},)*+{_OPEN_TAIL}')
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "mode": "PERMISSIVE"}
+_REPORT = (
+    "source_file string, block long, valid boolean, header array<string>, header_pos long,"
+    " end0 boolean, first0 long, longest0 long, last0 long, open0 long,"
+    " end1 boolean, first1 long, longest1 long, last1 long, open1 long"
+)
+_START = "source_file string, block long, open_pos long"
+_RECORD = "source_file string, pos long, part long, text string, values array<string>"
 
 
 @dataclass(frozen=True)
 class CsvSource:
-    feeds: list[Feed]
+    feeds: Feeds | None
     unreadable: list[str]  # names that cannot be read
     invalid: list[str]  # names whose bytes are not valid text
     oversize: list[str]  # names with a record too long to be one value
 
 
 def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
-    """One feed per distinct header; loops over headers, never over rows.
-
-    Files up to one split are parsed as they are.  Bigger ones are read by
-    many tasks as lines and put together into records first.
-    """
+    """All delimited files as one table of records and one of headers."""
+    unreadable = [f.name for f in files if hidden(f)]
     readable = [f for f in files if not hidden(f) and f.size > 0]
-    limit = split_size(spark)
-    small = [f for f in readable if f.size <= limit]
-    large = [f for f in readable if f.size > limit]
-    first, invalid = _first_lines(spark, small)
-    heads = {f.name: head_record(spark, f) for f in large}
-    # A first line that leaves a quote open goes on below it.
-    heads |= {f.name: head_record(spark, f) for f in small if first.get(f.name, "").count('"') % 2}
-    first |= {name: text for name, (text, _) in heads.items()}
-    invalid += _invalid_names(spark, large)
-    oversize = oversize_files(_broken_lines(inside_quotes(read_lines(spark, large))), "record") if large else []
+    if not readable:
+        return CsvSource(None, unreadable, [], [])
+    reports = stage(_reports(_lines(spark, readable)), "splits")
+    whole = stage(_composed(reports), "split-starts")
+    facts = whole.where("open_pos IS NULL")
+    invalid = sorted(r["source_file"] for r in facts.where("NOT valid").select("source_file").collect())
+    lengths = facts.select("source_file", F.col("longest").alias("bytes"), F.lit(0).alias("record"))
+    oversize = [name for name in oversize_files(lengths, "record") if name not in invalid]
     bad = {*invalid, *oversize}
+    good = [f for f in readable if f.name not in bad]
+    if not good:
+        return CsvSource(None, unreadable, invalid, oversize)
+    starts = whole.where("open_pos IS NOT NULL")
+    headers = _headers(spark, good, reports, starts)
+    return CsvSource(_feeds(records(spark, good, starts), headers), unreadable, invalid, oversize)
+
+
+def _lines(spark: SparkSession, files: Sequence[SourceFile]) -> DataFrame:
+    """Lines in the order of the file, each with its split: tasks read a split from its start to its end."""
+    block = F.col("_metadata.file_block_start").alias("block")
+    return spark.read.text(read_paths(list(files))).select(file_name().alias("source_file"), block, F.col("value").cast("binary").alias("line"))
+
+
+def _splits(batches) -> Iterator[tuple[str, int, pa.Array]]:
+    """(file, block, lines) of each run of lines of one split; a split may come in several."""
+    for batch in batches:
+        if batch.num_rows:
+            names = batch.column("source_file").dictionary_encode()
+            code, block = names.indices.to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(code)]):
+                yield names.dictionary[code[lo]].as_py(), int(block[lo]), batch.column("line").slice(lo, hi - lo)
+
+
+def _goes_on(line: str, inside: bool) -> bool:
+    """Whether a line that starts inside (or outside) a quoted field ends inside one."""
+    return bool(STAYS.match(line) or REOPENS.match(line)) if inside else bool(OPENS.match(line))
+
+
+class _Reading:
+    """A split read from one of the two states: how it ends and how long its records are."""
+
+    def __init__(self, inside: bool):
+        self.inside, self.open_pos = inside, None
+        # Bytes of the record that is open, of the first that ends here, and of the longest.
+        self.now, self.first, self.longest = 0, None, 0
+
+    def plain(self, sizes: np.ndarray) -> None:
+        """Lines without any quote."""
+        if self.inside:
+            self.now += int(sizes.sum())
+        elif len(sizes):
+            self.first = int(sizes[0]) if self.first is None else self.first
+            self.longest = max(self.longest, int(sizes.max()))
+
+    def quoted(self, line: str, size: int, pos: int) -> None:
+        stays = _goes_on(line, self.inside)
+        if stays and not self.inside:
+            self.open_pos = pos
+        self.now += size
+        if not stays:
+            self.first = self.now if self.first is None else self.first
+            self.longest, self.now, self.open_pos = max(self.longest, self.now), 0, None
+        self.inside = stays
+
+    def report(self) -> tuple:
+        return self.inside, self.first, self.longest, self.now, self.open_pos
+
+
+class _Head:
+    """The first record of a file that isn't blank, as far as the first split has it whole."""
+
+    def __init__(self):
+        self.lines, self.pos, self.done, self.inside = [], None, False, False
+
+    def take(self, lines: pa.Array, pos: int) -> None:
+        for k, line in enumerate(lines):
+            line = line.as_py()
+            if not self.inside and not line.strip():
+                continue
+            self.pos = pos + k if self.pos is None else self.pos
+            self.lines.append(line)
+            self.inside = _goes_on(line, self.inside)
+            if not self.inside:
+                self.done = True
+                return
+
+    def values(self) -> list[str] | None:
+        return parse_header("\n".join(self.lines)) if self.done else None
+
+
+def parse_header(text: str) -> list[str]:
+    return next(_rows([text.removeprefix("﻿")]), [])
+
+
+def _rows(texts: list[str]) -> Iterator[list[str]]:
+    csv.field_size_limit(sys.maxsize)
+    return csv.reader(line + "\n" for text in texts for line in text.split("\n"))
+
+
+def _text(lines: pa.Array) -> pa.Array | None:
+    try:
+        return lines.cast(pa.large_binary()).cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return None
+
+
+def _reports(lines: DataFrame) -> DataFrame:
+    """What each split says about itself; the second reading is needed only where a split isn't a file's first."""
+
+    def run(batches):
+        split = None
+
+        def row():
+            (name, block), valid, head, readings = split[0], split[1], split[3], split[4]
+            other = readings[1].report() if block else (None,) * 5
+            return (name, block, valid, head.values() if not block else None, head.pos, *readings[0].report(), *other)
+
+        def batch_of(rows):
+            columns = list(zip(*rows)) if rows else [[]] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        out = []
+        for name, block, part in _splits(batches):
+            if split is None or split[0] != (name, block):
+                if split:
+                    out.append(row())
+                if len(out) >= 1000:
+                    yield batch_of(out)
+                    out = []
+                split = [(name, block), True, block, _Head(), [_Reading(False), _Reading(True)]]
+            text = _text(part)
+            if text is None:
+                split[1] = False
+                continue
+            pos = split[2] + 1
+            split[2] += len(text)
+            if not block and not split[3].done:
+                split[3].take(text, pos)
+            sizes = np.asarray(pc.binary_length(text)).astype(np.int64) + 1
+            marked = np.flatnonzero(np.asarray(pc.match_substring(text, '"')))
+            for reading in split[4][: 2 if block else 1]:
+                done = 0
+                for k in marked.tolist():
+                    reading.plain(sizes[done:k])
+                    reading.quoted(text[k].as_py(), int(sizes[k]), pos + k)
+                    done = k + 1
+                reading.plain(sizes[done:])
+        if split:
+            out.append(row())
+        yield batch_of(out)
+
+    arrow = _arrow(_REPORT)
+    return lines.mapInArrow(run, _REPORT)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _composed(reports: DataFrame) -> DataFrame:
+    """A row for each file (``open_pos`` null), and one for each split that starts inside quotes, with the place where
+    the record that is open there began."""
+
+    def run(batches):
+        name, state = None, None
+
+        def whole():
+            return {"source_file": name, "block": None, "open_pos": None, "valid": state[0], "longest": max(state[1], state[2])}
+
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["source_file"] != name:
+                    if name is not None:
+                        out.append(whole())
+                    name, state = r["source_file"], [True, 0, 0, None]
+                valid, longest, carried, open_pos = state
+                inside = open_pos is not None
+                if inside:
+                    out.append({"source_file": name, "block": r["block"], "open_pos": open_pos, "valid": None, "longest": None})
+                end, first, own, last, at = (r[f"{c}{int(inside)}"] for c in ("end", "first", "longest", "last", "open"))
+                ended = first is not None
+                state = [
+                    valid and r["valid"],
+                    max(longest, own, carried + first if ended else 0),
+                    last if ended else carried + last,
+                    (at if at is not None else open_pos) if end else None,
+                ]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if name is not None:
+            yield pa.RecordBatch.from_pylist([whole()], schema=arrow)
+
+    schema = f"{_START}, valid boolean, longest long"
+    arrow = _arrow(schema)
+    rows = reports.drop("header", "header_pos").repartition("source_file").sortWithinPartitions("source_file", "block")
+    return rows.mapInArrow(run, schema)
+
+
+def records(spark: SparkSession, files: Sequence[SourceFile], starts: DataFrame) -> DataFrame:
+    """``source_file``, ``pos``, ``values`` of all records that aren't blank, headers included."""
+    cut = _cut(_lines(spark, files), starts)
+    pieces = cut.where("part IS NOT NULL").groupBy("source_file", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
+    joined = pieces.select("source_file", "pos", F.array_join("parts.text", "\n").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [_parsed([t])[0] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("source_file"), batch.column("pos"), pa.array(rows, pa.list_(pa.string()))], names=["source_file", "pos", "values"])
+
+    joined = joined.mapInArrow(run, "source_file string, pos long, values array<string>")
+    return cut.where("part IS NULL").select("source_file", "pos", "values").unionByName(joined).where("values IS NOT NULL")
+
+
+def _parsed(texts: list[str]) -> list[list[str] | None]:
+    """Values of each record, null for a blank one."""
+    rows = list(_rows(texts))
+    if len(rows) != len(texts):
+        rows = [next(_rows([t]), []) for t in texts]
+    return [None if not r or (len(r) == 1 and not t.strip()) else r for r, t in zip(rows, texts)]
+
+
+def _cut(lines: DataFrame, starts: DataFrame) -> DataFrame:
+    """Parsed records that lie in one split (``part`` null), and texts of the parts of those that don't."""
+    table = starts.select("source_file", "block", "open_pos").toArrow()
+    known = {(f, b): at for f, b, at in zip(*(table.column(c).to_pylist() for c in ("source_file", "block", "open_pos")))}
+    held = lines.sparkSession.sparkContext.broadcast(known)
+    arrow = _arrow(_RECORD)
+
+    def run(batches):
+        starts_at, split = held.value, None
+        none = pa.nulls(1, pa.list_(pa.string()))
+
+        def part(text):
+            (name, block), at = split[0], split[2]
+            columns = [pa.array([name]), pa.array([at]), pa.array([block]), pa.array([text]), none]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for name, block, run_ in _splits(batches):
+            if split is None or split[0] != (name, block):
+                if split and split[2] is not None:
+                    yield part("\n".join(split[3]))
+                # Split, its last line's place, where the open record began, the lines of it, whether that was earlier.
+                at = starts_at.get((name, block))
+                split = [(name, block), block, at, [], at is not None]
+            text = _text(run_)
+            found, places = [], []
+            marked = set(np.flatnonzero(np.asarray(pc.match_substring(text, '"'))).tolist())
+            for k, line in enumerate(text.to_pylist()):
+                split[1] += 1
+                inside = split[2] is not None
+                stays = _goes_on(line, inside) if k in marked else inside
+                if not inside and not stays:
+                    found.append(line)
+                    places.append(split[1])
+                    continue
+                if not inside:
+                    split[2] = split[1]
+                split[3].append(line)
+                if not stays:
+                    whole = "\n".join(split[3])
+                    if split[4]:
+                        yield part(whole)
+                    else:
+                        found.append(whole)
+                        places.append(split[2])
+                    split[2:] = [None, [], False]
+            n = len(found)
+            columns = [
+                pa.array([name]).take(pa.array(np.zeros(n, np.int64))), pa.array(places, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()),
+                pa.array(_parsed(found), pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        if split and split[2] is not None:
+            yield part("\n".join(split[3]))
+
+    return lines.mapInArrow(run, _RECORD)
+
+
+def _headers(spark: SparkSession, files: Sequence[SourceFile], reports: DataFrame, starts: DataFrame) -> DataFrame:
+    """``source_file``, ``header``, ``header_pos``; a header that a file's first split doesn't hold whole is read with
+    the file's records."""
+    first = reports.where("block = 0")
+    headers = first.where("header IS NOT NULL").select("source_file", "header", "header_pos")
+    cut = {r["source_file"] for r in first.where("header IS NULL").select("source_file").collect()}
+    late = [f for f in files if f.name in cut]
+    if late:
+        rows = records(spark, late, starts).groupBy("source_file").agg(F.min_by("values", "pos").alias("header"), F.min("pos").alias("header_pos"))
+        headers = headers.unionByName(rows.select("source_file", "header", "header_pos"))
+    names = spark.createDataFrame(pa.table({"source_file": [f.name for f in files]}))
+    return stage(headers.join(names, "source_file", "left_semi"), "headers")
+
 
-    groups: dict[tuple[tuple[str, ...], bool], list[SourceFile]] = defaultdict(list)
-    for f in readable:
-        if f.name in first and f.name not in bad:
-            header = parse_header(first[f.name])
-            groups[header, f.size > limit].append(f)
-    feeds = [
-        Feed(_parse_large(spark, fs, header, heads) if big else _parse_small(spark, fs, header), header)
-        for (header, big), fs in sorted(groups.items(), key=lambda g: g[0])
-    ]
-    return CsvSource(feeds, [f.name for f in files if hidden(f)], sorted(set(invalid)), oversize)
-
-
-def parse_header(line: str) -> tuple[str, ...]:
-    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
-
-
-def _lines(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    return spark.read.text(read_paths(files)).select(
-        file_name().alias("source_file"), F.monotonically_increasing_id().alias("seq"), "value"
-    )
-
-
-def _first_lines(spark: SparkSession, files: list[SourceFile]) -> tuple[dict[str, str], list[str]]:
-    """First non-blank line and text validity of every file, in one scan.
-
-    What comes back is one header per file, the size of a listing.
-    """
-    if not files:
-        return {}, []
-    filled = F.when(F.trim("value") != "", F.col("seq"))
-    rows = (
-        _lines(spark, files)
-        .groupBy("source_file")
-        .agg(
-            F.min_by("value", filled).alias("line"),
-            F.min(F.is_valid_utf8("value")).alias("valid"),
-        )
-        .collect()
-    )
-    first = {r["source_file"]: r["line"] for r in rows if r["line"] is not None}
-    return first, [r["source_file"] for r in rows if not r["valid"]]
-
-
-def _invalid_names(spark: SparkSession, files: list[SourceFile]) -> list[str]:
-    if not files:
-        return []
-    bad = _lines(spark, files).where(~F.is_valid_utf8("value")).select("source_file").distinct()
-    return [r["source_file"] for r in bad.collect()]
-
-
-def _schema(header: tuple[str, ...]) -> str:
-    return ", ".join(f"v{i} string" for i in range(len(header)))
-
-
-def _as_feed(df: DataFrame, header: tuple[str, ...]) -> DataFrame:
-    # An unquoted empty value reads as null; both are the empty string here.
-    values = [F.coalesce(f"v{i}", F.lit("")).alias(f"v{i}") for i in range(len(header))]
-    return df.select("source_file", "pos", *values)
-
-
-def _parse_small(spark: SparkSession, files: list[SourceFile], header: tuple[str, ...]) -> DataFrame:
-    rows = spark.read.options(**CSV_OPTIONS).schema(_schema(header)).csv(read_paths(files))
-    # A file is read by one task, so the identifier grows along the file.
-    return _as_feed(
-        rows.select(
-            file_name().alias("source_file"), F.monotonically_increasing_id().alias("pos"), "*"
-        ),
-        header,
-    )
-
-
-def _broken_lines(lines: DataFrame) -> DataFrame:
-    """Lines of records that span lines, numbered by record."""
-    broken = lines.where(F.col("inside") | F.col("ends"))
-    opens = ~F.col("inside")
-    return running_total(broken, opens, "earlier").withColumn(
-        "record", F.col("earlier") + opens.cast("bigint")
-    )
-
-
-def _parse_large(
-    spark: SparkSession, files: list[SourceFile], header: tuple[str, ...], heads: dict[str, tuple[str, int]]
-) -> DataFrame:
-    """Records of files read by many tasks.
-
-    Lines that hold a whole record, nearly all of them, are parsed where they
-    are; only records with line breaks inside quotes are grouped.
-    """
-    lines = inside_quotes(read_lines(spark, files))
-    whole = lines.where(~(F.col("inside") | F.col("ends"))).select("source_file", "pos", F.col("line").alias("text"))
-    joined = join_lines(_broken_lines(lines), "record").select("source_file", "pos", "text")
-    records = whole.unionByName(joined).where(F.trim("text") != "")
-    # Lines of the first split are numbered from 1; blank ones may precede the header.
-    headers = local_frame(spark, [(f.name, heads[f.name][1]) for f in files], "source_file string, header_pos bigint")
-    body = records.join(headers, "source_file").where(F.col("pos") > F.col("header_pos"))
-    parsed = F.from_csv("text", F.lit(_schema(header)), {"escape": '"', "multiLine": "true"})
-    return _as_feed(body.select("source_file", "pos", parsed.alias("r")).select("source_file", "pos", "r.*"), header)
+def _feeds(rows: DataFrame, headers: DataFrame) -> Feeds:
+    plans = stage(headers.select("header").distinct().withColumn("plan_id", F.monotonically_increasing_id()), "header-ids")
+    files = headers.join(plans, "header").select("source_file", "header_pos", "plan_id", F.size("header").alias("width"))
+    body = rows.join(files, "source_file").where("pos > header_pos")
+    # Values that are missing at the end are the empty string, values beyond the header are dropped.
+    width = F.col("width")
+    fitted = F.slice(F.concat("values", F.array_repeat(F.lit(""), width)), F.lit(1), width)
+    return Feeds(body.select("source_file", "pos", "plan_id", F.when(F.size("values") == width, F.col("values")).otherwise(fitted).alias("values")), plans)

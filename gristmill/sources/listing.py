@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import local_frame
 
-# Bytes first read from the head of a file; a header that is longer is read on.
+# Bytes read from the head of a file to tell what it is.
 HEAD_BYTES = 1 << 16
 
 
@@ -57,27 +56,6 @@ def read_head(spark: SparkSession, file: SourceFile, size: int = HEAD_BYTES) ->
         stream.close()
 
 
-def head_record(spark: SparkSession, file: SourceFile) -> tuple[str, int]:
-    """The first record of a file that isn't blank, whatever its length, and the
-    number of the line it begins on (from 1).  A quoted line break belongs to it."""
-    size = HEAD_BYTES
-    while True:
-        raw = read_head(spark, file, size)
-        lines = re.split(r"\r\n|\n|\r", raw.decode("utf-8", errors="ignore").removeprefix("\ufeff"))
-        start = next((i for i, line in enumerate(lines) if line.strip()), None)
-        if start is not None:
-            quotes, end = 0, start
-            for end in range(start, len(lines)):
-                quotes += lines[end].count('"')
-                if quotes % 2 == 0:
-                    break
-            if end < len(lines) - 1 or len(raw) < size:
-                return "\n".join(lines[start : end + 1]), start + 1
-        elif len(raw) < size:
-            return "", 1
-        size *= 4
-
-
 def hidden(file: SourceFile) -> bool:
     """Names Spark's file sources refuse to read."""
     return file.name.startswith("_")

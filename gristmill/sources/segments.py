@@ -53,87 +53,17 @@ def running_total(lines: DataFrame, weight: Column, name: str) -> DataFrame:
     )
 
 
-# Quoted content up to its closing quote, one delimited field that starts
-# outside quotes, and a field still open at the end of the line.  A quote opens
-# a field only as its first character; elsewhere it is text.
-_CONTENT = r'[^"]*+(?:""[^"]*+)*+'
-_FIELD = rf'(?:"{_CONTENT}"[^,]*+|[^",][^,]*+|)'
-_OPEN_TAIL = rf'"{_CONTENT}$'
-OPENS = rf"^(?:{_FIELD},)*+{_OPEN_TAIL}"
-STAYS = rf"^{_CONTENT}$"
-REOPENS = rf'^{_CONTENT}"[^,]*+,(?:{_FIELD},)*+{_OPEN_TAIL}'
-
-
-def inside_quotes(lines: DataFrame) -> DataFrame:
-    """Add ``inside``: whether a line starts within a quoted field, and ``ends``:
-    whether it ends within one.
-
-    A line maps the state before it to the state after it.  It either sets the
-    state, keeps it or flips it, so the state before a line is the value set by
-    the last setting line, flipped once per flip since.  As with running
-    totals that is resolved inside each split and then across the splits.
-    """
-    line = F.col("line")
-    outside_end = line.rlike(OPENS)
-    inside_end = line.rlike(STAYS) | line.rlike(REOPENS)
-    marked = lines.withColumns({"e0": outside_end, "e1": inside_end}).withColumns(
-        {"set": F.when(F.col("e0") == F.col("e1"), F.col("e0")), "flip": F.col("e0") & ~F.col("e1")}
-    )
-    local = _state_before(marked, ["source_file", "block"], "pos")
-    per_split = marked.groupBy("source_file", "block").agg(
-        F.sum(F.col("flip").cast("int")).alias("flips"),
-        F.max("pos").alias("last_pos"),
-    )
-    last_set = (
-        local.where("set IS NOT NULL")
-        .groupBy("source_file", "block")
-        .agg(F.max(F.struct("pos", "set", "flips_to")).alias("s"))
-        .select("source_file", "block", "s.set", "s.flips_to")
-    )
-    splits = per_split.join(last_set, ["source_file", "block"], "left").select(
-        "source_file",
-        "block",
-        _xor(F.col("set"), F.col("flips") - F.col("flips_to")).alias("set"),
-        (F.col("set").isNull() & (F.col("flips") % 2 == 1)).alias("flip"),
-    )
-    starts = _state_before(splits, ["source_file"], "block").select(
-        "source_file", "block", F.coalesce("known", F.col("flips_before") % 2 == 1).alias("start")
-    )
-    inside = F.coalesce("known", _xor(F.col("start"), F.col("flips_before")))
-    return (
-        local.join(starts, ["source_file", "block"])
-        .withColumn("inside", inside)
-        .select("source_file", "block", "pos", "line", "inside", F.when(F.col("inside"), F.col("e1")).otherwise(F.col("e0")).alias("ends"))
-    )
-
-
-def _xor(state: Column, flips: Column) -> Column:
-    return state != (flips % 2 == 1)
-
-
-def _state_before(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Add ``flips_to``, ``flips_before`` and ``known``, the state before a row
-    where an earlier row of its group sets it."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    flip = F.col("flip").cast("int")
-    counted = df.withColumn("flips_to", F.sum(flip).over(upto)).withColumn("flips_before", F.col("flips_to") - flip)
-    setter = F.when(F.col("set").isNotNull(), F.struct("set", "flips_to"))
-    return counted.withColumn("setter", F.last(setter, ignorenulls=True).over(before)).withColumn(
-        "known", _xor(F.col("setter")["set"], F.col("flips_before") - F.col("setter")["flips_to"])
-    )
-
-
 # A record longer than this cannot be one value; its file goes to review.
 RECORD_LIMIT = 256 << 20
 
 
 def oversize_files(lines: DataFrame, record: str, limit: int = RECORD_LIMIT) -> list[str]:
-    """Names of files with a record too long to be put together.  Lengths are
-    summed before anything is gathered."""
+    """Names of files with a record too long to be put together.  Lengths (of
+    lines, or given as ``bytes``) are summed before anything is gathered."""
+    size = F.col("bytes") if "bytes" in lines.columns else F.length("line") + 1
     long = (
         lines.groupBy("source_file", record)
-        .agg(F.sum(F.length("line") + 1).alias("n"))
+        .agg(F.sum(size).alias("n"))
         .where(F.col("n") > limit)
         .select("source_file")
         .distinct()
