@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import map_batches, slices, texts_of
+from gristmill.llm.common import fresh_task, map_batches, slices, texts_of
 from gristmill.session import stage
 
 # Words in the table that every task holds, and bytes of the longest (so 36 MB at most; usually about a third of that).
@@ -42,7 +42,7 @@ SEEN, HELD = 3, 200_000
 # A bucket holds the ids of twice as many words.
 BUCKET_WORDS = 150_000
 # Bytes of text in a slice that exchanges words with the buckets.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # The public split pattern of byte-level BPE, with white space as Unicode defines it.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -177,6 +177,7 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> DataFrame:
     """``word``, ``times`` of the words that tasks saw often, at most ``most`` of them."""
 
     def run(batches):
+        fresh_task(__name__)
         counts: Counter = Counter()
         split = _splitter(path)
         for batch in batches:
@@ -264,6 +265,7 @@ def as_places(docs: DataFrame, path: str, table: WordTable, buckets: int) -> Dat
     """
 
     def run(batches):
+        fresh_task(__name__)
         held, split = table.words(), _splitter(path)
         kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.string()))]))
         for batch in batches:
@@ -295,6 +297,7 @@ def sent_words(rows: DataFrame) -> DataFrame:
     """``slice``, ``bucket``, ``words`` of the slices.  It reads whole rows, so both uses of them share one shuffle."""
 
     def run(batches):
+        fresh_task(__name__)
         for batch in batches:
             sent = batch.column("sent")
             inner = sent.flatten()
@@ -308,6 +311,7 @@ def answered(sent: DataFrame, path: str) -> DataFrame:
     """``slice``, ``bucket``, ``ids``, ``lengths`` for the words that slices sent; rows of a bucket are together."""
 
     def run(batches):
+        fresh_task(__name__)
         known, bucket = Words(path, BUCKET_WORDS), None
         for batch in batches:
             for own, rows in _by_value(batch, "bucket"):
@@ -367,6 +371,7 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        fresh_task(__name__)
         flat, begin = table.ids()
         piece = np.array([*pieces(path), None], dtype=object)[:-1]
         spelled = np.array([str(i) for i in range(len(piece))], dtype=object)

@@ -37,6 +37,10 @@ BLOCKS, NEAREST, CELL = 4, 4, 4096
 LOAD, RECALL, TRIALS, MOST_TABLES = 6, 0.99, 2000, 64
 
 
+# Vectors of one length share filters with no others; a vector has fewer components than this.
+DIMENSIONS = 1 << 20
+
+
 def plan(n: int, d: int, threshold: float) -> tuple[int, int]:
     """The code words a part and the number of tables for ``n`` vectors of ``d`` components."""
     rng = np.random.default_rng([7, d])
@@ -97,7 +101,7 @@ def _decode(x: np.ndarray, table: int, words: int) -> tuple[np.ndarray, np.ndarr
         sums = total[:, None] + part[row]
         at, word = np.nonzero(sums + rest[k + 1][row][:, None] >= need[row][:, None])
         row, code, total = row[at], code[at] * words + word, sums[at, word]
-    return row, (code * MOST_TABLES + table) * 1024 + min(d, 1023)
+    return row, (code * MOST_TABLES + table) * DIMENSIONS + d
 
 
 def decode(x: np.ndarray, words: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,17 +115,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def members(classes: DataFrame, plans: dict[int, tuple[int, int]]) -> DataFrame:
-    """``vec_id``, ``weight``, ``vector`` (bytes of doubles), ``filters`` (ascending)."""
+def members(classes: DataFrame, plans: dict[int, tuple[int, int]], kind: str) -> DataFrame:
+    """``vec_id``, ``weight``, ``vector`` (its components' bytes as numbers of ``kind``), ``filters`` (ascending)."""
 
     def run(batches):
         for batch in batches:
             ids, weights = batch.column("vec_id").to_numpy(), batch.column("weight").to_numpy()
             for at, x in by_length(batch.column("vector")):
-                x = unit(x)
                 for lo in range(0, len(at), 1024):
-                    own, part = at[lo : lo + 1024], x[lo : lo + 1024]
-                    row, filters = decode(part, *plans[x.shape[1]])
+                    own, part = at[lo : lo + 1024], x[lo : lo + 1024].astype(kind)
+                    row, filters = decode(unit(part.astype(np.float64)), *plans[x.shape[1]])
                     order = np.lexsort((filters, row))
                     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(own)))]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(filters[order]))
@@ -142,11 +145,11 @@ def _first_shared(a: np.ndarray, b: np.ndarray, lists: np.ndarray, own: int) ->
     return out
 
 
-def compare(rows: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | None:
+def compare(rows: pa.Table, threshold: float, kind: str) -> tuple[np.ndarray, ...] | None:
     """Of one cell's vectors: ids with links, the linked vectors' weight that is counted here, the smallest id each reaches."""
     own, first, second = (rows.column(c)[0].as_py() for c in ("filter", "low", "high"))
     chunk, ids, weight = (rows.column(c).to_numpy() for c in ("chunk", "vec_id", "weight"))
-    x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
+    x = unit(np.frombuffer(b"".join(rows.column("vector").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
     left = np.flatnonzero(chunk == first)
     right = left if first == second else np.flatnonzero(chunk == second)
     pairs_a, pairs_b = [], []
@@ -180,15 +183,22 @@ def compare(rows: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | None:
     return nodes, links[order].astype(np.int64), root
 
 
+def _digest(name: str) -> list:
+    """128 bits of a vector."""
+    return [F.xxhash64(F.lit(seed), "vector").alias(f"{name}_{seed}") for seed in (1, 2)]
+
+
 def near_duplicates(table: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``table`` (``vec_id``, ``embedding``)."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"))
+    # Single precision travels as it came; cosines are computed in double precision in any case.
+    kind = "<f4" if rows.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
     usable_ = usable(F.col("vector")) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("ok", usable_)
     good = rows.where("ok").withColumn("vector", F.expr("transform(vector, x -> double(x) + 0.0)"))
     classes = stage(good.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight")), "classes")
     plans = {r["d"]: plan(r["n"], r["d"], threshold) for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    dealt = stage(members(classes.repartition(table.sparkSession.sparkContext.defaultParallelism), plans), "members")
+    dealt = stage(members(classes.repartition(table.sparkSession.sparkContext.defaultParallelism), plans, kind), "members")
     light = dealt.select("vec_id", F.explode("filters").alias("filter"))
     crowded = light.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL)
     crowded = stage(crowded.select(F.col("filter").alias("of"), F.ceil(F.col("n") / CELL).cast("int").alias("chunks")), "crowded")
@@ -205,7 +215,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9) -> DataFrame:
             keys = sorted(set(zip(*(same.column(c).to_pylist() for c in ("filter", "low", "high")))))
             for key in keys:
                 part = same if len(keys) == 1 else same.filter(pa.array([k == key for k in zip(*(same.column(c).to_pylist() for c in ("filter", "low", "high")))]))
-                found = compare(part, threshold) if len(part) > 1 else None
+                found = compare(part, threshold, kind) if len(part) > 1 else None
                 if found is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["vec_id", "links", "root"])
 
@@ -214,10 +224,12 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9) -> DataFrame:
     groups = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     named = classes.join(links, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    # Rows find their class by a digest; a common vector is one row here, and rows with it are split by the planner.
     named = named.select(
-        F.col("vector").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
+        *_digest("of"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),
     )
-    linked = good.join(named, F.col("vector") == F.col("of")).select("vec_id", "n_links", "component_id")
+    own = good.select("vec_id", *_digest("is"))
+    linked = own.join(named, (F.col("is_1") == F.col("of_1")) & (F.col("is_2") == F.col("of_2"))).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,8 +24,39 @@ CHUNK_BYTES = 1 << 20
 TEXT_SCHEMA = "doc_id long, text string"
 
 
+# Bytes of a batch between Spark and a Python worker, and what Spark's own setting is where nobody has chosen one.
+BATCH_BYTES, UNSET = 4 << 20, "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches, so that long texts don't meet in a worker ten thousand at a time; a chosen size stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, UNSET) == UNSET:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+_OWNER: list[str | None] = [None]
+
+
+def fresh_task(owner: str) -> None:
+    """Called where a task of a module begins: a reused worker drops what other modules cached, and gives memory back."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for name, module in list(sys.modules.items()):
+            if name.startswith(__package__) and name != owner:
+                for held in list(vars(module).values()):
+                    if hasattr(held, "cache_clear"):
+                        held.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and further columns, so that scans prune the rest."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
@@ -33,8 +66,10 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Ite
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    owner = step.__module__
 
     def run(batches):
+        fresh_task(owner)
         for batch in batches:
             for piece in slices(batch):
                 for out in step(piece):

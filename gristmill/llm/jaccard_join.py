@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, components, map_batches, mix, slices, texts_of, words_of
+from gristmill.llm.common import Shared, components, fresh_task, map_batches, mix, slices, texts_of, words_of
 from gristmill.session import stage
 
 # How many of the most frequent shingles the token order knows at most (8 bytes each in every task).
@@ -68,6 +68,7 @@ def first_counts(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id``, ``n`` of every document, and ``token``, ``times`` of shingles that a task saw in several sets."""
 
     def run(batches):
+        fresh_task(__name__)
         known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         held: list[np.ndarray] = []
 
@@ -120,6 +121,7 @@ def postings(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     shared = Shared(spark, frequent)
 
     def run(batches):
+        fresh_task(__name__)
         common = shared.value
         by_token = np.argsort(common, kind="stable")
         sorted_tokens = common[by_token]
@@ -180,6 +182,7 @@ def shared_lists(found: DataFrame) -> DataFrame:
     """The postings of tokens that stand in two prefixes at least, and the copies' rows."""
 
     def run(batches):
+        fresh_task(__name__)
         for (token, doc, n, at), bounds in runs(batches, ["token", "doc_id", "n", "at"]):
             keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds)) | (n == 0)
             if keep.any():
@@ -193,6 +196,7 @@ def leaders(lists: DataFrame, percent: int) -> DataFrame:
     """``b``, ``a``: for each set the one it shares most lists with, among the smallest ids of its blocks of lists."""
 
     def run(batches):
+        fresh_task(__name__)
         for (token, doc, n, at), bounds in runs(batches, ["token", "doc_id", "n", "at"]):
             got_a, got_b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -226,6 +230,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     """A bit for every hash of an id; of fixed size, whatever the number of ids."""
 
     def run(batches):
+        fresh_task(__name__)
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
             at = np.unique(_filter_places(batch.column(0).to_numpy()))
@@ -292,6 +297,7 @@ def possible(docs: DataFrame, size: int, percent: int, pairs: DataFrame) -> Data
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
 
     def run(batches):
+        fresh_task(__name__)
         for batch in batches:
             n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).astype(np.int64)
             # Linked: overlap >= percent n / (100 + percent), so they differ by n - 2 overlap at most.
@@ -347,6 +353,7 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         return o[keep], (same & (lower >= need))[keep]
 
     def run(batches):
+        fresh_task(__name__)
         columns = ["token", "doc_id", "n", "at", "comp", "lead", "over", "lead_n"]
         for (_, doc, n, at, comp, lead, over, lead_n), bounds in runs(batches, columns):
             a, b, sure = [], [], []
@@ -410,9 +417,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, most_f
 
 
 def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id isn't in ``gone``; of an id in ``repeated`` one row stays.
+    """The rows of ``docs``, all columns, whose id isn't in ``gone``; of an id in ``repeated`` one row for each text stays.
 
-    Both have one column of distinct ids.  A filter of fixed size tells most rows apart where they are; only rows that
+    Texts count as one if they have the same words (in lower case); of rows that are alike in that, the one with the
+    least hash of all its columns stays, whatever the run.  Both tables have one column of distinct ids.  A filter of fixed size tells most rows apart where they are; only rows that
     it holds are joined.
     """
     gone = gone.toDF("gone_from_these_rows")
@@ -421,6 +429,7 @@ def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = N
 
     def part(inside: bool):
         def run(batches):
+            fresh_task(__name__)
             for batch in batches:
                 ids = batch.column("doc_id")
                 places = _filter_places(np.asarray(ids.fill_null(0)))
@@ -430,4 +439,12 @@ def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = N
         return docs.mapInArrow(run, docs.schema)
 
     left = part(True).join(gone, F.col("doc_id") == F.col("gone_from_these_rows"), "left_anti")
-    return part(False).union(left if repeated is None else left.dropDuplicates(["doc_id"]))
+    return part(False).union(left if repeated is None else _one_of_each_text(left))
+
+
+def _one_of_each_text(rows: DataFrame) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), r"[\x20\x09-\x0D]+", " "))
+    whole = F.struct(*[rows[c] for c in rows.columns])
+    alike = rows.groupBy(F.col("doc_id").alias("id_of_row"), F.md5(words.cast("binary")).alias("words_of_row"))
+    return alike.agg(F.min_by(whole, F.xxhash64(whole)).alias("row_itself")).select("row_itself.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, map_batches, mix, slices, texts_of
+from gristmill.llm.common import Shared, fresh_task, map_batches, mix, slices, texts_of
 from gristmill.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -128,6 +128,7 @@ def filter_of(places_of, column: DataFrame) -> np.ndarray:
     """A bit for every value's hash; of fixed size, whatever the number of values."""
 
     def run(batches):
+        fresh_task(__name__)
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
             at = places_of(batch.column(0).to_pylist())
@@ -155,6 +156,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     none, shared = not bits.any(), Shared(docs.sparkSession, bits)
 
     def run(batches):
+        fresh_task(__name__)
         counts: dict[str, int] = {}
         wanted: dict[str, bool] = {}
         for batch in batches:
@@ -232,6 +234,7 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shr
 
     def part(inside: bool):
         def run(batches):
+            fresh_task(__name__)
             for batch in batches:
                 keep = pa.array(_hits(bits.value, _id_places(batch.column("doc_id").to_pylist())) == inside)
                 yield batch.filter(keep)
@@ -243,6 +246,7 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shr
     rows = part(False).withColumns(nothing).union(part(True).join(changed, F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc"))
 
     def run(batches):
+        fresh_task(__name__)
         for batch in batches:
             for piece in slices(batch):
                 out = []

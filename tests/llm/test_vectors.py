@@ -69,6 +69,31 @@ def test_repeated_rows_link_with_each_other(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def test_long_vectors_of_different_lengths(spark):
+    rng = np.random.default_rng(8)
+    rows, groups = [], {}
+    for d in (1_022, 1_023, 1_100, 1_536):
+        base = rng.normal(size=(3, d))
+        for k in range(15):
+            vec_id = len(rows)
+            groups.setdefault((d, k % 3), []).append(vec_id)
+            rows.append((vec_id, (base[k % 3] + 0.05 * rng.normal(size=d)).tolist()))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cap_filters.near_duplicates(table(spark, rows)).collect()}
+    assert got == {i: (4, min(ids)) for ids in groups.values() for i in ids}
+
+
+def test_a_common_vector_and_double_precision(spark):
+    rng = np.random.default_rng(6)
+    common = rng.normal(size=8)
+    rows = [(k, common.tolist()) for k in range(400)] + [(1000 + k, v.tolist()) for k, v in enumerate(rng.normal(size=(40, 8)))]
+    doubles = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in cap_filters.near_duplicates(doubles).collect()}
+    assert [got[i] for i, _ in rows] == links.tolist()
+
+
 def test_no_vectors(spark):
     empty = table(spark, [(1, [1.0])]).where("vec_id < 0")
     assert cap_filters.near_duplicates(empty).count() == 0 and topk_search.top_k(empty).count() == 0
