@@ -123,6 +123,41 @@ def test_search_matches_brute_force(spark, monkeypatch, band):
     assert got == brute_top(rows, 20, 20)
 
 
+def test_large_numbers(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, (v * 2.0 ** (17 + k % 5)).tolist()) for k, v in enumerate(rng.normal(size=(60, 6)))] + [(500 * 20, [1e17] * 6), (10_001, [1e30] * 6)]
+    got = sorted(tuple(r) for r in topk_search.top_k(table(spark, rows)).collect())
+    assert got == brute_top(rows[:-2], 20, 20)
+
+
+def pruned(x, every=20, k=20):
+    """Share of (query, candidate) pairs that are never scored, in one cell of all vectors by descending length."""
+    x = np.floor(64 * x)
+    _, squares, turn = np.linalg.svd(x.T @ x)
+    left = 1 - np.cumsum(squares) / squares.sum()
+    levels = sorted({int(np.searchsorted(-left, -share)) + 1 for share in topk_search.LEFT})
+    order = np.argsort(-np.linalg.norm(x, axis=1), kind="stable")
+    ids = np.arange(len(x))
+    asked = ids % every == 0
+    cell = topk_search.Cell(ids[asked], x[asked], np.full(asked.sum(), topk_search._LOWEST), k, turn.T, levels)
+    for lo in range(0, len(x), topk_search.STEP):
+        some = order[lo : lo + topk_search.STEP]
+        cell.meet(ids[some], x[some])
+    best = np.sort(np.where(ids == ids[asked][:, None], -np.inf, x[asked] @ x.T), axis=1)[:, -k:]
+    assert np.array_equal(np.sort(cell.found[2].reshape(-1, k), axis=1), best)
+    return 1 - cell.scored / (asked.sum() * len(x))
+
+
+def test_bounds_prune(capsys):
+    rng = np.random.default_rng(1)
+    even = cap_filters.unit(rng.normal(size=(6000, 64)))
+    skewed = even * np.exp(rng.normal(size=(6000, 1)))
+    spread = rng.normal(size=(6000, 64)) * 0.85 ** np.arange(64)
+    shares = [pruned(x) for x in (even, skewed, spread @ np.linalg.qr(rng.normal(size=(64, 64)))[0])]
+    print("pruned:", [round(s, 3) for s in shares])
+    assert shares[0] > 0.85 and shares[1] > 0.9 and shares[2] > 0.9
+
+
 def test_fewer_candidates_than_asked_for(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (3, [-1.0, -1.0])]
     got = sorted(tuple(r) for r in topk_search.top_k(table(spark, rows)).collect())
