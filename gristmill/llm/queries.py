@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import bpe_codec, cap_filters, conversations, language_id, lm_score, mixing, quality_gam, sanitize, token_files, topk_search, toxicity, whitening
+from gristmill.llm import bpe_codec, cap_filters, conversations, jaccard_join, language_id, lm_score, mixing, quality_gam, sanitize, token_files, topk_search, toxicity, whitening
 from gristmill.llm.jaccard_join import jaccard_components
 
 
@@ -92,5 +92,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE_SQL,
     "op6_topk_search": topk_search.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op12_conversations": conversations.ORACLE_SQL,
 }
