@@ -14,6 +14,9 @@ terms of 4 and 5 letters allow an edit of whole words with the same first letter
 before and close after it, or a word that reports speech beside it.  A logistic regression over a document's hits so
 weighed gives the score.
 
+Words are what stands between blanks, without marks at the ends; where marks join several, each is a word.  Terms have 3
+to 40 letters; a shorter word is never one, a longer one may still begin with a stem.
+
 Learning uses at most ``each[label]`` rows of a label; everything else is over all rows and whole texts.
 
 Defined results: null, empty and blank texts have no hits, hence the lowest score; without labelled rows of both
@@ -24,6 +27,7 @@ each.
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -61,6 +65,15 @@ def core(word: str) -> str:
     return word.strip(EDGES + MARKS)
 
 
+# Marks between letters; those that stand for letters and apostrophes are not.
+JOINTS = re.compile(r"[^\w'’@$]+|_+")
+
+
+def pieces_of(word: str) -> list[str]:
+    """The words that marks inside a ``core`` join (``one,two``, ``one...two``, ``one-two``); none for a plain word."""
+    return [] if word.isalnum() else [p for p in map(core, JOINTS.split(word)) if len(p) > 2 and p != word]
+
+
 class Matcher:
     """The product automaton of a trie and the edits its terms allow; states are made when first reached.
 
@@ -186,9 +199,12 @@ def features(text: str, matcher: Matcher) -> list[float]:
     hits = []
     for at, word in enumerate(words):
         if len(word) > 2:
-            exact, near = matcher.match(core(word))
-            if exact or near:
-                hits.append((at, exact, near))
+            whole = core(word)
+            found = [matcher.match(whole)]
+            # Joined words count one by one, unless what they make together is a term (``id*ot`` is an edit of one).
+            if not found[0][0] and (pieces := [m for p in pieces_of(whole) if any(m := matcher.match(p))]):
+                found = pieces
+            hits += [(at, exact, near) for exact, near in found if exact or near]
     if not hits:
         return [0.0] * N_FEATURES
     number, in_quotes = 0.0, 0.0
@@ -213,7 +229,8 @@ def lexicon_of(sample: DataFrame, terms: int = TERMS) -> tuple[list[tuple[str, b
     def step(piece):
         units, labels = [], []
         for text, label in zip(piece.column("text").to_pylist(), piece.column("label").to_pylist()):
-            words = {c for w in set(words_in(text)) if 2 < len(c := core(w)) <= 40}
+            cores = {core(w) for w in set(words_in(text))}
+            words = {c for c in cores.union(*map(pieces_of, cores)) if 2 < len(c) <= 40}
             own = {"=" + w for w in words} | {"^" + w[:k] for w in words for k in STEMS if len(w) >= k}
             units += own
             labels += [label] * len(own)

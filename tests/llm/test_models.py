@@ -132,6 +132,15 @@ def test_misspelled_insults_are_toxic(make, spark):
     assert all(model.score(plain + f"{w} and {w} or {w} " + plain) < 0.5 for w in ("brash", "adiot", "scrumming", "scub", "idiom"))
 
 
+def test_words_that_marks_join_count_one_by_one():
+    matcher = toxicity.Matcher([("idiot", False, 2.0), ("moron", False, 2.0)], short=4)
+    for text, n in (("you idiot,moron here", 2), ("idiot...moron", 2), ("idiot/clown", 1), ("idiot-like, they said", 1), ("(idiot)_(moron)", 2), ("a well-known e.g. 3.5 x", 0)):
+        assert toxicity.features(text, matcher)[1] == pytest.approx(np.log1p(n)), text
+    # What marks stand for a letter in is one misspelled word.
+    assert toxicity.features("id*ot", matcher)[1] == pytest.approx(np.log1p(toxicity.EDITED))
+    assert toxicity.pieces_of("don't") == toxicity.pieces_of("plain") == [] and toxicity.pieces_of("one--two.three") == ["one", "two", "three"]
+
+
 def test_matcher_against_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
