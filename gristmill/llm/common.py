@@ -108,6 +108,11 @@ class Shared:
         return np.frombuffer(self.held.value, dtype=self.kind).reshape(self.shape)
 
 
+def filter_bits(n: int, bounds: tuple[int, int]) -> int:
+    """Bits of a filter of ``n`` values: 16 each, so that one in 16 others passes, up to a power of two within the bounds."""
+    return min(bounds[1], max(bounds[0], 1 << (16 * n).bit_length()))
+
+
 def stage_tightly(df: DataFrame, label: str) -> DataFrame:
     """Like ``stage``, with the columnar files packed by zstd: for tables that are large against the input."""
     path = f"{scratch_root(df.sparkSession)}/gristmill/{label}-{uuid.uuid4().hex}"

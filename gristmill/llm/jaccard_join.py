@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, components, fresh_task, map_batches, mix, slices, texts_of, words_of
+from gristmill.llm.common import Shared, components, filter_bits, fresh_task, map_batches, mix, slices, texts_of, words_of
 from gristmill.session import stage
 
 # How many of the most frequent shingles the token order knows at most (8 bytes each in every task).
 FREQUENT = 1 << 21
 # A task counts shingles over so many at a time, and then forgets those it saw once.
 HELD = 4_000_000
-# Bits of the filter that tells which sets are needed again (1 MiB).
-FILTER_BITS = 1 << 23
+# Least and most bits of the filter that tells which sets are needed again (1 MiB, 64 MiB); their number sizes it.
+FILTER_BITS = (1 << 23, 1 << 29)
 
 _PLACES = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
@@ -227,30 +227,31 @@ def leaders(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for every hash of an id; of fixed size, whatever the number of ids."""
+    """A bit for every hash of an id, sized by ``filter_bits`` of their number."""
+    size = filter_bits(ids.count(), FILTER_BITS)
 
     def run(batches):
         fresh_task(__name__)
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = np.unique(_filter_places(batch.column(0).to_numpy()))
+            at = np.unique(_filter_places(batch.column(0).to_numpy(), size))
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].astype(np.int32))], names=["byte", "bits"])
 
     rows = ids.mapInArrow(run, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     bits[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
     return bits
 
 
-def _filter_places(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _filter_places(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) % np.uint64(size)).astype(np.int64)
 
 
 def in_filter(piece: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
     ids = piece.column("doc_id")
-    places = _filter_places(np.asarray(ids.fill_null(0)))
+    places = _filter_places(np.asarray(ids.fill_null(0)), len(bits) * 8)
     hit = (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
     return piece.filter(pa.array(hit & np.asarray(ids.is_valid())))
 
@@ -420,7 +421,8 @@ def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = N
     """The rows of ``docs``, all columns, whose id isn't in ``gone``; of an id in ``repeated`` one row for each text stays.
 
     Texts count as one if they have the same words (in lower case); of rows that are alike in that, the one with the
-    least hash of all its columns stays, whatever the run.  Both tables have one column of distinct ids.  A filter of fixed size tells most rows apart where they are; only rows that
+    least hash of all its columns stays, whatever the run.  Both tables
+    have one column of distinct ids.  A filter tells most rows apart where they are; only rows that
     it holds are joined.
     """
     gone = gone.toDF("gone_from_these_rows")
@@ -432,7 +434,7 @@ def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = N
             fresh_task(__name__)
             for batch in batches:
                 ids = batch.column("doc_id")
-                places = _filter_places(np.asarray(ids.fill_null(0)))
+                places = _filter_places(np.asarray(ids.fill_null(0)), len(shared.value) * 8)
                 hit = (shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
                 yield batch.filter(pa.array((hit & np.asarray(ids.is_valid())) == inside))
 

@@ -9,7 +9,7 @@ tell less.  The term discloses ``log2(p N / c(e)) / log2(N / c(e))`` of the enti
 Every term beside an entity is judged, also beside one that occurs once.  A context counts once however often it is
 copied.
 
-Passes over the texts: contexts of the entities; document counts of the terms in them (a filter of fixed size says
+Passes over the texts: contexts of the entities; document counts of the terms in them (a filter of bounded size says
 which these may be); the spans.  Only documents that hold a disclosing term travel.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get a row; a null id is a document
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, fresh_task, map_batches, mix, slices, texts_of
+from gristmill.llm.common import Shared, filter_bits, fresh_task, map_batches, mix, slices, texts_of
 from gristmill.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 # A context: so many terms on either side, within so many characters.
 TERMS_BESIDE, CHARS_BESIDE = 10, 400
-FILTER_BITS = 1 << 23
+FILTER_BITS = (1 << 23, 1 << 29)
 
 
 def _emails(text: str):
@@ -119,35 +119,37 @@ def contexts(docs: DataFrame) -> DataFrame:
     return map_batches(docs, "doc_id long, entity string, context long, terms array<string>", step)
 
 
-def _term_places(terms: list[str]) -> np.ndarray:
+def _term_places(terms: list[str], size: int) -> np.ndarray:
     codes = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t in terms]
-    return (mix(np.array(codes, np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+    return (mix(np.array(codes, np.uint64)) % np.uint64(size)).astype(np.int64)
 
 
 def filter_of(places_of, column: DataFrame) -> np.ndarray:
-    """A bit for every value's hash; of fixed size, whatever the number of values."""
+    """A bit for every value's hash, sized by ``filter_bits`` of their number."""
+    size = filter_bits(column.count(), FILTER_BITS)
 
     def run(batches):
         fresh_task(__name__)
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            at = places_of(batch.column(0).to_pylist())
+            at = places_of(batch.column(0).to_pylist(), size)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         used = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].astype(np.int32))], names=["byte", "bits"])
 
     rows = column.mapInArrow(run, "byte long, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     bits[rows.column("byte").to_numpy()] = rows.column("bits").to_numpy()
     return bits
 
 
-def _hits(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+def _hits(bits: np.ndarray, places_of, values: list) -> np.ndarray:
+    places = places_of(values, len(bits) * 8)
     return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 > 0
 
 
-def _id_places(ids: list) -> np.ndarray:
-    return (mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _id_places(ids: list, size: int) -> np.ndarray:
+    return (mix(np.array([i or 0 for i in ids], np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     words = set(_TERM.findall(text.lower()))
                     new = [w for w in words if w not in wanted]
                     if new:
-                        wanted.update(zip(new, _hits(shared.value, _term_places(new)).tolist()))
+                        wanted.update(zip(new, _hits(shared.value, _term_places, new).tolist()))
                     for w in words:
                         if wanted[w]:
                             counts[w] = counts.get(w, 0) + 1
@@ -236,7 +238,7 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shr
         def run(batches):
             fresh_task(__name__)
             for batch in batches:
-                keep = pa.array(_hits(bits.value, _id_places(batch.column("doc_id").to_pylist())) == inside)
+                keep = pa.array(_hits(bits.value, _id_places, batch.column("doc_id").to_pylist()) == inside)
                 yield batch.filter(keep)
 
         return docs.mapInArrow(run, docs.schema)
