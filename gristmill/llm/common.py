@@ -47,6 +47,11 @@ def fresh_task(owner: str) -> None:
                 for held in list(vars(module).values()):
                     if hasattr(held, "cache_clear"):
                         held.cache_clear()
+    release()
+
+
+def release() -> None:
+    """Give memory that nothing uses any more back to the machine, which a worker would keep for its next task."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -75,6 +80,8 @@ def map_batches(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], Ite
                 for out in step(piece):
                     columns = [as_array(out[f.name], f.type) for f in arrow]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        batch = piece = out = columns = None
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, components, filter_bits, fresh_task, map_batches, mix, slices, texts_of, words_of
+from gristmill.llm.common import Shared, components, filter_bits, fresh_task, map_batches, mix, release, slices, texts_of, words_of
 from gristmill.session import stage
 
 # How many of the most frequent shingles the token order knows at most (8 bytes each in every task).
@@ -73,10 +73,22 @@ def first_counts(docs: DataFrame, size: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def merged():
-            new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
-            both, where = np.unique(np.concatenate([known, new]), return_inverse=True)
-            total = np.bincount(where, weights=np.concatenate([counts, times]), minlength=len(both)).astype(np.int64)
-            return both[total > 1], total[total > 1]
+            # In place as far as it goes: a span's shingles are a task's largest arrays.
+            new = np.concatenate([np.empty(0, np.uint64), *held])
+            held.clear()
+            new.sort()
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(new)), bool), new[1:] != new[:-1]]))
+            times = np.diff(first, append=len(new))
+            new = new[first]
+            del first
+            at = np.searchsorted(known, new)
+            old = at < len(known)
+            old[old] = known[at[old]] == new[old]
+            counts[at[old]] += times[old]
+            again = ~old & (times > 1)
+            both, total = np.concatenate([known, new[again]]), np.concatenate([counts, times[again]])
+            order = np.argsort(both)
+            return both[order], total[order]
 
         for batch in batches:
             for piece in slices(batch):
@@ -86,10 +98,11 @@ def first_counts(docs: DataFrame, size: int) -> DataFrame:
                 held += sets
                 if sum(map(len, held)) > HELD:
                     known, counts = merged()
-                    held.clear()
         known, counts = merged()
         none = pa.nulls(len(known), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, pa.array(known.view(np.int64)), pa.array(counts)], names=names)
+        del known, counts, none
+        release()
 
     names = ["doc_id", "n", "token", "times"]
     return docs.mapInArrow(run, "doc_id long, n long, token long, times long")
