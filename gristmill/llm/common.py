@@ -10,7 +10,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -268,17 +267,17 @@ def forest(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contracted(edges: DataFrame) -> DataFrame:
     """The same components from at most one edge a node and task."""
 
-    def run(frames):
+    def run(batches):
         src, dst = np.empty(0, np.int64), np.empty(0, np.int64)
-        for frame in frames:
-            src, dst = np.concatenate([src, frame["a"].to_numpy()]), np.concatenate([dst, frame["b"].to_numpy()])
+        for batch in batches:
+            src, dst = (np.concatenate([old, batch.column(c).to_numpy()]) for old, c in ((src, "a"), (dst, "b")))
             nodes, root = forest(src, dst)
             far = nodes != root
             src, dst = nodes[far], root[far]
         if len(src):
-            yield pd.DataFrame({"a": src, "b": dst})
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["a", "b"])
 
-    return edges.mapInPandas(run, "a long, b long")
+    return edges.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
