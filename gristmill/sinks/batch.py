@@ -10,10 +10,10 @@ from .quarantine import quarantine
 from .warehouse import Warehouse
 
 
-def run_batch(result: RefineResult, warehouse: Warehouse, restricted: str, embedder=hash_embed) -> DataFrame:
+def run_batch(result: RefineResult, warehouse: Warehouse, restricted: str, embedder=hash_embed, retry: bool = False) -> DataFrame:
     """Set the flagged originals aside, then load the tables; returns the counts per destination.
 
     Nothing of a flagged file is loaded before its original lies in ``restricted``.
     """
     quarantine(warehouse.spark, result, restricted)
-    return warehouse.load(result, embedder)
+    return warehouse.load(result, embedder, retry)

@@ -1,16 +1,25 @@
 """Stored tables, lineage, and the views that make a reload replace a file.
 
-Data is only ever appended, in a folder per run, and the lineage rows are
-written last.  Readers see, for every file, the rows of its latest run if that
-run loaded it.  So a re-run replaces, a file that falls to review disappears,
-and a job that dies half-way leaves rows nobody sees.
+Data is only ever appended, in a folder per run.  A run counts once its entry
+in the log of runs exists: a numbered file, created only if no run has that
+number yet, after all its tables are written.  Readers see, for every file, the
+rows of its latest counted run if that run loaded it.  So a re-run replaces, a
+file that falls to review disappears, a job that dies half-way leaves rows
+nobody sees, and of two jobs at once each counts whole.  A job that doesn't know
+whether its last attempt counted may say so (``retry``); then nothing is written
+twice.
+
+The log relies on a file system that creates a file only if it is absent (local
+disks, HDFS, and object stores behind a connector with conditional writes).
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +44,7 @@ SCHEMAS = {
     " unfixed string, n_unfixed bigint, pii_types string, quarantined boolean, audit string,"
     " processed_at timestamp, run_id string",
 }
+SCHEMA_COLUMNS = {name: [c.split()[0] for c in schema.split(", ")] for name, schema in SCHEMAS.items()}
 DATA_TABLES = (*KINDS, "chunks")
 
 
@@ -110,6 +120,18 @@ def lineage_report(lineage: DataFrame) -> DataFrame:
     )
 
 
+def content_digest(result: RefineResult) -> str:
+    """A digest of what a batch says and brings, whatever the order of its rows and the time of the run."""
+    parts = []
+    for name, df in [("decisions", result.decisions), *sorted(result.records.items())]:
+        # Numbers of header plans are a run's own.
+        told = sorted(set(df.columns) - {"plan_id"})
+        hashes = df.select(F.xxhash64(*told).alias("h"), F.xxhash64(F.lit(7), *told).alias("g"))
+        sums = hashes.agg(F.count(F.lit(1)), *(F.sum(F.col(c).cast("decimal(38,0)")) for c in "hg")).first()
+        parts.append(":".join([name, *map(str, sums)]))
+    return "|".join(parts)
+
+
 class Warehouse:
     """Typed tables, chunks and lineage under one folder."""
 
@@ -117,22 +139,58 @@ class Warehouse:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def _path(self, name: str):
+        """A folder's path and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _stored(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        jvm = self.spark.sparkContext._jvm
-        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop_path):
+        path, fs = self._path(name)
+        if not fs.exists(path):
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+
+    def runs(self) -> DataFrame:
+        """``number``, ``run_id``, ``digest`` of the counted runs; a row a run."""
+        path, fs = self._path("runs")
+        schema = "number bigint, run_id string, digest string"
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).json(f"{self.root}/runs").where("run_id IS NOT NULL")
+
+    def _count(self, run_id: str, digest: str) -> None:
+        """Enter a run into the log under the first number that no other run takes."""
+        path, fs = self._path("runs")
+        taken = [int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(path)] if fs.exists(path) else []
+        number = max(taken, default=0) + 1
+        while True:
+            entry, _ = self._path(f"runs/{number:012d}.json")
+            try:
+                out = fs.create(entry, False)
+            except Py4JJavaError as error:
+                if "AlreadyExists" not in error.java_exception.getClass().getName():
+                    raise
+                number += 1
+                continue
+            try:
+                out.write(json.dumps({"number": number, "run_id": run_id, "digest": digest}).encode())
+            finally:
+                out.close()
+            return
 
     def _append(self, name: str, df: DataFrame, run_id: str) -> None:
-        columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-        out = df.withColumn("run_id", F.lit(run_id)).select(*columns)
+        out = df.withColumn("run_id", F.lit(run_id)).select(*SCHEMA_COLUMNS[name])
         out.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{name}")
 
-    def load(self, result: RefineResult, embedder=hash_embed) -> DataFrame:
-        """Append one batch; returns the counts per destination."""
+    def load(self, result: RefineResult, embedder=hash_embed, retry: bool = False) -> DataFrame:
+        """Append one batch; returns the counts per destination.
+
+        With ``retry``, a batch that says and brings what the last counted run did is that run, and isn't written again.
+        """
+        digest = content_digest(result)
+        last = self.runs().orderBy(F.desc("number")).first() if retry else None
+        if last and last["digest"] == digest:
+            return load_counts(result.decisions)
         run_id = new_run_id()
         for kind, df in result.loaded().items():
             self._append(kind, df, run_id)
@@ -140,16 +198,18 @@ class Warehouse:
         self._append("issues", result.issues, run_id)
         rows = lineage_rows(result.decisions, result.issues)
         self._append("lineage", rows.withColumn("processed_at", F.current_timestamp()), run_id)
+        self._count(run_id, digest)
         return load_counts(result.decisions)
 
     def lineage(self) -> DataFrame:
-        return self._stored("lineage")
+        """What every counted run did with each file."""
+        return self._stored("lineage").join(self.runs().select("run_id"), "run_id", "left_semi").select(*SCHEMA_COLUMNS["lineage"])
 
     def lineage_report(self) -> DataFrame:
         return lineage_report(self.lineage())
 
     def issues(self) -> DataFrame:
-        return self._stored("issues")
+        return self._stored("issues").join(self.runs().select("run_id"), "run_id", "left_semi").select(*SCHEMA_COLUMNS["issues"])
 
     def table(self, name: str) -> DataFrame:
         """Current rows of a data table, in stored column order."""
@@ -179,6 +239,9 @@ class Warehouse:
         for name in DATA_TABLES:
             rows = current_rows(self._stored(name), self.lineage())
             rows.write.partitionBy("run_id").parquet(f"{target}/{name}")
-        for name in ("issues", "lineage"):
-            self._stored(name).write.partitionBy("run_id").parquet(f"{target}/{name}")
-        return Warehouse(self.spark, target)
+        for name, rows in (("issues", self.issues()), ("lineage", self.lineage())):
+            rows.write.partitionBy("run_id").parquet(f"{target}/{name}")
+        compacted = Warehouse(self.spark, target)
+        for run in self.runs().orderBy("number").collect():
+            compacted._count(run["run_id"], run["digest"])
+        return compacted
