@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import Shared
 from gristmill.llm.lm_score import grouped
 from gristmill.llm.vectors import by_length, usable
-from gristmill.session import stage
+from gristmill.session import local_frame, stage
 
 # Candidates of a band (more once there are MOST_BANDS), queries of a block, candidates and queries of one step.
 BAND, MOST_BANDS, BLOCK, STEP, ROWS = 8192, 1024, 2048, 512, 256
@@ -187,6 +187,18 @@ def _answered(asked: DataFrame, candidates: DataFrame, k: int, d: int, rotation:
     return dealt.mapInArrow(run, _RANKED)
 
 
+def blocks_of(counts: list[tuple[int, int]], size: int) -> list[tuple[int, int, int]]:
+    """(reach, first block, number of blocks) from (reach, queries), for blocks of about ``size`` queries."""
+    out, block, held = [], -1, size
+    for reach, n in counts:
+        if held + n > size:
+            block, held = block + 1, 0
+        times = max(1, -(-n // size))
+        out.append((reach, block, times))
+        block, held = block + times - 1, held + n if times == 1 else size
+    return out
+
+
 def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, block: int | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows whose id is divisible by ``every``, against all rows."""
     spark = table.sparkSession
@@ -224,8 +236,11 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, b
         need = F.when(F.col("length") > 0, (F.col("least") - 1e-6) / F.col("length") * (1 - 1e-8)).otherwise(F.lit(0.0))
         ends = F.array(*[F.lit(x) for b, x in longest.items() if b != first])
         asked = asked.withColumn("reach", F.size(F.filter(ends, lambda x: x >= need)))
-        asked = asked.where("reach > 0").repartitionByRange(blocks, "reach", "vec_id").withColumn("block", F.spark_partition_id())
-        asked = stage(asked, "asked")
+        asked = stage(asked.where("reach > 0"), "asked")
+        # At most MOST_BANDS different reaches; those next to each other share a block while it has room.
+        counts = sorted(tuple(r) for r in asked.groupBy("reach").count().collect())
+        asked = asked.join(local_frame(spark, blocks_of(counts, block), "reach int, first int, times int"), "reach")
+        asked = asked.withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("times")).cast("int"))
         cells = asked.groupBy("block").agg(F.max("reach").alias("most")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("most"))))
         named = F.element_at(F.array(*[F.lit(b) for b in longest if b != first]), F.col("nth")).alias("of_band")
         cells = stage(cells.select(F.col("block").alias("of_block"), named, (F.col("block") * F.lit(len(longest)) + F.col("nth")).cast("int").alias("cell")), "cells")

@@ -130,6 +130,11 @@ def test_large_numbers(spark):
     assert got == brute_top(rows[:-2], 20, 20)
 
 
+def test_blocks_of_queries():
+    counts = [(1, 5), (2, 3), (4, 25), (5, 1), (9, 9), (10, 1)]
+    assert topk_search.blocks_of(counts, 10) == [(1, 0, 1), (2, 0, 1), (4, 1, 3), (5, 4, 1), (9, 4, 1), (10, 5, 1)]
+
+
 def pruned(x, every=20, k=20):
     """Share of (query, candidate) pairs that are never scored, in one cell of all vectors by descending length."""
     x = np.floor(64 * x)
