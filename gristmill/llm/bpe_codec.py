@@ -12,7 +12,8 @@
 The split between the two parts of the table only decides how a word travels; ids and counts don't depend on it.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty string; a special
-token's string in a text is that token, as in the library; repeated rows and null ids are rows like any other.
+token's string in a text is that token, as in the library; repeated rows and null ids are rows like any other; further
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ chunks, which different tasks compare.  A pair is counted in the smallest filter
 of links and a spanning forest instead of pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-vectors of different lengths; a repeated row is another vector; a null id links with nothing and is not kept.
+vectors of different lengths; a repeated row is another vector; a null id links with nothing and is not kept;
+further columns are ignored; an empty table gives no rows.  A vector has fewer than 2**20 components.
 """
 
 from __future__ import annotations

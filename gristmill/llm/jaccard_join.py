@@ -17,7 +17,7 @@ read nor counted again, nor are pairs that already lie in one component.  What i
 
 Defined results: a text that is null, empty or blank has 0 shingles and stays alone; with fewer words than ``size``
 the whole sequence is the one shingle; repeated rows have equal sets and link; a null ``doc_id`` is a row like any
-other but links with nothing.
+other but links with nothing; further columns are ignored (``without_ids`` keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ each); documents are sampled evenly by label.  Texts are read whole, in windows
 bytes early on either side so that their states are warm.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for all texts where there is no
-labelled row to learn from; with one label every text with a letter gets it; repeated rows get a row each.
+labelled row to learn from; with one label every text with a letter gets it; of equal probabilities the label that sorts
+first counts; repeated rows get a row each and null ids are rows like any other; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ a part knows the context's whole count and reports its own distinct successors,
 n(v); a document's new pairs with such a context are counted, and weighed once the sums are there.
 
 Defined results: a null text is empty and has the end as its only token; without training rows N, V and all counts are
-0, and scores are 0 (log of 1); repeated rows get a row each; null ids are rows like any other.
+0, and scores are 0 (log of 1); repeated rows get a row each; null ids are rows like any other; further
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ they get in the staged table.
 
 Defined results: a null text has size 0; sources without words get target 0; every row of the table is returned, with
 ``taken`` 0 where the mix leaves it out; reruns agree, as nothing depends on how rows are dealt to tasks (among equal
-rows, which one is taken first is not defined and doesn't show).
+rows, which one is taken first is not defined and doesn't show).  Further columns are ignored by ``mix`` and kept by
+``mixed``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

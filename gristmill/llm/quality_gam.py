@@ -11,7 +11,7 @@ shares they have among all training rows, whatever the size of the sample.
 
 Defined results: null, empty and blank texts have all features 0 and get what the model says of that; without
 labelled rows every score is 0.5, with one kind of label it is that label's smoothed share; repeated rows get a row
-each.
+each; null ids are rows like any other; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

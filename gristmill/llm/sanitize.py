@@ -13,7 +13,9 @@ Passes over the texts: contexts of the entities; document counts of the terms in
 which these may be); the spans.  Only documents that hold a disclosing term travel.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get a row; a null id is a document
-whose terms are never changed (its pattern spans are); failing pattern matches are dropped without another try.
+whose terms are never changed (its pattern spans are); failing pattern matches are dropped without another try; further
+columns are ignored (``sanitized`` keeps them, whatever their names); an empty table gives no rows.  Terms are words of
+three letters and more without digits, among the ten and the 400 characters on either side of an entity.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Learning uses at most ``each[label]`` rows of a label; everything else is over a
 
 Defined results: null, empty and blank texts have no hits, hence the lowest score; without labelled rows of both
 kinds the lexicon is empty and every score is the share of toxic labels (0.5 without labels); repeated rows get a row
-each.
+each and null ids are rows like any other; a text of any length is scored whole, word by word; further columns are ignored
+(``without_toxic`` keeps all columns and, of an empty table, none of its rows).
 """
 
 from __future__ import annotations
