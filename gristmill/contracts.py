@@ -49,7 +49,7 @@ TRANSACTIONS = Contract(
     numeric_columns=("amount",),
 )
 
-# Fields a record must carry, by kind, and the load threshold.
+# Fields a record must carry, by kind, the load threshold, dimensions of hashed vectors, hits of a search.
 REQUIRED_FIELDS = {
     "transactions": ("txn_id", "date", "amount"),
     "invoices": ("invoice_number", "vendor", "total_amount"),
@@ -61,7 +61,7 @@ DEFAULT_TOP_K = 3
 
 KINDS = ("transactions", "invoices", "documents")
 
-# Column order of the stored tables (``source_file`` is appended to each).
+# Column order of the stored tables (``source_file`` is appended to each).
 TABLE_COLUMNS = {
     "transactions": ("txn_id", "date", "amount", "currency", "merchant", "category"),
     "invoices": (
