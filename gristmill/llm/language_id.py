@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import crc_mod, crc_of, map_batches, sample_by, texts_of
+from gristmill.llm.toxicity import one_row_an_id
 from gristmill.session import stage
 
 EACH, WINDOWS, HIDDEN, STEPS, BATCH = 600, 3, 8, 400, 256
@@ -202,7 +203,7 @@ def train(docs: DataFrame, folds: int = 4, out: int = 2, each: int = EACH, windo
                 labels.append(lang)
         yield {"cut": cut, "lang": labels}
 
-    rows = stage(map_batches(texts_of(docs).join(chosen, "doc_id"), "cut binary, lang string", step), "windows").toArrow()
+    rows = stage(map_batches(one_row_an_id(texts_of(docs).join(chosen, "doc_id"), "text", "lang"), "cut binary, lang string", step), "windows").toArrow()
     if rows.num_rows == 0:
         return None
     names = sorted(set(rows.column("lang").to_pylist()))

@@ -323,15 +323,20 @@ def label_counts(docs: DataFrame, labels: DataFrame, label: str, folds: int, out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, each: dict[int, int]) -> DataFrame:
-    """``text``, ``label`` of at most about ``each[label]`` rows of a label, none of them from the fold ``out``.
+    """``text``, ``label`` of at most about ``each[label]`` ids of a label, one row an id, none from the fold ``out``.
 
     Labels are sampled first; that many ids have a known size and go to the texts, which don't travel.
     """
     labels = training_labels(labels, label, folds, out)
     kinds = [sample_by(labels.where(F.col("label") == kind), "label", most) for kind, most in each.items()]
     chosen = reduce(DataFrame.union, kinds)
-    once = texts_of(docs).join(F.broadcast(chosen), "doc_id")
-    return stage(once.select("text", "label"), "sample")
+    found = texts_of(docs).join(F.broadcast(chosen), "doc_id")
+    return stage(one_row_an_id(found, "text", "label").select("text", "label"), "sample")
+
+
+def one_row_an_id(rows: DataFrame, *columns: str) -> DataFrame:
+    """Of rows that share an id the least; however many there are, tasks keep one each before anything moves."""
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("least")).select("doc_id", "least.*")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each: dict[int, int] = EACH, terms: int = TERMS) -> Model:

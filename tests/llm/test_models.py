@@ -288,3 +288,10 @@ def test_scores_of_odd_rows(odd, nothing):
 
     row = lm_score.scored(untaught.withColumn("doc_id", F.lit(outside).cast("long"))).first()
     assert (row["train_tokens"], row["n_known"], row["base_score"], row["score"], row["held_out"]) == (0, 0, 0.0, 0.0, True)
+
+
+def test_a_labelled_id_that_many_rows_share_is_one_of_the_sample(make, spark):
+    rows = [(7, f"text {k} of one id", "en", "s") for k in range(500)] + [(k, f"other {k}", "de", "s") for k in range(100, 120)]
+    labels = spark.createDataFrame([(r[0], int(r[0] == 7)) for r in rows[499:]], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(make(rows), labels, "toxic", 1_000_003, 999_999, {0: 1000, 1: 1000}).collect()
+    assert sorted(r["text"] for r in sample) == sorted(["text 0 of one id"] + [f"other {k}" for k in range(100, 120)])
