@@ -23,7 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose id is the smallest of its component; rows without an id stay, and of rows that repeat an id one."""
+    """Rows whose id is the smallest of its component; rows without an id stay, and of rows that repeat an id one for each text."""
     ids = stage(jaccard_join.jaccard_components(docs, SHINGLE_WORDS, PERCENT), "components")
     gone = ids.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
