@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import fresh_task, map_batches, slices, texts_of
+from gristmill.llm.common import map_batches, slices, texts_of, tidy
 from gristmill.session import stage
 
 # Words in the table that every task holds, and bytes of the longest (so 36 MB at most; usually about a third of that).
@@ -177,8 +177,8 @@ def distinct_of(texts: list[str], split) -> tuple[np.ndarray, pa.DictionaryArray
 def frequent_words(docs: DataFrame, path: str, most: int) -> DataFrame:
     """``word``, ``times`` of the words that tasks saw often, at most ``most`` of them."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         counts: Counter = Counter()
         split = _splitter(path)
         for batch in batches:
@@ -265,8 +265,8 @@ def as_places(docs: DataFrame, path: str, table: WordTable, buckets: int) -> Dat
     answers can't meet a slice that was cut otherwise when a lost task ran again.
     """
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         held, split = table.words(), _splitter(path)
         kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.list_(pa.string()))]))
         for batch in batches:
@@ -297,8 +297,8 @@ def as_places(docs: DataFrame, path: str, table: WordTable, buckets: int) -> Dat
 def sent_words(rows: DataFrame) -> DataFrame:
     """``slice``, ``bucket``, ``words`` of the slices.  It reads whole rows, so both uses of them share one shuffle."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         for batch in batches:
             sent = batch.column("sent")
             inner = sent.flatten()
@@ -311,8 +311,8 @@ def sent_words(rows: DataFrame) -> DataFrame:
 def answered(sent: DataFrame, path: str) -> DataFrame:
     """``slice``, ``bucket``, ``ids``, ``lengths`` for the words that slices sent; rows of a bucket are together."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         known, bucket = Words(path, BUCKET_WORDS), None
         for batch in batches:
             for own, rows in _by_value(batch, "bucket"):
@@ -371,8 +371,8 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
     table, rows = encode(docs, path, most)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         flat, begin = table.ids()
         piece = np.array([*pieces(path), None], dtype=object)[:-1]
         spelled = np.array([str(i) for i in range(len(piece))], dtype=object)

@@ -58,6 +58,18 @@ def release() -> None:
         pass  # not glibc
 
 
+def tidy(run):
+    """A task's function that begins as a ``fresh_task`` and, its rows all out, gives its memory back."""
+    owner = run.__module__
+
+    def whole(batches):
+        fresh_task(owner)
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and further columns, so that scans prune the rest."""
     bounded_batches(docs.sparkSession)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, components, filter_bits, fresh_task, map_batches, mix, release, slices, texts_of, words_of
+from gristmill.llm.common import Shared, components, filter_bits, map_batches, mix, release, slices, texts_of, tidy, words_of
 from gristmill.session import stage
 
 # How many of the most frequent shingles the token order knows at most (8 bytes each in every task).
@@ -67,8 +67,8 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 def first_counts(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id``, ``n`` of every document, and ``token``, ``times`` of shingles that a task saw in several sets."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         known, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         held: list[np.ndarray] = []
 
@@ -133,8 +133,8 @@ def postings(docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
     spark = docs.sparkSession
     shared = Shared(spark, frequent)
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         common = shared.value
         by_token = np.argsort(common, kind="stable")
         sorted_tokens = common[by_token]
@@ -194,8 +194,8 @@ def runs(batches, columns: list[str]):
 def shared_lists(found: DataFrame) -> DataFrame:
     """The postings of tokens that stand in two prefixes at least, and the copies' rows."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         for (token, doc, n, at), bounds in runs(batches, ["token", "doc_id", "n", "at"]):
             keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds)) | (n == 0)
             if keep.any():
@@ -208,8 +208,8 @@ def shared_lists(found: DataFrame) -> DataFrame:
 def leaders(lists: DataFrame, percent: int) -> DataFrame:
     """``b``, ``a``: for each set the one it shares most lists with, among the smallest ids of its blocks of lists."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         for (token, doc, n, at), bounds in runs(batches, ["token", "doc_id", "n", "at"]):
             got_a, got_b = [], []
             for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -243,8 +243,8 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     """A bit for every hash of an id, sized by ``filter_bits`` of their number."""
     size = filter_bits(ids.count(), FILTER_BITS)
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             at = np.unique(_filter_places(batch.column(0).to_numpy(), size))
@@ -310,8 +310,8 @@ def possible(docs: DataFrame, size: int, percent: int, pairs: DataFrame) -> Data
     left = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("of_a"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "of_a", "of_b")
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         for batch in batches:
             n = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()).astype(np.int64)
             # Linked: overlap >= percent n / (100 + percent), so they differ by n - 2 overlap at most.
@@ -366,8 +366,8 @@ def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
         keep = (room >= need) & ~(same & (upper < need))
         return o[keep], (same & (lower >= need))[keep]
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         columns = ["token", "doc_id", "n", "at", "comp", "lead", "over", "lead_n"]
         for (_, doc, n, at, comp, lead, over, lead_n), bounds in runs(batches, columns):
             a, b, sure = [], [], []
@@ -443,8 +443,8 @@ def without_ids(docs: DataFrame, gone: DataFrame, repeated: DataFrame | None = N
     shared = Shared(docs.sparkSession, id_filter(held))
 
     def part(inside: bool):
+        @tidy
         def run(batches):
-            fresh_task(__name__)
             for batch in batches:
                 ids = batch.column("doc_id")
                 places = _filter_places(np.asarray(ids.fill_null(0)), len(shared.value) * 8)

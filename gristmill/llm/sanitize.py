@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import Shared, filter_bits, fresh_task, map_batches, mix, slices, texts_of
+from gristmill.llm.common import Shared, filter_bits, map_batches, mix, slices, texts_of, tidy
 from gristmill.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -130,8 +130,8 @@ def filter_of(places_of, column: DataFrame) -> np.ndarray:
     """A bit for every value's hash, sized by ``filter_bits`` of their number."""
     size = filter_bits(column.count(), FILTER_BITS)
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
             at = places_of(batch.column(0).to_pylist(), size)
@@ -159,8 +159,8 @@ def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     bits = filter_of(_term_places, terms)
     none, shared = not bits.any(), Shared(docs.sparkSession, bits)
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         counts: dict[str, int] = {}
         wanted: dict[str, bool] = {}
         for batch in batches:
@@ -237,8 +237,8 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shr
     bits = Shared(docs.sparkSession, filter_of(_id_places, changed.select("of_doc")))
 
     def part(inside: bool):
+        @tidy
         def run(batches):
-            fresh_task(__name__)
             for batch in batches:
                 keep = pa.array(_hits(bits.value, _id_places, batch.column("doc_id").to_pylist()) == inside)
                 yield batch.filter(keep)
@@ -249,8 +249,8 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shr
     nothing = {"terms": F.lit(None).cast("array<string>"), "shares": F.lit(None).cast("array<double>")}
     rows = part(False).withColumns(nothing).union(part(True).join(changed, F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc"))
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         for batch in batches:
             for piece in slices(batch):
                 out = []

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import range_coder
 from gristmill.llm.bpe_codec import Words, _splitter, _tokenizer
-from gristmill.llm.common import fresh_task, slices, texts_of
+from gristmill.llm.common import slices, texts_of, tidy
 from gristmill.session import local_frame, scratch_root, stage
 
 MAGIC = b"IDBLOCK1"
@@ -132,8 +132,8 @@ def write(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None =
     docs = texts_of(docs).withColumn("code", F.xxhash64("text"))
     docs = docs.repartitionByRange("doc_id", "code").sortWithinPartitions("doc_id", "code", "text").select("doc_id", "text")
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         split, known, size = _splitter(path), _words(path), vocabulary_size(path, end_id)
         end = np.array([end_id], "<u4")
         out = writer = None

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import crc_mod, crc_of, fresh_task, map_batches, sample_by, slices, texts_of
+from gristmill.llm.common import crc_mod, crc_of, map_batches, sample_by, slices, texts_of, tidy
 from gristmill.session import stage
 
 EACH, TERMS = {1: 4000, 0: 16000}, 2000
@@ -370,8 +370,8 @@ def scored(docs: DataFrame, model: Model, folds: int = 5, out: int = 0) -> DataF
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, all columns, that aren't predicted toxic."""
 
+    @tidy
     def run(batches):
-        fresh_task(__name__)
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
