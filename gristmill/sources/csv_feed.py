@@ -6,7 +6,8 @@ A record may span lines, so where records begin in a split depends on whether th
    long its records are, and (at the head of a file) the header.  These reports compose, one row a split: they say where
    every split starts, without a look at any line.
 2. Each task cuts its splits into records and parses them where they are.  Only what a record has on either side of a
-   split's edge is shuffled, at most two pieces a split.
+   split's edge is shuffled, at most two pieces a split; only files with such a record are asked for it.  A file that is
+   one split has no edge: only its header and validity are asked for in the first pass.
 
 Files of all sizes and headers of all shapes take this one way, in one plan.  No content comes to the driver, only the
 names of files that can't be parsed and the splits that start inside quotes (16 bytes for each, at most one for every
@@ -20,17 +21,19 @@ import re
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.repair import Feeds
-from ..session import stage
-from .listing import SourceFile, file_name, hidden, read_paths
-from .segments import oversize_files
+from ..session import local_frame, stage
+from .listing import SourceFile, file_name, hidden, read_text
+from .segments import RECORD_LIMIT, oversize_files
 
 # Quoted content up to its closing quote, one delimited field that starts outside quotes, and a field still open at the
 # end of the line.  A quote opens a field only as its first character; elsewhere it is text.
@@ -64,36 +67,49 @@ def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
     readable = [f for f in files if not hidden(f) and f.size > 0]
     if not readable:
         return CsvSource(None, unreadable, [], [])
-    reports = stage(_reports(_lines(spark, readable)), "splits")
+    lines = _lines(spark, readable)
+    reports = stage(_reports(lines), "splits")
     whole = stage(_composed(reports), "split-starts")
     facts = whole.where("open_pos IS NULL")
-    invalid = sorted(r["source_file"] for r in facts.where("NOT valid").select("source_file").collect())
+    told = facts.where("NOT valid OR cut").select("source_file", "valid").collect()
+    invalid = sorted(r["source_file"] for r in told if not r["valid"])
     lengths = facts.select("source_file", F.col("longest").alias("bytes"), F.lit(0).alias("record"))
     oversize = [name for name in oversize_files(lengths, "record") if name not in invalid]
     bad = {*invalid, *oversize}
     good = [f for f in readable if f.name not in bad]
     if not good:
         return CsvSource(None, unreadable, invalid, oversize)
-    starts = whole.where("open_pos IS NOT NULL")
-    headers = _headers(spark, good, reports, starts)
-    return CsvSource(_feeds(records(spark, good, starts), headers), unreadable, invalid, oversize)
+    starts = _starts(spark, whole.where("open_pos IS NOT NULL"))
+    cut = {r["source_file"] for r in told} - bad
+    headers = _headers(good, reports, lines, starts, cut)
+    rows = records(_of_files(lines, bad, "left_anti"), starts, cut)
+    return CsvSource(_feeds(rows, headers), unreadable, invalid, oversize)
 
 
 def _lines(spark: SparkSession, files: Sequence[SourceFile]) -> DataFrame:
     """Lines in the order of the file, each with its split: tasks read a split from its start to its end."""
     block = F.col("_metadata.file_block_start").alias("block")
-    return spark.read.text(read_paths(list(files))).select(file_name().alias("source_file"), block, F.col("value").cast("binary").alias("line"))
+    only = (F.col("_metadata.file_block_length") == F.col("_metadata.file_size")) & (F.col("_metadata.file_size") <= RECORD_LIMIT)
+    return read_text(spark, files, file_name().alias("source_file"), block, only.alias("only"), F.col("value").cast("binary").alias("line"))
 
 
-def _splits(batches) -> Iterator[tuple[str, int, pa.Array]]:
-    """(file, block, lines) of each run of lines of one split; a split may come in several."""
+def _of_files(lines: DataFrame, names: set[str], how: str = "left_semi") -> DataFrame:
+    """Lines of some files.  Where Spark splits a file depends on all that is read with it, so all passes read the same
+    files and drop lines afterwards."""
+    if not names and how == "left_anti":
+        return lines
+    return lines.join(F.broadcast(local_frame(lines.sparkSession, [(n,) for n in sorted(names)], "source_file string")), "source_file", how)
+
+
+def _splits(batches) -> Iterator[tuple[str, int, bool, pa.Array]]:
+    """(file, block, whether it is all of the file, lines) of each run of lines of one split; a split may come in several."""
     for batch in batches:
         if batch.num_rows:
             names = batch.column("source_file").dictionary_encode()
             code, block = names.indices.to_numpy(), batch.column("block").to_numpy()
             cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(block) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(code)]):
-                yield names.dictionary[code[lo]].as_py(), int(block[lo]), batch.column("line").slice(lo, hi - lo)
+                yield names.dictionary[code[lo]].as_py(), int(block[lo]), batch.column("only")[lo].as_py(), batch.column("line").slice(lo, hi - lo)
 
 
 def _goes_on(line: str, inside: bool) -> bool:
@@ -170,7 +186,8 @@ def _text(lines: pa.Array) -> pa.Array | None:
 
 
 def _reports(lines: DataFrame) -> DataFrame:
-    """What each split says about itself; the second reading is needed only where a split isn't a file's first."""
+    """What each split says about itself; the second reading is needed only where a split isn't a file's first, and
+    none where it is all of the file and no longer than a record may be."""
 
     def run(batches):
         split = None
@@ -185,7 +202,7 @@ def _reports(lines: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
         out = []
-        for name, block, part in _splits(batches):
+        for name, block, only, part in _splits(batches):
             if split is None or split[0] != (name, block):
                 if split:
                     out.append(row())
@@ -201,6 +218,8 @@ def _reports(lines: DataFrame) -> DataFrame:
             split[2] += len(text)
             if not block and not split[3].done:
                 split[3].take(text, pos)
+            if only:
+                continue
             sizes = np.asarray(pc.binary_length(text)).astype(np.int64) + 1
             marked = np.flatnonzero(np.asarray(pc.match_substring(text, '"')))
             for reading in split[4][: 2 if block else 1]:
@@ -226,14 +245,14 @@ def _arrow(schema: str) -> pa.Schema:
 
 
 def _composed(reports: DataFrame) -> DataFrame:
-    """A row for each file (``open_pos`` null), and one for each split that starts inside quotes, with the place where
-    the record that is open there began."""
+    """A row for each file (``open_pos`` null; ``cut``: a split of it ends inside quotes), and one for each split that
+    starts inside quotes, with the place where the record that is open there began."""
 
     def run(batches):
         name, state = None, None
 
         def whole():
-            return {"source_file": name, "block": None, "open_pos": None, "valid": state[0], "longest": max(state[1], state[2])}
+            return {"source_file": name, "block": None, "open_pos": None, "valid": state[0], "longest": max(state[1], state[2]), "cut": state[4]}
 
         for batch in batches:
             out = []
@@ -241,11 +260,11 @@ def _composed(reports: DataFrame) -> DataFrame:
                 if r["source_file"] != name:
                     if name is not None:
                         out.append(whole())
-                    name, state = r["source_file"], [True, 0, 0, None]
-                valid, longest, carried, open_pos = state
+                    name, state = r["source_file"], [True, 0, 0, None, False]
+                valid, longest, carried, open_pos, cut = state
                 inside = open_pos is not None
                 if inside:
-                    out.append({"source_file": name, "block": r["block"], "open_pos": open_pos, "valid": None, "longest": None})
+                    out.append({"source_file": name, "block": r["block"], "open_pos": open_pos, "valid": None, "longest": None, "cut": None})
                 end, first, own, last, at = (r[f"{c}{int(inside)}"] for c in ("end", "first", "longest", "last", "open"))
                 ended = first is not None
                 state = [
@@ -253,21 +272,31 @@ def _composed(reports: DataFrame) -> DataFrame:
                     max(longest, own, carried + first if ended else 0),
                     last if ended else carried + last,
                     (at if at is not None else open_pos) if end else None,
+                    cut or end,
                 ]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
         if name is not None:
             yield pa.RecordBatch.from_pylist([whole()], schema=arrow)
 
-    schema = f"{_START}, valid boolean, longest long"
+    schema = f"{_START}, valid boolean, longest long, cut boolean"
     arrow = _arrow(schema)
     rows = reports.drop("header", "header_pos").repartition("source_file").sortWithinPartitions("source_file", "block")
     return rows.mapInArrow(run, schema)
 
 
-def records(spark: SparkSession, files: Sequence[SourceFile], starts: DataFrame) -> DataFrame:
-    """``source_file``, ``pos``, ``values`` of all records that aren't blank, headers included."""
-    cut = _cut(_lines(spark, files), starts)
-    pieces = cut.where("part IS NOT NULL").groupBy("source_file", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
+def _starts(spark: SparkSession, starts: DataFrame) -> Broadcast:
+    """Where the record that is open at the start of a split began, by file and split."""
+    table = starts.select("source_file", "block", "open_pos").toArrow()
+    return spark.sparkContext.broadcast({(f, b): at for f, b, at in zip(*(table.column(c).to_pylist() for c in ("source_file", "block", "open_pos")))})
+
+
+def records(lines: DataFrame, starts: Broadcast, cut: set[str]) -> DataFrame:
+    """``source_file``, ``pos``, ``values`` of all records that aren't blank, headers included; only files named in
+    ``cut`` have records in more than one split, so only their lines are asked for pieces."""
+    whole = _cut(lines, starts).where("part IS NULL AND values IS NOT NULL").select("source_file", "pos", "values")
+    if not cut:
+        return whole
+    pieces = _cut(_of_files(lines, cut), starts).where("part IS NOT NULL").groupBy("source_file", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
     joined = pieces.select("source_file", "pos", F.array_join("parts.text", "\n").alias("text"))
 
     def run(batches):
@@ -276,7 +305,7 @@ def records(spark: SparkSession, files: Sequence[SourceFile], starts: DataFrame)
             yield pa.RecordBatch.from_arrays([batch.column("source_file"), batch.column("pos"), pa.array(rows, pa.list_(pa.string()))], names=["source_file", "pos", "values"])
 
     joined = joined.mapInArrow(run, "source_file string, pos long, values array<string>")
-    return cut.where("part IS NULL").select("source_file", "pos", "values").unionByName(joined).where("values IS NOT NULL")
+    return whole.unionByName(joined.where("values IS NOT NULL"))
 
 
 def _parsed(texts: list[str]) -> list[list[str] | None]:
@@ -287,15 +316,12 @@ def _parsed(texts: list[str]) -> list[list[str] | None]:
     return [None if not r or (len(r) == 1 and not t.strip()) else r for r, t in zip(rows, texts)]
 
 
-def _cut(lines: DataFrame, starts: DataFrame) -> DataFrame:
+def _cut(lines: DataFrame, starts: Broadcast) -> DataFrame:
     """Parsed records that lie in one split (``part`` null), and texts of the parts of those that don't."""
-    table = starts.select("source_file", "block", "open_pos").toArrow()
-    known = {(f, b): at for f, b, at in zip(*(table.column(c).to_pylist() for c in ("source_file", "block", "open_pos")))}
-    held = lines.sparkSession.sparkContext.broadcast(known)
     arrow = _arrow(_RECORD)
 
     def run(batches):
-        starts_at, split = held.value, None
+        starts_at, split = starts.value, None
         none = pa.nulls(1, pa.list_(pa.string()))
 
         def part(text):
@@ -303,64 +329,98 @@ def _cut(lines: DataFrame, starts: DataFrame) -> DataFrame:
             columns = [pa.array([name]), pa.array([at]), pa.array([block]), pa.array([text]), none]
             return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        for name, block, run_ in _splits(batches):
-            if split is None or split[0] != (name, block):
-                if split and split[2] is not None:
-                    yield part("\n".join(split[3]))
-                # Split, its last line's place, where the open record began, the lines of it, whether that was earlier.
-                at = starts_at.get((name, block))
-                split = [(name, block), block, at, [], at is not None]
-            text = _text(run_)
-            found, places = [], []
-            marked = set(np.flatnonzero(np.asarray(pc.match_substring(text, '"'))).tolist())
-            for k, line in enumerate(text.to_pylist()):
-                split[1] += 1
-                inside = split[2] is not None
-                stays = _goes_on(line, inside) if k in marked else inside
-                if not inside and not stays:
-                    found.append(line)
-                    places.append(split[1])
-                    continue
-                if not inside:
-                    split[2] = split[1]
-                split[3].append(line)
-                if not stays:
-                    whole = "\n".join(split[3])
-                    if split[4]:
-                        yield part(whole)
-                    else:
-                        found.append(whole)
-                        places.append(split[2])
-                    split[2:] = [None, [], False]
-            n = len(found)
-            columns = [
-                pa.array([name]).take(pa.array(np.zeros(n, np.int64))), pa.array(places, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()),
-                pa.array(_parsed(found), pa.list_(pa.string())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        for (name, block, only), runs in groupby(_splits(batches), key=lambda s: s[:3]):
+            if only:
+                yield from _whole_file(name, runs, arrow)
+                continue
+            for *_, run_ in runs:
+                if split is None or split[0] != (name, block):
+                    if split and split[2] is not None:
+                        yield part("\n".join(split[3]))
+                    # Split, its last line's place, where the open record began, the lines of it, whether that was earlier.
+                    at = starts_at.get((name, block))
+                    split = [(name, block), block, at, [], at is not None]
+                text = _text(run_)
+                found, places = [], []
+                marked = set(np.flatnonzero(np.asarray(pc.match_substring(text, '"'))).tolist())
+                for k, line in enumerate(text.to_pylist()):
+                    split[1] += 1
+                    inside = split[2] is not None
+                    stays = _goes_on(line, inside) if k in marked else inside
+                    if not inside and not stays:
+                        found.append(line)
+                        places.append(split[1])
+                        continue
+                    if not inside:
+                        split[2] = split[1]
+                    split[3].append(line)
+                    if not stays:
+                        whole = "\n".join(split[3])
+                        if split[4]:
+                            yield part(whole)
+                        else:
+                            found.append(whole)
+                            places.append(split[2])
+                        split[2:] = [None, [], False]
+                yield _batch(name, places, _parsed(found), arrow)
         if split and split[2] is not None:
             yield part("\n".join(split[3]))
 
     return lines.mapInArrow(run, _RECORD)
 
 
-def _headers(spark: SparkSession, files: Sequence[SourceFile], reports: DataFrame, starts: DataFrame) -> DataFrame:
+def _batch(name: str, places: list[int], rows: list[list[str] | None], arrow: pa.Schema) -> pa.RecordBatch:
+    n = len(rows)
+    columns = [
+        pa.array([name]).take(pa.array(np.zeros(n, np.int64))), pa.array(places, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()),
+        pa.array(rows, pa.list_(pa.string())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+
+def _whole_file(name: str, runs, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Records of a file that is one split: nothing lies across an edge, so the lines are parsed as they come."""
+    csv.field_size_limit(sys.maxsize)
+    line = ""
+
+    def lines():
+        nonlocal line
+        for *_, run in runs:
+            for line in _text(run).to_pylist():
+                yield line + "\n"
+
+    reader = csv.reader(lines())
+    rows, places, pos = [], [], 1
+    for r in reader:
+        # A blank record is one line; a record of more lines has a quote.
+        if r and not (len(r) == 1 and pos == reader.line_num and not line.strip()):
+            rows.append(r)
+            places.append(pos)
+        pos = reader.line_num + 1
+        if len(rows) >= 10000:
+            yield _batch(name, places, rows, arrow)
+            rows, places = [], []
+    yield _batch(name, places, rows, arrow)
+
+
+def _headers(files: Sequence[SourceFile], reports: DataFrame, lines: DataFrame, starts: Broadcast, cut: set[str]) -> DataFrame:
     """``source_file``, ``header``, ``header_pos``; a header that a file's first split doesn't hold whole is read with
     the file's records."""
     first = reports.where("block = 0")
     headers = first.where("header IS NOT NULL").select("source_file", "header", "header_pos")
-    cut = {r["source_file"] for r in first.where("header IS NULL").select("source_file").collect()}
-    late = [f for f in files if f.name in cut]
+    unknown = {r["source_file"] for r in first.where("header IS NULL").select("source_file").collect()}
+    late = unknown & {f.name for f in files}
     if late:
-        rows = records(spark, late, starts).groupBy("source_file").agg(F.min_by("values", "pos").alias("header"), F.min("pos").alias("header_pos"))
+        rows = records(_of_files(lines, late), starts, late & cut).groupBy("source_file").agg(F.min_by("values", "pos").alias("header"), F.min("pos").alias("header_pos"))
         headers = headers.unionByName(rows.select("source_file", "header", "header_pos"))
-    names = spark.createDataFrame(pa.table({"source_file": [f.name for f in files]}))
+    names = reports.sparkSession.createDataFrame(pa.table({"source_file": [f.name for f in files]}))
     return stage(headers.join(names, "source_file", "left_semi"), "headers")
 
 
 def _feeds(rows: DataFrame, headers: DataFrame) -> Feeds:
     plans = stage(headers.select("header").distinct().withColumn("plan_id", F.monotonically_increasing_id()), "header-ids")
-    files = headers.join(plans, "header").select("source_file", "header_pos", "plan_id", F.size("header").alias("width"))
+    # Staged, so that its size is known and a small one is broadcast instead of all rows being shuffled.
+    files = stage(headers.join(plans, "header").select("source_file", "header_pos", "plan_id", F.size("header").alias("width")), "header-places")
     body = rows.join(files, "source_file").where("pos > header_pos")
     # Values that are missing at the end are the empty string, values beyond the header are dropped.
     width = F.col("width")

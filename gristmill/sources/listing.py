@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections import defaultdict
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from urllib.parse import quote, unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +16,18 @@ from ..session import local_frame
 
 # Bytes read from the head of a file to tell what it is.
 HEAD_BYTES = 1 << 16
+# A path of its own costs a file several calls on the driver and a row of a listing job, so more files than these are
+# found by one listing of their folder, unless more than LEFT_OUT others of their ending lie there.
+NAMED = 256
+LEFT_OUT = 1000
+
+
+@dataclass(frozen=True)
+class Folder:
+    """A folder without folders inside: its place, and the sizes of its files by name."""
+
+    uri: str
+    sizes: dict[str, int]
 
 
 @dataclass(frozen=True)
@@ -18,6 +35,7 @@ class SourceFile:
     name: str
     uri: str
     size: int
+    folder: Folder | None = field(default=None, repr=False, compare=False)
 
 
 def list_files(spark: SparkSession, folder: str) -> list[SourceFile]:
@@ -32,12 +50,32 @@ def list_files(spark: SparkSession, folder: str) -> list[SourceFile]:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         raise FileNotFoundError(folder)
+    root = fs.makeQualified(path).toUri().toString()
+    found = _local_files(root) if root.startswith("file:") else None
+    if found is None:
+        found = [
+            (s.getPath().getName(), s.getPath().toUri().toString(), s.getLen() if s.isFile() else None)
+            for s in fs.listStatus(path)
+        ]
+    inside = Folder(root, {name: size for name, _, size in found if size is not None})
+    flat = len(inside.sizes) == len(found)
+    files = [SourceFile(*f, inside if flat else None) for f in found if f[2] is not None and not f[0].startswith(".")]
+    return sorted(files, key=lambda f: f.name)
+
+
+def _local_files(root: str) -> list[tuple[str, str, int | None]] | None:
+    """Name, place and size (null: not a file) of what lies in a folder of this machine, without a call to the JVM for
+    each; none if a name is no text."""
     found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if status.isFile() and not name.startswith("."):
-            found.append(SourceFile(name, status.getPath().toUri().toString(), status.getLen()))
-    return sorted(found, key=lambda f: f.name)
+    with os.scandir(unquote(urlsplit(root).path)) as entries:
+        for entry in entries:
+            try:
+                uri = f"{root.rstrip('/')}/{quote(entry.name)}"
+            except UnicodeEncodeError:
+                return None
+            if entry.is_dir() or entry.is_file():
+                found.append((entry.name, uri, entry.stat().st_size if entry.is_file() else None))
+    return found
 
 
 def listing_frame(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
@@ -66,16 +104,49 @@ def split_size(spark: SparkSession) -> int:
     return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
 
-def read_paths(files: list[SourceFile]) -> list[str]:
+def read_paths(files: Sequence[SourceFile]) -> list[str]:
     """Paths for a reader, which takes glob characters literally only escaped."""
-    from urllib.parse import unquote
+    return [_literal(f.uri) for f in files]
 
-    out = []
+
+def _literal(uri: str) -> str:
+    path = unquote(uri)
+    for mark in "\\{}[]*?":
+        path = path.replace(mark, "\\" + mark)
+    return path
+
+
+def read_text(spark: SparkSession, files: Sequence[SourceFile], *columns: Column, **options) -> DataFrame:
+    """``columns`` of the text of files that aren't hidden.
+
+    Many files of one ending are read as their folder.  A file that came there after it was listed is read with them;
+    it has no decision, so nothing of it goes on.
+    """
+    kinds, named, parts = defaultdict(list), [], []
     for f in files:
-        path = unquote(f.uri)
-        for mark in "\\{}[]*?":
-            path = path.replace(mark, "\\" + mark)
-        out.append(path)
+        kinds[f.folder and f.folder.uri, f.name.rpartition(".")[2]].append(f)
+    others = _others(kinds)
+    for (folder, ending), those in kinds.items():
+        left_out = others.get((folder, ending))
+        if len(those) <= NAMED or left_out is None or len(left_out) > LEFT_OUT:
+            named += those
+            continue
+        rows = spark.read.text(_literal(folder), pathGlobFilter=f"*.{ending}", **options)
+        parts.append((rows.where(~file_name().isin(left_out)) if left_out else rows).select(*columns))
+    if named:
+        parts.append(spark.read.text(read_paths(named), **options).select(*columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _others(kinds: dict[tuple, list[SourceFile]]) -> dict[tuple, list[str]]:
+    """Names of the other files of each folder and plain ending that a reader of the folder would read."""
+    wanted = {k: {f.name for f in v} for k, v in kinds.items() if k[0] and k[1].isascii() and k[1].isalnum()}
+    out = {k: [] for k in wanted}
+    for folder in {v[0].folder.uri: v[0].folder for k, v in kinds.items() if k in wanted}.values():
+        for name, size in folder.sizes.items():
+            kind = folder.uri, name.rpartition(".")[2]
+            if size and kind in wanted and name not in wanted[kind] and not name.startswith("."):
+                out[kind].append(name)
     return out
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.classify import MAIL_MARKS, SNIFF_CHARS
 from ..operators.mail import keep_messages, normalise_newlines
-from .listing import SourceFile, file_name, read_head, read_paths
+from .listing import SourceFile, file_name, read_head, read_text
 from .segments import join_lines, oversize_files, read_lines, running_total
 
 BREAK_LINE = r"^={3,}[\s\x1c-\x1f]*$"
@@ -21,10 +21,8 @@ def _valid(text):
 
 def read_texts(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
     """Whole texts of files up to one split: ``source_file, raw_text``."""
-    rows = spark.read.text(read_paths(files), wholetext=True)
-    return rows.select(
-        file_name().alias("source_file"), normalise_newlines(_valid(F.col("value"))).alias("raw_text")
-    )
+    text = normalise_newlines(_valid(F.col("value"))).alias("raw_text")
+    return read_text(spark, files, file_name().alias("source_file"), text, wholetext=True)
 
 
 def sniff_head(spark: SparkSession, file: SourceFile) -> bool:
