@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.session import scratch_root, stage
+from gristmill.session import bounded_batches, scratch_root, stage
 
 # Bytes of text that one vectorised step of a map task looks at (a longer text is one step).
 CHUNK_BYTES = 1 << 20
@@ -23,17 +23,6 @@ CHUNK_BYTES = 1 << 20
 TEXT_SCHEMA = "doc_id long, text string"
 
 
-# Bytes of a batch between Spark and a Python worker, and what Spark's own setting is where nobody has chosen one.
-BATCH_BYTES, UNSET = 4 << 20, "67108864b"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Small Arrow batches, so that long texts don't meet in a worker ten thousand at a time; a chosen size stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, UNSET) == UNSET:
-        spark.conf.set(key, f"{BATCH_BYTES}b")
-
-
 _OWNER: list[str | None] = [None]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..contracts import DEFAULT_TOP_K
 from ..functions.text import round_half_even
 from ..functions.vectors import dot_literal, hash_embed
+from ..session import bounded_batches
 
 SCORE_DIGITS = 4
 # Questions scored per pass over the chunks.  A block is at most this many
@@ -30,6 +31,7 @@ def embed_question(spark: SparkSession, question: str, embedder=hash_embed) -> l
 def search(chunks: DataFrame, question: str, k: int = DEFAULT_TOP_K, embedder=hash_embed) -> DataFrame:
     """The ``k`` best chunks: ``source_file, kind, text, score`` with ties in
     (file, chunk) order.  Every chunk is scored and there is no score floor."""
+    bounded_batches(chunks.sparkSession)
     weights = embed_question(chunks.sparkSession, question, embedder)
     score = round_half_even(dot_literal(F.col("embedding"), weights), SCORE_DIGITS)
     return (
@@ -54,6 +56,7 @@ def search_batch(
     Texts are joined back for the winners alone.
     """
     spark = chunks.sparkSession
+    bounded_batches(spark)
     vectors = questions.select("question_id", embedder(F.col("question")).alias("v"))
     schema = "question_id bigint, source_file string, chunk_ord bigint, score double"
     best = spark.createDataFrame([], schema)

@@ -107,3 +107,26 @@ def test_transaction_chunk(spark):
     assert transaction_chunks(df).first()["text"] == (
         "Transactions file f: 3 rows from 2026-01-01 to None, total 3.50, merchants A, B, categories None, x."
     )
+
+
+def test_long_texts_meet_in_small_batches(spark):
+    """A worker never holds thousands of long texts at once, for one question or many."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @F.pandas_udf("array<double>")
+    def met(texts):
+        return texts.map(lambda _: [float(len(texts))])
+
+    def chunks():
+        rows = spark.range(0, 300, 1, 1).selectExpr("concat('f', id) AS source_file", "'documents' AS kind", "id AS chunk_ord", "repeat('long ', 20000) AS text")
+        return rows.withColumn("embedding", met(F.col("text")))
+
+    one = lambda text: F.array(F.lit(1.0))
+    asked = spark.createDataFrame([(1, "q")], "question_id bigint, question string")
+    for search_all in (lambda: search(chunks(), "q", 1, one), lambda: search_batch(chunks(), asked, 1, one)):
+        before = spark.conf.get(key)
+        spark.conf.unset(key)
+        try:
+            assert search_all().first()["score"] <= 60
+        finally:
+            spark.conf.set(key, before)
