@@ -27,17 +27,21 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _decisions(spark: SparkSession, sf_dir: str, facts_of_orders: DataFrame | None = None) -> DataFrame:
     facts = [
-        order_facts(spark, sf_dir),
+        order_facts(spark, sf_dir) if facts_of_orders is None else facts_of_orders,
         mail_facts(mail_messages(spark, sf_dir)),
         invoice_facts(extracted_invoices(spark, sf_dir)),
     ]
     return quality.decide(_files(spark, sf_dir), reduce(DataFrame.unionByName, facts))
 
 
-def _issues(spark: SparkSession, sf_dir: str, decisions: DataFrame) -> DataFrame:
-    return header_issues(decisions).unionByName(row_issues(repaired_rows(spark, sf_dir), TRANSACTIONS))
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions and issues; what both read is staged as the batch job does, so that no row is repaired twice."""
+    rows = stage(repaired_rows(spark, sf_dir), "feed-rows")
+    facts = feed_facts(deduplicate(rows, TRANSACTIONS), plan_table(spark, order_headers(), TRANSACTIONS), TRANSACTIONS)
+    decided = stage(_decisions(spark, sf_dir, facts), "decisions")
+    return decided, header_issues(decided).unionByName(row_issues(rows, TRANSACTIONS))
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +58,14 @@ def load_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Read more than once below, so it is staged as the batch job does.
-    decided = stage(_decisions(spark, sf_dir), "decisions")
-    rows = lineage_rows(decided, _issues(spark, sf_dir, decided))
+    rows = lineage_rows(*_decided(spark, sf_dir))
     return rows.withColumns(
         {"records_loaded": F.col("records_loaded").cast("bigint"), "n_unfixed": F.col("n_unfixed").cast("bigint")}
     )
 
 
 def lineage_report_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = _decisions(spark, sf_dir)
-    rows = lineage_rows(decided, _issues(spark, sf_dir, decided)).withColumn("records_loaded", F.col("records_loaded").cast("bigint"))
+    rows = lineage_rows(*_decided(spark, sf_dir)).withColumn("records_loaded", F.col("records_loaded").cast("bigint"))
     rows = rows.withColumn("processed_at", F.to_timestamp(F.lit("2026-01-01 00:00:00")))
     return lineage_report(rows)
 
@@ -75,14 +76,12 @@ def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = stage(_decisions(spark, sf_dir), "decisions")
-    queue = quality.review_queue(decided, _issues(spark, sf_dir, decided))
+    queue = quality.review_queue(*_decided(spark, sf_dir))
     return queue.select("source_file", "file_type", "quality_score", "reason")
 
 
 def decision_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decided = stage(_decisions(spark, sf_dir), "decisions")
-    return quality.reasons(decided, _issues(spark, sf_dir, decided)).select("source_file", "reason")
+    return quality.reasons(*_decided(spark, sf_dir)).select("source_file", "reason")
 
 
 def quarantine_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

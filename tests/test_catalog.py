@@ -42,3 +42,15 @@ def test_query(spark, tables, name):
         columns = [d[0] for d in rel.description]
         assert sorted(df.columns) == sorted(columns)
         assert ordered(df.columns, got) == ordered(columns, rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["lineage", "lineage_report", "review_queue", "decision_reasons"])
+def test_rows_are_repaired_once(spark, monkeypatch, name):
+    """Decisions and issues read the same staged rows."""
+    from gristmill.catalog import file_queries, repair_queries
+
+    plans, repaired = [], repair_queries.repaired_rows
+    for module in (file_queries, repair_queries):
+        monkeypatch.setattr(module, "repaired_rows", lambda *a: plans.append(a) or repaired(*a))
+    QUERIES[name](spark, SF)
+    assert len(plans) == 1
