@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.refine import RefineResult, refine
-from ..session import scratch_root, stage
+from ..session import scratch_root, spread, stage
 from ..sinks.batch import run_batch
 from ..sinks.warehouse import Warehouse
 from .feeds import table
@@ -68,7 +68,7 @@ def mail_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By key: an invoice, a file of unknown type, an empty feed, a feed that is a header alone."""
-    return table(spark, sf_dir, "supplier").selectExpr(
+    return spread(table(spark, sf_dir, "supplier")).selectExpr(
         "CASE s_suppkey % 4 WHEN 0 THEN concat('invoice_', s_suppkey, '.pdf') WHEN 1 THEN concat('note_', s_suppkey, '.docx') ELSE concat('feed_', s_suppkey, '.csv') END AS source_file",
         rf"""CASE s_suppkey % 4 WHEN 0 THEN concat('INVOICE\nInvoice Number: INV-', s_suppkey, '\nVendor: ', s_name, '\nInvoice Date: 2026-07-01\nDue Date: 01/08/2026\n',
                IF(s_suppkey % 8 = 0, 'Contact: +971 50 664 2083\n', ''), 'Total: AED ', format_number(abs(s_acctbal) + 1, 2))

@@ -17,7 +17,8 @@ from ..session import local_frame
 # Bytes read from the head of a file to tell what it is.
 HEAD_BYTES = 1 << 16
 # A path of its own costs a file several calls on the driver and a row of a listing job, so more files than these are
-# found by one listing of their folder, unless more than LEFT_OUT others of their ending lie there.
+# found by one listing of their folder.  Lines of others of their ending that lie there are dropped: by name where these
+# are up to LEFT_OUT, by a join with their names where they are more, unless they are bigger than what is asked for.
 NAMED = 256
 LEFT_OUT = 1000
 
@@ -128,16 +129,27 @@ def read_text(spark: SparkSession, files: Sequence[SourceFile], *columns: Column
     others = _others(kinds)
     for (folder, ending), those in kinds.items():
         left_out = others.get((folder, ending))
-        if len(those) <= NAMED or left_out is None or len(left_out) > LEFT_OUT:
+        if len(those) <= NAMED or left_out is None or len(left_out) > LEFT_OUT and _bytes(those, left_out) > sum(f.size for f in those):
             named += those
             continue
         rows = spark.read.text(_literal(folder), pathGlobFilter=f"*.{ending}", **options)
-        parts.append((rows.where(~file_name().isin(left_out)) if left_out else rows).select(*columns))
+        if len(left_out) > LEFT_OUT:
+            names = F.broadcast(local_frame(spark, [(n,) for n in left_out], "left_out string"))
+            told = rows.select(file_name().alias("__file"), *columns)
+            parts.append(told.join(names, F.col("__file") == F.col("left_out"), "left_anti").drop("__file"))
+        else:
+            parts.append((rows.where(~file_name().isin(left_out)) if left_out else rows).select(*columns))
     if named:
         parts.append(spark.read.text(read_paths(named), **options).select(*columns))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _bytes(those: list[SourceFile], names: list[str]) -> int:
+    """Size of other files of the folder that some files lie in."""
+    sizes = those[0].folder.sizes
+    return sum(sizes[n] for n in names)
+
+
 def _others(kinds: dict[tuple, list[SourceFile]]) -> dict[tuple, list[str]]:
     """Names of the other files of each folder and plain ending that a reader of the folder would read."""
     wanted = {k: {f.name for f in v} for k, v in kinds.items() if k[0] and k[1].isascii() and k[1].isalnum()}

@@ -1,7 +1,9 @@
 """Many files are read by one listing of their folder, with the rows that paths of their own give."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from gristmill.catalog.batch_queries import supplier_files
 from gristmill.plans.refine import refine
 from gristmill.sinks.quarantine import quarantine
 from gristmill.sources import listing
@@ -81,3 +83,23 @@ def test_splits_are_the_same_in_every_pass(spark, tmp_path):
 def test_files_without_a_folder_are_named(spark, inbox):
     files = [SourceFile(f.name, f.uri, f.size) for f in list_files(spark, str(inbox)) if f.name.startswith("m")]
     assert read_text(spark, files, file_name().alias("f")).distinct().count() == 6
+
+
+def test_many_others_are_dropped_by_a_join(spark, inbox, monkeypatch):
+    """Files among many others of their ending are one path too, unless the others are bigger than they are."""
+    monkeypatch.setattr(listing, "NAMED", 1)
+    monkeypatch.setattr(listing, "LEFT_OUT", 1)
+    named = []
+    monkeypatch.setattr(listing, "read_paths", lambda files: named.extend(f.name for f in files) or listing._literal(files[0].uri))
+    mails = [f for f in list_files(spark, str(inbox)) if f.name.endswith(".txt")]
+    columns = file_name().alias("f"), F.col("_metadata.file_block_start").alias("block"), F.col("value")
+    rows = read_text(spark, mails[:4], *columns, lineSep="\n").collect()
+    assert not named and sorted(map(tuple, rows)) == [(f"m{i}.txt", 0, line) for i in range(4) for line in sorted((inbox / f"m{i}.txt").read_text().split("\n"))]
+    read_text(spark, mails[:2], *columns)
+    assert named == ["m0.txt", "m1.txt"]
+
+
+def test_files_of_one_small_table_are_written_by_many_tasks(spark, tmp_path):
+    spark.range(40).selectExpr("id AS s_suppkey", "'n' AS s_name", "1.0D AS s_acctbal").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    files = supplier_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() > 1 and files.select("source_file").distinct().count() == 40
