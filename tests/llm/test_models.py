@@ -295,3 +295,28 @@ def test_a_labelled_id_that_many_rows_share_is_one_of_the_sample(make, spark):
     labels = spark.createDataFrame([(r[0], int(r[0] == 7)) for r in rows[499:]], "doc_id long, toxic int")
     sample = toxicity.labelled_sample(make(rows), labels, "toxic", 1_000_003, 999_999, {0: 1000, 1: 1000}).collect()
     assert sorted(r["text"] for r in sample) == sorted(["text 0 of one id"] + [f"other {k}" for k in range(100, 120)])
+
+
+def test_lm_packs_bounded_parts(monkeypatch):
+    """A block of texts is handed on in parts, and all parts together are its occurrences."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Task:
+        def partitionId(self):
+            return 0
+
+    class Split:
+        value = np.array([lm_score.START])
+
+    monkeypatch.setattr(lm_score, "TaskContext", type("Context", (), {"get": staticmethod(Task)}))
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 50_021}" for k in range(400)) for i in range(2000)]
+    run = lm_score.packed(Rows(), 16, Split, 7, 2)
+    parts = list(run(iter([pa.record_batch({"doc_id": pa.array(range(2000)), "text": texts})])))
+    assert max(p.nbytes for p in parts) < 2 * lm_score.HANDED < sum(p.nbytes for p in parts)
+    rows = [r for p in parts for r in p.to_pylist()]
+    assert sorted(r["shard"] for r in rows) == list(range(-1, 16))
+    assert sum(len(r["doc"]) // 2 for r in rows if r["shard"] >= 0) == 2000 * 401
+    assert next(r for r in rows if r["shard"] < 0)["doc_ids"] == list(range(2000))
