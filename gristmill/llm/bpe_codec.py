@@ -59,7 +59,8 @@ def _low_splitter():
     low = [chr(c) for c in range(_LOW)]
     letters, numbers = (re.escape("".join(c for c in low if unicodedata.category(c)[0] == kind)) for kind in "LN")
     white = re.escape("".join(c for c in low if c.isspace() and not "\x1c" <= c <= "\x1f"))
-    words = rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{white}{letters}{numbers}]+|[{white}]+(?![^{white}])|[{white}]+"
+    # Possessive where a shorter match can't be one: what follows a blank is no blank, and a run ends a word.
+    words = rf" ?+[{letters}]++|'(?:[stmd]|re|ve|ll)| ?+[{numbers}]++| ?+[^{white}{letters}{numbers}]++|[{white}]+(?![^{white}])|[{white}]+"
     return re.compile(words).findall, re.compile(rf"[^\0-{chr(_LOW - 1)}]").search
 
 
@@ -83,7 +84,7 @@ def _splitter(path: str):
     low_words, high = _low_splitter()
 
     def words(text: str) -> list[str]:
-        return any_words(text) if high(text) else low_words(text)
+        return low_words(text) if text.isascii() or not high(text) else any_words(text)
 
     if not added:
         return words

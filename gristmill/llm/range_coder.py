@@ -25,6 +25,8 @@ BLOCK, LANES, LANE = 1 << 20, 8192, 128
 STEP, RENEW = 24, 16
 SURE = 8
 SLOTS = 16
+# What a confidence changes by: without a hit (from 1 down another id takes the place), then with one.
+_CHANGE = np.array([*((k >> 1) - k for k in range(SURE)), *[1] * (SURE - 1), 0], np.int32)
 # Buckets (as a power of two) that say about where a target lies.
 BUCKETS = 14
 # A weight is at most so many times that of order 0, which keeps totals below 2**32.
@@ -109,10 +111,14 @@ class Model:
         outcome -= one
         outcome -= two * (2 - one.view(np.int8))
         self.right += np.bincount(outcome, minlength=self.right.size).reshape(self.right.shape)
+        fresh = (ids << 3) | 1
         for held, hit, follows, at in zip(self.held, (one, two), self.follows, self.at):
-            sure = held & 7
-            less = held - (sure - (sure >> 1))
-            follows[at] = np.where(hit, held + (sure < SURE - 1), np.where(sure <= 1, (ids << 3) | 1, less))
+            state = held & 7
+            state += hit.view(np.int8) << np.int8(3)
+            after = held + _CHANGE.take(state)
+            new = np.flatnonzero(state <= 1)
+            after[new] = fresh[new]
+            follows[at] = after
         active = len(ids)
         self.slot2[:active] = self._slot(self.last[:active], ids)
         self.last[:active] = ids
@@ -216,7 +222,7 @@ def decode(block: bytes, vocabulary: int) -> np.ndarray:
             unit = size[:active] // total
             target = np.minimum(code[:active] // unit, total - np.uint64(1))
             swap = two < one
-            first, second = np.where(swap, two, one), np.where(swap, one, two)
+            first, second = np.minimum(one, two), np.maximum(one, two)
             weight, other = np.where(swap, weight2, weight1), np.where(swap, weight1, weight2)
             # A named id's weight lies behind its own part of order 0 and moves what follows.
             end = model.start.take(first + 1, mode="clip")

@@ -119,3 +119,29 @@ def test_query_against_the_library(spark):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
     got = sorted(map(tuple, QUERIES["op13_token_files"](spark, sf).collect()), key=lambda r: r[1])
     assert got == expected(rows)
+
+
+def test_ascii_text_is_split_in_one_pass(monkeypatch):
+    """Nothing is searched for in a text known to be plain, and the one pass finds the words of the public pattern."""
+    import random
+
+    import regex
+
+    from gristmill.llm import bpe_codec
+
+    find, _ = bpe_codec._low_splitter()
+
+    def searched(text):
+        raise AssertionError("searched")
+
+    bpe_codec._splitter.cache_clear()
+    monkeypatch.setattr(bpe_codec, "_low_splitter", lambda: (find, searched))
+    split = bpe_codec._splitter(PATH)
+    draw = random.Random(3)
+    texts = ["".join(draw.choice(" \t\n  aB9_'ts'llre.!\x1c\x0b") for _ in range(60)) for _ in range(500)]
+    try:
+        assert all(split(t) == regex.findall(bpe_codec.SPLIT, t) for t in texts)
+    finally:
+        bpe_codec._splitter.cache_clear()
+    texts = ["".join(draw.choice(" \n\x85\xa0ǅé½²ªaB9'") for _ in range(60)) for _ in range(500)]
+    assert all(find(t) == regex.findall(bpe_codec.SPLIT, t) for t in texts)
