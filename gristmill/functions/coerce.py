@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import strip, strip_column
 
 # Accepted date shapes, tried in this order (day before month).
 DATE_SHAPES = (
@@ -29,7 +29,7 @@ def coerce_date(value: Column) -> Column:
     The shape test picks the one parser that can succeed, so each value is
     parsed once, and impossible dates come back null instead of failing.
     """
-    text = strip(value)
+    text = strip_column(value)
     result = F.lit(None).cast("string")
     for shape, pattern in reversed(DATE_SHAPES):
         candidate = F.regexp_replace(text, r"\s+", " ") if " " in pattern else text

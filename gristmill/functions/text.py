@@ -23,6 +23,13 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def strip_column(text: Column) -> Column:
+    """The same for a column, which this names several times: no set of characters is searched where both ends are
+    printable ASCII."""
+    first, last = F.ascii(text), F.ascii(F.substring(text, -1, 1))
+    return F.when(first.between(33, 126) & last.between(33, 126), text).otherwise(strip(text))
+
+
 def is_blank(text: Column) -> Column:
     return strip(F.coalesce(text, F.lit(""))) == ""
 
@@ -75,8 +82,11 @@ def round_half_even(value: Column, digits: int) -> Column:
             .otherwise(F.rint(s["x"] * scale))
         )
 
+    # Far from a tie plain rounding is exact, and needs no variables.
+    scaled = value * scale
+    near = F.rint(scaled)
     # Bound to variables: nested roundings would otherwise repeat each other.
-    return let(let(value, steps), pick) / scale
+    return F.when(F.abs(scaled - near) < 0.49, near).otherwise(let(let(value, steps), pick)) / scale
 
 
 def two_decimals(value: Column) -> Column:

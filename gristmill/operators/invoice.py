@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import INVOICE_RECORD
 from ..functions.coerce import coerce_date, coerce_number
-from ..functions.text import round_half_even, strip, two_decimals, unicode_regex
+from ..functions.text import round_half_even, strip_column, two_decimals, unicode_regex
 from .redact import raw_findings, redact_structs
 from .repair import present_fields
 
@@ -43,7 +43,7 @@ def _first(pattern: str, group: int) -> Column:
 
 
 def _label_columns() -> dict[str, Column]:
-    found = {name: strip(_first(p, 1)) for name, p in LABELS.items()}
+    found = {name: _first(p, 1) for name, p in LABELS.items()}
     found["total_currency"], found["total_digits"] = _first(TOTAL, 1), _first(TOTAL, 2)
     return found
 
@@ -55,6 +55,7 @@ def label_extractor(texts: DataFrame) -> DataFrame:
     """
     others = [c for c in texts.columns if c != "raw_text"]
     found = texts.select(*others, *[c.alias(n) for n, c in _label_columns().items()])
+    found = found.withColumns({name: strip_column(F.col(name)) for name in LABELS})
     hits = (
         F.col("invoice_number").isNotNull().cast("int")
         + F.col("vendor").isNotNull().cast("int")

@@ -56,6 +56,8 @@ def decide(files: DataFrame, facts: DataFrame) -> DataFrame:
                 "pii_types": F.coalesce("pii_types", none),
                 "fixes": F.coalesce("fixes", none),
                 "plan_issues": F.coalesce("plan_issues", none),
+                # Named once, since several lines of the audit trail tell it.
+                "score_text": two_decimals(F.col("score")),
             }
         )
     )
@@ -81,7 +83,7 @@ def decide(files: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def _audit(known: Column) -> Column:
-    score = two_decimals(F.col("score"))
+    score = F.col("score_text")
     types = F.when(
         F.size("pii_types") > 0, F.concat(F.lit(" ["), F.array_join("pii_types", ", "), F.lit("]"))
     ).otherwise("")
