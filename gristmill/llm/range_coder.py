@@ -115,9 +115,9 @@ class Model:
         for held, hit, follows, at in zip(self.held, (one, two), self.follows, self.at):
             state = held & 7
             state += hit.view(np.int8) << np.int8(3)
-            after = held + _CHANGE.take(state)
-            new = np.flatnonzero(state <= 1)
-            after[new] = fresh[new]
+            after = _CHANGE.take(state)
+            after += held
+            np.copyto(after, fresh, where=state <= 1)
             follows[at] = after
         active = len(ids)
         self.slot2[:active] = self._slot(self.last[:active], ids)
@@ -137,11 +137,14 @@ def lanes_of(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
-def places_of(n: int) -> np.ndarray:
-    """Place in the block of what each lane (column) has at each step (row); beyond a lane's end, some place."""
-    lanes, steps, full = lanes_of(n)
-    lane = np.arange(lanes)
-    return np.minimum((lane * steps - np.maximum(lane - full, 0))[None, :] + np.arange(steps)[:, None], n - 1)
+def rows_of(ids: np.ndarray) -> np.ndarray:
+    """What each lane (column) has at each step (row); beyond a lane's end, 0."""
+    lanes, steps, full = lanes_of(len(ids))
+    rows = np.empty((steps, lanes), ids.dtype)
+    rows[:, :full] = ids[: full * steps].reshape(full, steps).T
+    rows[:-1, full:] = ids[full * steps :].reshape(lanes - full, steps - 1).T
+    rows[-1, full:] = 0
+    return rows
 
 
 def encode(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -151,7 +154,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
     body = b""
     lanes, steps, full = lanes_of(n)
     if n:
-        rows = ids[places_of(n)]
+        rows = rows_of(ids)
         model = Model(vocabulary, lanes)
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         words, used = np.zeros((2 * steps + steps // 4 + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
@@ -191,7 +194,8 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         if over.any():
             carry(every[over])
         put(every)
-        body = used.astype("<u2").tobytes() + words.T[np.arange(len(words)) < used[:, None]].astype("<u2").tobytes()
+        top = int(used.max())
+        body = used.astype("<u2").tobytes() + np.ascontiguousarray(words[:top].T)[np.arange(top) < used[:, None]].astype("<u2").tobytes()
     return HEADER.pack(n, lanes if n else 0, zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
 
@@ -206,7 +210,7 @@ def decode(block: bytes, vocabulary: int) -> np.ndarray:
         used = np.frombuffer(body, "<u2", lanes).astype(np.int64)
         flat = np.frombuffer(body, "<u2", offset=2 * lanes)
         # A column of words for each lane, with zeros behind it.
-        words = np.zeros((lanes, int(used.max()) + 8), np.uint64)
+        words = np.zeros((lanes, int(used.max()) + 8), np.uint16)
         words[np.arange(words.shape[1]) < used[:, None]] = flat
         words = np.ascontiguousarray(words.T)
         _, steps, full = lanes_of(n)

@@ -145,3 +145,14 @@ def test_ascii_text_is_split_in_one_pass(monkeypatch):
         bpe_codec._splitter.cache_clear()
     texts = ["".join(draw.choice(" \n\x85\xa0ǅé½²ªaB9'") for _ in range(60)) for _ in range(500)]
     assert all(find(t) == regex.findall(bpe_codec.SPLIT, t) for t in texts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 127, 129, 1000])
+def test_lanes_are_cut_without_places(n, monkeypatch):
+    monkeypatch.setattr(range_coder, "LANES", 7)
+    monkeypatch.setattr(range_coder, "LANE", 20)
+    ids = np.arange(1, n + 1, dtype=np.int32)
+    lanes, steps, full = range_coder.lanes_of(n)
+    rows = range_coder.rows_of(ids)
+    cut = [rows[: steps if lane < full else steps - 1, lane] for lane in range(lanes)]
+    assert (np.concatenate(cut) == ids).all() and (rows[-1, full:] == 0).all()
