@@ -211,6 +211,27 @@ def test_elias_fano():
         assert (level.successor(asked) == np.searchsorted(values, asked)).all()
 
 
+def test_levels_are_read_in_order_for_many_look_ups(monkeypatch):
+    """Elements read one after the other are those found one by one, and look-ups of many keys do no search a key."""
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 5), (1, 9), (64, 64), (700, 1 << 63), (3000, 500), (2000, 2**64 - 1)):
+        values = np.sort(rng.integers(0, top, n, dtype=np.uint64))
+        level = EliasFano.of(values)
+        assert (level.values() == values).all()
+        asked = np.concatenate([values[::3], rng.integers(0, top, 500 + n, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at = np.searchsorted(values, asked)
+        expected = [int(k) if k < n and values[k] == x else -1 for k, x in zip(at, asked)]
+        few = [int(level.find(asked[k : k + 1])[0]) for k in range(0, len(asked), 50)]
+        with monkeypatch.context() as patch:
+            if n:
+                patch.setattr(EliasFano, "successor", None)
+            assert level.find(asked).tolist() == expected
+            patch.setattr(EliasFano, "_place", None)
+            if n:
+                assert (level.take(np.arange(n)) == values).all()
+        assert few == expected[::50]
+
+
 def test_trie_in_mapped_memory():
     contexts, words = np.array([3, 9, 20], np.uint64), np.array([1, 5, 7], np.uint64)
     trie = Trie(contexts, np.array([-1.0, -2.0, -3.0]), words, np.array([0, 0, 2]), np.array([0, 2, 1]), np.array([-0.1, -0.2, -0.3])).mapped()
