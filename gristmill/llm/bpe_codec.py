@@ -42,6 +42,8 @@ FREQUENT_WORDS, LONGEST = 1 << 19, 64
 SEEN, HELD = 3, 200_000
 # A bucket holds the ids of twice as many words.
 BUCKET_WORDS = 150_000
+# Words of a slice that are in a list at once (and those of one more text).
+LISTED_WORDS = 20_000
 # Bytes of text in a slice that exchanges words with the buckets.
 SLICE_BYTES = 2 << 20
 
@@ -167,12 +169,16 @@ def pieces(path: str) -> list[bytes]:
 
 def distinct_of(texts: list[str], split) -> tuple[np.ndarray, pa.DictionaryArray]:
     """How many words each text has, and all words as places in the list of the distinct ones."""
-    sizes, words = np.empty(len(texts), np.int32), []
+    sizes, words, packed_words = np.empty(len(texts), np.int32), [], []
     for k, text in enumerate(texts):
         own = split(text)
         sizes[k] = len(own)
         words += own
-    return sizes, pa.array(words, pa.large_string()).dictionary_encode()
+        # A word is some ten times larger in a list than in a column.
+        if len(words) >= LISTED_WORDS:
+            packed_words.append(pa.array(words, pa.large_string()))
+            words.clear()
+    return sizes, pa.concat_arrays([*packed_words, pa.array(words, pa.large_string())]).dictionary_encode()
 
 
 def frequent_words(docs: DataFrame, path: str, most: int) -> DataFrame:
@@ -378,7 +384,7 @@ def encode_decode(docs: DataFrame, path: str, finish, schema: str, most: int = F
         piece = np.array([*pieces(path), None], dtype=object)[:-1]
         spelled = np.array([str(i) for i in range(len(piece))], dtype=object)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 others, lengths = _answers(row, path)
                 source = np.concatenate([flat, others])
                 starts = np.concatenate([begin, len(flat) + np.cumsum(lengths)])

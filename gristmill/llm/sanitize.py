@@ -236,31 +236,36 @@ def scan(docs: DataFrame, finish, schema: str, generalise_from: float = 0.8, shr
     changed = stage(changed, "changed")
     bits = Shared(docs.sparkSession, filter_of(_id_places, changed.select("of_doc")))
 
-    def part(inside: bool):
-        @tidy
-        def run(batches):
-            for batch in batches:
-                keep = pa.array(_hits(bits.value, _id_places, batch.column("doc_id").to_pylist()) == inside)
-                yield batch.filter(keep)
+    def kept(batch, inside: bool):
+        return batch.filter(pa.array(_hits(bits.value, _id_places, batch.column("doc_id").to_pylist()) == inside))
 
-        return docs.mapInArrow(run, docs.schema)
+    @tidy
+    def chosen(batches):
+        for batch in batches:
+            yield kept(batch, True)
 
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
-    nothing = {"terms": F.lit(None).cast("array<string>"), "shares": F.lit(None).cast("array<double>")}
-    rows = part(False).withColumns(nothing).union(part(True).join(changed, F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc"))
 
-    @tidy
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch):
-                out = []
-                for whole in piece.to_pylist():
-                    terms = dict(zip(whole["terms"] or [], whole["shares"] or []))
-                    out.append(finish(whole["row"], spans_with_terms(whole["text"], terms), terms))
-                columns = list(zip(*out)) if out else [[] for _ in arrow]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    return rows.mapInArrow(run, schema)
+    def finished(whole: bool):
+        """A task's function; of whole tables it takes the rows without terms, by itself: a worker for that alone would
+        stand beside each task's other one, and stay in memory for the rest of the application."""
+
+        @tidy
+        def run(batches):
+            for batch in batches:
+                for piece in slices(kept(batch, False) if whole else batch):
+                    out = []
+                    for one in piece.to_pylist():
+                        terms = dict(zip(one.get("terms") or [], one.get("shares") or []))
+                        out.append(finish(one["row"], spans_with_terms(one["text"], terms), terms))
+                    columns = list(zip(*out)) if out else [[] for _ in arrow]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        return run
+
+    # Not a broadcast join, also with few rows: what follows the shuffle is a stage of its own, where the next worker stands alone.
+    inside = docs.mapInArrow(chosen, docs.schema).join(changed.hint("merge"), F.col("doc_id") == F.col("of_doc"), "left").drop("of_doc")
+    return docs.mapInArrow(finished(True), schema).union(inside.mapInArrow(finished(False), schema))
 
 
 def _listed(spans) -> str:

@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gristmill.llm import bpe_codec, sanitize
+from gristmill.llm import bpe_codec, common, sanitize
 from gristmill.llm.queries import tokenizer_path
 
 PATTERNS = {
@@ -90,6 +92,36 @@ def test_terms_beside_an_entity_that_occurs_once(make):
     assert all(got[k] == rows[k] for k in range(120) if k != 3)
 
 
+def test_a_task_has_one_worker(make):
+    """Two functions on end in one stage are two workers for each core, which then stay in an executor's memory."""
+    docs = make([(1, "mail a.b@c.de", "en", "s"), (2, "no entity", "en", "s")])
+    plan = sanitize.sanitized(docs)._jdf.queryExecution().executedPlan().toString()
+    nodes = re.findall(r"MapInArrow|Exchange|Scan", plan)
+    assert nodes.count("MapInArrow") == 3
+    assert all(pair != ("MapInArrow", "MapInArrow") for pair in zip(nodes, nodes[1:])), plan
+
+
+def test_a_slice_takes_little_memory():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(50_000)}" for _ in range(500)) for _ in range(320)]
+    size, split = sum(map(len, texts)), bpe_codec._splitter(tokenizer_path())
+
+    def peak(work):
+        work()  # what is made once and kept
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / size
+
+    assert peak(lambda: bpe_codec.distinct_of(texts, split)) < 4
+    sizes, coded = bpe_codec.distinct_of(texts, split)
+    assert coded.to_pylist() == [w for t in texts for w in split(t)] and sizes.tolist() == [len(split(t)) for t in texts]
+    column = pa.array(texts)
+    assert peak(lambda: common.words_of(column)) < 22
+    assert common.powers(common.CHUNK_BYTES + 4000)[0].nbytes < 10 * common.CHUNK_BYTES
+
+
 def test_overlapping_spans_are_masked_once():
     assert sanitize.masked("a 1.2.3.4 b", [("ip", 2, 9), ("card", 2, 5)], {}, 0.9) == "a [IP] b"
     assert sanitize.masked("a Term b", [("term", 2, 6)], {"term": 0.95}, 0.9) == "a  b"
