@@ -130,6 +130,11 @@ def encode_words(path: str, words: list[str]) -> list[list[int]]:
     return list(map(_encoder(path), words))
 
 
+@lru_cache(64)
+def _packer(n: int):
+    return struct.Struct(f"<{n}I").pack
+
+
 class Words(dict):
     """Ids of words, as little-endian 32-bit numbers, each encoded when it is first asked for.
 
@@ -138,7 +143,8 @@ class Words(dict):
 
     def __init__(self, path: str, most: int):
         super().__init__()
-        self.encode, self.most, self.older = _encoder(path), most, {}
+        self.tokenize, self.spelled, self.added = _tokenizer(path).model.tokenize, "".join(_spelling()), _added(path)
+        self.most, self.older = most, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
@@ -146,8 +152,11 @@ class Words(dict):
             self.clear()
         found = self.older.get(word)
         if found is None:
-            ids = self.encode(word)
-            found = struct.pack(f"<{len(ids)}I", *ids)
+            if word in self.added:
+                ids = [self.added[word]]
+            else:
+                ids = [t.id for t in self.tokenize(codecs.charmap_decode(word.encode(), "strict", self.spelled)[0])]
+            found = _packer(len(ids))(*ids)
         self[word] = found
         return found
 

@@ -62,15 +62,21 @@ class Model:
         return (code >> np.uint32(32 - SLOTS)).astype(np.int64)
 
     def _renew(self) -> None:
-        """Starts of all ids' intervals, and the first and last id that each bucket of targets can mean."""
+        """Starts of all ids' intervals."""
         np.cumsum(self.share, out=self.start[1:])
         self.every = int(self.start[-1])
+        self.guess = None
+
+    def _guess(self) -> None:
+        """The first and last id that each bucket of targets can mean; only a decoder asks."""
         self.shift = max(0, self.every.bit_length() - BUCKETS)
         ends = np.searchsorted(self.start, np.arange((self.every >> self.shift) + 2, dtype=np.uint64) << np.uint64(self.shift), side="right")
         self.guess = np.minimum(ends - 1, len(self.share) - 1)
 
     def find(self, target: np.ndarray) -> np.ndarray:
         """The id in whose interval of order 0 each target lies."""
+        if self.guess is None:
+            self._guess()
         bucket = (target >> np.uint64(self.shift)).view(np.int64)
         found, last = self.guess.take(bucket), self.guess.take(bucket + 1)
         unsure = np.flatnonzero(found < last)
@@ -137,12 +143,18 @@ def lanes_of(n: int) -> tuple[int, int, int]:
     return lanes, steps, n - lanes * (steps - 1)
 
 
+def _turn(rows: np.ndarray, out: np.ndarray) -> None:
+    """``out`` becomes the transpose of ``rows``, some rows at a time, so that a place of memory is met once."""
+    for at in range(0, len(rows), 64):
+        out[:, at : at + 64] = rows[at : at + 64].T
+
+
 def rows_of(ids: np.ndarray) -> np.ndarray:
     """What each lane (column) has at each step (row); beyond a lane's end, 0."""
     lanes, steps, full = lanes_of(len(ids))
     rows = np.empty((steps, lanes), ids.dtype)
-    rows[:, :full] = ids[: full * steps].reshape(full, steps).T
-    rows[:-1, full:] = ids[full * steps :].reshape(lanes - full, steps - 1).T
+    _turn(ids[: full * steps].reshape(full, steps), rows[:, :full])
+    _turn(ids[full * steps :].reshape(lanes - full, steps - 1), rows[:-1, full:])
     rows[-1, full:] = 0
     return rows
 
@@ -158,7 +170,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
         model = Model(vocabulary, lanes)
         low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
         words, used = np.zeros((2 * steps + steps // 4 + 8, lanes), np.uint16), np.zeros(lanes, np.int64)
-        every = np.arange(lanes)
+        every, flat = np.arange(lanes), words.reshape(-1)
 
         def carry(lane: np.ndarray) -> None:
             place = used[lane] - 1
@@ -183,9 +195,16 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             low[:active], size[:active] = moved, unit * width
             if over.any():
                 carry(every[:active][over])
-            while len(small := np.flatnonzero(size[:active] < LEAST_RANGE)):
-                put(small)
-                size[small] <<= _WORD
+            # All lanes note their next word, which only those keep that go on behind it.
+            small = size[:active] < LEAST_RANGE
+            flat[used[:active] * lanes + every[:active]] = low[:active] >> _TOP
+            used[:active] += small
+            shift = small * _WORD
+            low[:active] <<= shift
+            size[:active] <<= shift
+            while len(again := np.flatnonzero(size[:active] < LEAST_RANGE)):
+                put(again)
+                size[again] <<= _WORD
             model.learn(x)
         # One word names a number inside the last range; the decoder reads zeros behind it.
         end = low + (LEAST_RANGE - np.uint64(1))
@@ -195,7 +214,9 @@ def encode(ids: np.ndarray, vocabulary: int) -> bytes:
             carry(every[over])
         put(every)
         top = int(used.max())
-        body = used.astype("<u2").tobytes() + np.ascontiguousarray(words[:top].T)[np.arange(top) < used[:, None]].astype("<u2").tobytes()
+        by_lane = np.empty((lanes, top), np.uint16)
+        _turn(words[:top], by_lane)
+        body = used.astype("<u2").tobytes() + by_lane[np.arange(top) < used[:, None]].astype("<u2").tobytes()
     return HEADER.pack(n, lanes if n else 0, zlib.crc32(body), zlib.crc32(ids.astype("<u4").tobytes())) + body
 
 
@@ -208,11 +229,12 @@ def decode(block: bytes, vocabulary: int) -> np.ndarray:
     out = np.empty(n, np.int32)
     if n:
         used = np.frombuffer(body, "<u2", lanes).astype(np.int64)
-        flat = np.frombuffer(body, "<u2", offset=2 * lanes)
+        packed = np.frombuffer(body, "<u2", offset=2 * lanes)
         # A column of words for each lane, with zeros behind it.
         words = np.zeros((lanes, int(used.max()) + 8), np.uint16)
-        words[np.arange(words.shape[1]) < used[:, None]] = flat
+        words[np.arange(words.shape[1]) < used[:, None]] = packed
         words = np.ascontiguousarray(words.T)
+        every, flat = np.arange(lanes), words.reshape(-1)
         _, steps, full = lanes_of(n)
         rows = np.empty((steps, lanes), np.int32)
         model = Model(vocabulary, lanes)
@@ -243,11 +265,16 @@ def decode(block: bytes, vocabulary: int) -> np.ndarray:
             begin, width = model.widths(x, one, two, weight1, weight2)
             code[:active] -= unit * begin
             size[:active] = unit * width
-            while len(small := np.flatnonzero(size[:active] < LEAST_RANGE)):
-                size[small] <<= _WORD
-                here = at[small]
-                code[small] = code[small] << _WORD | words[here, small]
-                at[small] = here + 1
+            small = size[:active] < LEAST_RANGE
+            shift = small * _WORD
+            size[:active] <<= shift
+            code[:active] <<= shift
+            code[:active] |= small * flat.take(at[:active] * lanes + every[:active])
+            at[:active] += small
+            while len(again := np.flatnonzero(size[:active] < LEAST_RANGE)):
+                size[again] <<= _WORD
+                code[again] = code[again] << _WORD | words[at[again], again]
+                at[again] += 1
             rows[step, :active] = x
             model.learn(x)
         # Lanes that end a step early have nothing in the last row.

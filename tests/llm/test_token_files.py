@@ -58,6 +58,26 @@ def test_coder_learns():
         assert (range_coder.decode(range_coder.encode(ids, 50_000), 50_000) == ids).all()
 
 
+def test_only_a_decoder_looks_for_ids(monkeypatch):
+    """The coder makes no table of what targets can mean, and its bytes are those of the format's first version."""
+    rng = np.random.default_rng(9)
+    ids = np.minimum(rng.geometric(0.002, 300_000), 49_999).astype(np.int32)
+
+    def unwanted(model):
+        raise AssertionError("a table that only decoding needs")
+
+    with monkeypatch.context() as m:
+        m.setattr(range_coder.Model, "_guess", unwanted)
+        block = range_coder.encode(ids, 50_000)
+    assert zlib.crc32(block) == 108972347
+    assert (range_coder.decode(block, 50_000) == ids).all()
+    for n in (1, 127, 129, 8192 * 128 + 5000):
+        lanes, steps, full = range_coder.lanes_of(n)
+        rows = range_coder.rows_of(np.arange(1, n + 1, dtype=np.int32))
+        assert (rows[:, :full].T.reshape(-1) == np.arange(1, full * steps + 1)).all()
+        assert (rows[:-1, full:].T.reshape(-1) == np.arange(full * steps + 1, n + 1)).all() and not rows[-1, full:].any()
+
+
 def test_damage_is_noticed():
     block = range_coder.encode(np.arange(500) % 37, 40)
     for at in (4, 9, 13, len(block) // 2, len(block) - 1):
