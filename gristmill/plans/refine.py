@@ -35,7 +35,7 @@ from ..operators.repair import (
 )
 from ..session import local_frame, stage
 from ..sources.csv_feed import CsvSource, read_feeds
-from ..sources.listing import SourceFile, hidden, list_files, listing_frame, split_size
+from ..sources.listing import Listing, hidden, list_folder, split_size
 from ..sources.mail_text import large_messages, oversize_exports, read_texts, sniff_head
 
 UNREADABLE = "file name starts with an underscore and cannot be read"
@@ -66,7 +66,7 @@ class Branch:
 class RefineResult:
     """Outcome of one batch, as lazy DataFrames over staged tables."""
 
-    files: list[SourceFile]
+    files: Listing
     decisions: DataFrame
     records: dict[str, DataFrame]
     issues: DataFrame
@@ -121,19 +121,11 @@ def refine(
     ``texts`` (``source_file, raw_text``) carries the text of documents whose
     format is decoded elsewhere; a document without text goes to review.
     """
-    files = list_files(spark, folder)
-    listing = listing_frame(spark, files)
-    of_type = {
-        f.name: end
-        for f in files
-        for end in ("csv", "pdf", "eml", "txt")
-        if f.name.lower().endswith("." + end)
-    }
-    csv_files = [f for f in files if of_type.get(f.name) == "csv"]
-    text_files = [f for f in files if of_type.get(f.name) in ("eml", "txt") and not hidden(f) and f.size]
-
-    csv_branch = _csv_branch(spark, csv_files, listing, contract)
-    mail_branch = _mail_branch(spark, text_files)
+    files = list_folder(spark, folder)
+    listing = files.table
+
+    csv_branch = _csv_branch(spark, files.only("csv"), contract)
+    mail_branch = _mail_branch(spark, files.only("eml", "txt"))
     pdf_branch = _pdf_branch(spark, listing, texts, extractor)
     branches = [csv_branch, mail_branch, pdf_branch]
 
@@ -161,15 +153,12 @@ def refine(
     )
 
 
-def _csv_branch(
-    spark: SparkSession, files: list[SourceFile], listing: DataFrame, contract: Contract
-) -> Branch:
-    if not files:
+def _csv_branch(spark: SparkSession, files: Listing, contract: Contract) -> Branch:
+    if not files.counts:
         return Branch(spark.createDataFrame([], FACTS))
     source = read_feeds(spark, files)
-    csv_listing = listing_frame(spark, files)
     rejected = _rejected_facts(spark, source, contract)
-    others = csv_listing.join(rejected, "source_file", "left_anti")
+    others = files.table.join(rejected, "source_file", "left_anti")
     if not source.feeds:
         return Branch(rejected.unionByName(empty_feed_facts(others, contract)))
     plans = plan_table(spark, source.feeds.headers, contract)
@@ -202,16 +191,16 @@ def _rejected(spark: SparkSession, named: dict[str, str], kind: str, method: str
     return local_frame(spark, rows, FACTS)
 
 
-def _mail_branch(spark: SparkSession, files: list[SourceFile]) -> Branch:
+def _mail_branch(spark: SparkSession, files: Listing) -> Branch:
     limit = split_size(spark)
-    small = [f for f in files if f.size <= limit]
-    large = [f for f in files if f.size > limit and sniff_head(spark, f)]
+    named = [f for f in files.named if not hidden(f) and f.size]
+    large = [f for f in named if f.size > limit and sniff_head(spark, f)]
     oversize = oversize_exports(spark, large) if large else []
     large = [f for f in large if f.name not in oversize]
     rejected = _rejected(spark, {n: OVERSIZE for n in oversize}, "documents", "email_parser", "parse_email")
     parts = []
-    if small:
-        texts = read_texts(spark, small)
+    texts = read_texts(spark, files, [f for f in named if f.size <= limit])
+    if texts is not None:
         parts.append(split_messages(texts.where(looks_like_mail(F.col("raw_text")))))
     if large:
         parts.append(large_messages(spark, large))

@@ -9,9 +9,9 @@ A record may span lines, so where records begin in a split depends on whether th
    split's edge is shuffled, at most two pieces a split; only files with such a record are asked for it.  A file that is
    one split has no edge: only its header and validity are asked for in the first pass.
 
-Files of all sizes and headers of all shapes take this one way, in one plan.  No content comes to the driver, only the
-names of files that can't be parsed and the splits that start inside quotes (16 bytes for each, at most one for every
-split of the input).
+Files of all sizes and headers of all shapes take this one way, in one plan; small files are one split each, and their
+lines go from the file to the parser in one task.  No content comes to the driver, only the names of files that can't be
+parsed and the splits that start inside quotes (16 bytes for each, at most one for every split of the input).
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.repair import Feeds
 from ..session import local_frame, stage
-from .listing import SourceFile, file_name, hidden, read_text
+from .listing import Listing, SourceFile, file_name, hidden, read_text, small_texts, text_lines
 from .segments import RECORD_LIMIT, oversize_files
 
 # Quoted content up to its closing quote, one delimited field that starts outside quotes, and a field still open at the
@@ -61,13 +62,41 @@ class CsvSource:
     oversize: list[str]  # names with a record too long to be one value
 
 
-def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
+@dataclass(frozen=True)
+class Lines:
+    """Lines in the order of the file, each with its split: tasks read a split from its start to its end."""
+
+    read: DataFrame | None  # by Spark's reader
+    names: DataFrame | None  # of small files, which tasks read themselves
+    path: str = ""
+
+    def map(self, run: Callable, schema: str) -> DataFrame:
+        path, parts = self.path, []
+
+        def read(batches):
+            return run(_small_lines(batches, path))
+
+        if self.read is not None:
+            parts.append(self.read.mapInArrow(run, schema))
+        if self.names is not None:
+            parts.append(self.names.mapInArrow(read, schema))
+        return reduce(DataFrame.unionByName, parts)
+
+    def of_files(self, names: set[str], how: str = "left_semi") -> Lines:
+        """Lines of some files.  Where Spark splits a file depends on all that is read with it, so all passes read the
+        same files and drop lines afterwards."""
+        return Lines(*(rows if rows is None else _of_files(rows, names, how) for rows in (self.read, self.names)), self.path)
+
+
+def read_feeds(spark: SparkSession, files: Listing | Sequence[SourceFile]) -> CsvSource:
     """All delimited files as one table of records and one of headers."""
-    unreadable = [f.name for f in files if hidden(f)]
-    readable = [f for f in files if not hidden(f) and f.size > 0]
-    if not readable:
+    files = files if isinstance(files, Listing) else Listing.of_files(spark, files)
+    refused = files.table.where(F.startswith("source_file", F.lit("_"))).select("source_file")
+    unreadable = sorted(r["source_file"] for r in refused.collect())
+    readable = [f for f in files.named if not hidden(f) and f.size > 0]
+    if not readable and not files.n_small:
         return CsvSource(None, unreadable, [], [])
-    lines = _lines(spark, readable)
+    lines = Lines(_lines(spark, readable) if readable else None, files.small_names(), files.path)
     reports = stage(_reports(lines), "splits")
     whole = stage(_composed(reports), "split-starts")
     facts = whole.where("open_pos IS NULL")
@@ -75,30 +104,37 @@ def read_feeds(spark: SparkSession, files: Sequence[SourceFile]) -> CsvSource:
     invalid = sorted(r["source_file"] for r in told if not r["valid"])
     lengths = facts.select("source_file", F.col("longest").alias("bytes"), F.lit(0).alias("record"))
     oversize = [name for name in oversize_files(lengths, "record") if name not in invalid]
-    bad = {*invalid, *oversize}
-    good = [f for f in readable if f.name not in bad]
-    if not good:
+    bad, named = {*invalid, *oversize}, {f.name for f in readable}
+    if not named - bad and files.n_small <= len(bad - named):
         return CsvSource(None, unreadable, invalid, oversize)
     starts = _starts(spark, whole.where("open_pos IS NOT NULL"))
     cut = {r["source_file"] for r in told} - bad
-    headers = _headers(good, reports, lines, starts, cut)
-    rows = records(_of_files(lines, bad, "left_anti"), starts, cut)
+    # Spark's reader of a folder may find files that came after it was listed; files that tasks open are listed ones.
+    listed = named - bad if not files.n_small else None
+    headers = _headers(reports, lines, starts, cut, bad, listed)
+    rows = records(lines.of_files(bad, "left_anti"), starts, cut)
     return CsvSource(_feeds(rows, headers), unreadable, invalid, oversize)
 
 
 def _lines(spark: SparkSession, files: Sequence[SourceFile]) -> DataFrame:
-    """Lines in the order of the file, each with its split: tasks read a split from its start to its end."""
     block = F.col("_metadata.file_block_start").alias("block")
     only = (F.col("_metadata.file_block_length") == F.col("_metadata.file_size")) & (F.col("_metadata.file_size") <= RECORD_LIMIT)
     return read_text(spark, files, file_name().alias("source_file"), block, only.alias("only"), F.col("value").cast("binary").alias("line"))
 
 
-def _of_files(lines: DataFrame, names: set[str], how: str = "left_semi") -> DataFrame:
-    """Lines of some files.  Where Spark splits a file depends on all that is read with it, so all passes read the same
-    files and drop lines afterwards."""
+def _small_lines(batches, path: str) -> Iterator[pa.RecordBatch]:
+    """The same of small files: all of a file is one split."""
+    for name, content in small_texts(batches, path):
+        lines = pa.array(text_lines(content), pa.binary())
+        if n := len(lines):
+            columns = [pa.repeat(name, n), pa.repeat(0, n), pa.repeat(True, n), lines]
+            yield pa.RecordBatch.from_arrays(columns, names=["source_file", "block", "only", "line"])
+
+
+def _of_files(rows: DataFrame, names: set[str], how: str = "left_semi") -> DataFrame:
     if not names and how == "left_anti":
-        return lines
-    return lines.join(F.broadcast(local_frame(lines.sparkSession, [(n,) for n in sorted(names)], "source_file string")), "source_file", how)
+        return rows
+    return rows.join(F.broadcast(local_frame(rows.sparkSession, [(n,) for n in sorted(names)], "source_file string")), "source_file", how)
 
 
 def _splits(batches) -> Iterator[tuple[str, int, bool, pa.Array]]:
@@ -185,7 +221,7 @@ def _text(lines: pa.Array) -> pa.Array | None:
         return None
 
 
-def _reports(lines: DataFrame) -> DataFrame:
+def _reports(lines: Lines) -> DataFrame:
     """What each split says about itself; the second reading is needed only where a split isn't a file's first, and
     none where it is all of the file and no longer than a record may be."""
 
@@ -234,7 +270,7 @@ def _reports(lines: DataFrame) -> DataFrame:
         yield batch_of(out)
 
     arrow = _arrow(_REPORT)
-    return lines.mapInArrow(run, _REPORT)
+    return lines.map(run, _REPORT)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -290,13 +326,13 @@ def _starts(spark: SparkSession, starts: DataFrame) -> Broadcast:
     return spark.sparkContext.broadcast({(f, b): at for f, b, at in zip(*(table.column(c).to_pylist() for c in ("source_file", "block", "open_pos")))})
 
 
-def records(lines: DataFrame, starts: Broadcast, cut: set[str]) -> DataFrame:
+def records(lines: Lines, starts: Broadcast, cut: set[str]) -> DataFrame:
     """``source_file``, ``pos``, ``values`` of all records that aren't blank, headers included; only files named in
     ``cut`` have records in more than one split, so only their lines are asked for pieces."""
     whole = _cut(lines, starts).where("part IS NULL AND values IS NOT NULL").select("source_file", "pos", "values")
     if not cut:
         return whole
-    pieces = _cut(_of_files(lines, cut), starts).where("part IS NOT NULL").groupBy("source_file", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
+    pieces = _cut(lines.of_files(cut), starts).where("part IS NOT NULL").groupBy("source_file", "pos").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("parts"))
     joined = pieces.select("source_file", "pos", F.array_join("parts.text", "\n").alias("text"))
 
     def run(batches):
@@ -316,7 +352,7 @@ def _parsed(texts: list[str]) -> list[list[str] | None]:
     return [None if not r or (len(r) == 1 and not t.strip()) else r for r, t in zip(rows, texts)]
 
 
-def _cut(lines: DataFrame, starts: Broadcast) -> DataFrame:
+def _cut(lines: Lines, starts: Broadcast) -> DataFrame:
     """Parsed records that lie in one split (``part`` null), and texts of the parts of those that don't."""
     arrow = _arrow(_RECORD)
 
@@ -366,7 +402,7 @@ def _cut(lines: DataFrame, starts: Broadcast) -> DataFrame:
         if split and split[2] is not None:
             yield part("\n".join(split[3]))
 
-    return lines.mapInArrow(run, _RECORD)
+    return lines.map(run, _RECORD)
 
 
 def _batch(name: str, places: list[int], rows: list[list[str] | None], arrow: pa.Schema) -> pa.RecordBatch:
@@ -403,18 +439,19 @@ def _whole_file(name: str, runs, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield _batch(name, places, rows, arrow)
 
 
-def _headers(files: Sequence[SourceFile], reports: DataFrame, lines: DataFrame, starts: Broadcast, cut: set[str]) -> DataFrame:
-    """``source_file``, ``header``, ``header_pos``; a header that a file's first split doesn't hold whole is read with
-    the file's records."""
-    first = reports.where("block = 0")
+def _headers(reports: DataFrame, lines: Lines, starts: Broadcast, cut: set[str], bad: set[str], listed: set[str] | None) -> DataFrame:
+    """``source_file``, ``header``, ``header_pos`` of the files that aren't ``bad`` and are ``listed`` (null: all are); a
+    header that a file's first split doesn't hold whole is read with the file's records."""
+    first = _of_files(reports.where("block = 0"), bad, "left_anti")
+    if listed is not None:
+        names = reports.sparkSession.createDataFrame(pa.table({"source_file": sorted(listed)}))
+        first = first.join(names, "source_file", "left_semi")
     headers = first.where("header IS NOT NULL").select("source_file", "header", "header_pos")
-    unknown = {r["source_file"] for r in first.where("header IS NULL").select("source_file").collect()}
-    late = unknown & {f.name for f in files}
+    late = {r["source_file"] for r in first.where("header IS NULL").select("source_file").collect()}
     if late:
-        rows = records(_of_files(lines, late), starts, late & cut).groupBy("source_file").agg(F.min_by("values", "pos").alias("header"), F.min("pos").alias("header_pos"))
+        rows = records(lines.of_files(late), starts, late & cut).groupBy("source_file").agg(F.min_by("values", "pos").alias("header"), F.min("pos").alias("header_pos"))
         headers = headers.unionByName(rows.select("source_file", "header", "header_pos"))
-    names = reports.sparkSession.createDataFrame(pa.table({"source_file": [f.name for f in files]}))
-    return stage(headers.join(names, "source_file", "left_semi"), "headers")
+    return stage(headers, "headers")
 
 
 def _feeds(rows: DataFrame, headers: DataFrame) -> Feeds:

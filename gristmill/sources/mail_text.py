@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import MAIL_MARKS, SNIFF_CHARS
 from ..operators.mail import keep_messages, normalise_newlines
-from .listing import SourceFile, file_name, read_head, read_text
+from .listing import Listing, SourceFile, file_name, read_head, read_small, read_text
 from .segments import join_lines, oversize_files, read_lines, running_total
 
 BREAK_LINE = r"^={3,}[\s\x1c-\x1f]*$"
@@ -19,10 +21,17 @@ def _valid(text):
     return F.when(F.is_valid_utf8(text), text).otherwise(cleaned)
 
 
-def read_texts(spark: SparkSession, files: list[SourceFile]) -> DataFrame:
-    """Whole texts of files up to one split: ``source_file, raw_text``."""
-    text = normalise_newlines(_valid(F.col("value"))).alias("raw_text")
-    return read_text(spark, files, file_name().alias("source_file"), text, wholetext=True)
+def read_texts(spark: SparkSession, listing: Listing, named: list[SourceFile]) -> DataFrame | None:
+    """Whole texts of the small files of a listing and of others up to one split: ``source_file, raw_text``."""
+    parts = []
+    if named:
+        parts.append(read_text(spark, named, file_name().alias("source_file"), F.col("value"), wholetext=True))
+    if listing.n_small:
+        texts = read_small(listing.small_names(), listing.path, lambda name, content: ([name], [content]), "source_file string, value binary")
+        parts.append(texts.withColumn("value", F.col("value").cast("string")))
+    if not parts:
+        return None
+    return reduce(DataFrame.unionByName, parts).select("source_file", normalise_newlines(_valid(F.col("value"))).alias("raw_text"))
 
 
 def sniff_head(spark: SparkSession, file: SourceFile) -> bool:
